@@ -48,6 +48,9 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = np.random.default_rng(20240607).integers(1, 2**64, 256, dtype=U64, endpoint=False) | U64(1)
 _BYTE[_SEPARATOR] = 0
+#: Bytes of letters and digits in lower-cased UTF-8: what is left of words without punctuation.
+ALNUM = np.zeros(256, bool)
+ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 _BASE = U64(0x9E3779B97F4A7C15)
 _powers = np.ones(1, U64)
 
@@ -82,12 +85,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each maximal run of bytes other than ASCII white space; runs end with their row."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each maximal run of `kept` bytes (all but ASCII white space); runs end with their row."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = ~_SEPARATOR[data]
+    inside = (~_SEPARATOR if kept is None else kept)[data]
     border = np.zeros(len(data) + 1, bool)
     border[offsets] = True
     begins = inside.copy()
@@ -98,14 +101,14 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.flatnonzero(finishes) + 1, np.searchsorted(offsets, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word; separators add nothing to the word before them."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, kept: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of every word; bytes that aren't `kept` add nothing to the word before them."""
     if not len(starts):
         return np.zeros(0, U64)
     at = starts - starts[0]
     body = data[starts[0] :]
     place = np.arange(len(body)) - np.repeat(at, np.diff(np.append(at, len(body))))
-    return mix(np.add.reduceat(_BYTE[body] * _power(int(place.max()) + 1)[place], at))
+    return mix(np.add.reduceat((_BYTE if kept is None else np.where(kept, _BYTE, U64(0)))[body] * _power(int(place.max()) + 1)[place], at))
 
 
 def row_places(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
