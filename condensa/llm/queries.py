@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, minhash_dedup, mixing, token_codes
+from . import chat_format, decontaminate, language_id, minhash_dedup, mixing, token_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", F.crc32(F.col("doc_id").cast("string").cast("binary")).__mod__(4).__eq__(2).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return chat_format.digests(spark, chat_format.formatted(rows))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -41,7 +48,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_codes, op4_language_id, op7_mixing, op9_minhash_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_token_codes, op4_language_id, op5_chat_format, op7_mixing, op9_minhash_dedup, op10_decontamination)}
 
 ORACLES = {
     "op7_mixing": r"""
