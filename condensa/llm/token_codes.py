@@ -14,6 +14,7 @@ a shard whole or absent when executors are lost, and any store that Spark can wr
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -22,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_table_path, utf8
+from .common import new_table_path, slices, utf8
 
 WIDTH = 8
 RANK_EVERY = 512
 MAGIC = b"DAC1"
 #: Ids in a shard, a whole document more or less.
 SHARD_IDS = 1 << 18
-#: Distinct words whose ids a worker remembers before it starts anew.
-CACHE_WORDS = 400_000
+#: Distinct words in each of the two tables of ids that a worker remembers.
+CACHE_WORDS = 250_000
 
 
 # ---------------------------------------------------------------- the code
@@ -107,25 +108,61 @@ class Codes:
 
 # ---------------------------------------------------------------- tokens
 
+_PLAIN = re.compile(rb"[a-z]+[ \n]*")
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(b".,;:!?")] = True
+
+
 class WordTokens:
-    """Ids of whole texts by a tokenizers file, each distinct word encoded once.
+    """Ids of whole texts by a tokenizers file, each distinct piece of text encoded once.
 
-    Holds for tokenizers whose ids for a text are the ids of its white-space separated pieces, one after another
-    (white space dropped before the model, as in the word_bpe files); `whole=True` encodes each text in one call.
+    Holds for tokenizers that lower-case, drop white space and never join a letter with a following .,;:!? (the
+    word_bpe files): the ids of a text are then the ids of its pieces, one after another, where pieces start after
+    white space and at such a mark after a letter. Pieces of a to z alone skip the normaliser and the pattern, which
+    leave them as they are. `whole=True` encodes each text in one call, for any other tokenizer.
     """
 
     def __init__(self, path: str, whole: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.model, self.whole, self.known = Tokenizer.from_file(path), whole, {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        for word, found in zip(words, self.model.encode_batch_fast(texts, add_special_tokens=False)):
-            self.known[word] = found.ids
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.model, self.whole = Tokenizer.from_file(path), whole
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.recent, self.older = {}, {}  # piece -> its ids as bytes; a full table becomes the older one
+
+    def _learn(self, model, pieces: list[bytes], known: dict) -> None:
+        for i in range(0, len(pieces), 4096):
+            some = pieces[i : i + 4096]
+            for piece, code in zip(some, model.encode_batch_fast([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)):
+                known[piece] = np.array(code.ids, np.uint32).tobytes()
+
+    def _lists(self, pieces: list[bytes]) -> list[bytes]:
+        if len(self.recent) > CACHE_WORDS:
+            self.recent, self.older = {}, self.recent
+        recent, older, plain, other = self.recent, self.older, {}, []
+        for piece in pieces:
+            if piece not in recent:
+                if piece in older:
+                    recent[piece] = older[piece]
+                elif _PLAIN.fullmatch(piece):
+                    plain.setdefault(piece.rstrip(), []).append(piece)
+                else:
+                    other.append(piece)
+        self._learn(self.model, other, recent)
+        found: dict[bytes, bytes] = {}
+        self._learn(self.plain, list(plain), found)
+        for word, forms in plain.items():
+            for piece in forms:
+                recent[piece] = found[word]
+        return [recent[piece] for piece in pieces]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ends by row)."""
@@ -136,22 +173,19 @@ class WordTokens:
         n = len(data)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        if b"<|" not in data.tobytes():  # strings of special tokens keep their case
+            data = _LOWER[data]
         blank = (data == 32) | (data == 10)
         begins = np.zeros(n + 1, bool)
-        begins[1:-1] = blank[:-1] & ~blank[1:]
+        begins[1:-1] = (blank[:-1] & ~blank[1:]) | (_LETTER[data[:-1]] & _STOP[data[1:]])
         begins[offsets] = True  # each piece reaches to the next one's start, so it keeps the white space after it
         cuts = np.flatnonzero(begins[:-1])
         pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(np.append(cuts, n).astype(np.int64)), pa.py_buffer(data)])
         coded = pieces.dictionary_encode()
         words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        known = self.known
-        if new := [w for w in words if w not in known]:
-            self._learn(new)
-        lists = [known[w] for w in words]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))
+        lists = self._lists(words)
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+        flat = np.frombuffer(b"".join(lists), np.uint32)
         first = np.cumsum(sizes) - sizes
         count = sizes[index]
         ends = np.cumsum(count)
@@ -160,18 +194,28 @@ class WordTokens:
         return flat[at], row_end
 
 
+_workers: dict[tuple[str, bool], WordTokens] = {}
+
+
+def _tokens(tokenizer: str, whole: bool) -> WordTokens:
+    """One tokenizer a worker process, so that its words outlive a task."""
+    if (tokenizer, whole) not in _workers:
+        _workers[tokenizer, whole] = WordTokens(tokenizer, whole)
+    return _workers[tokenizer, whole]
+
+
 def _encode(tokenizer: str, end_id: int, whole: bool):
     schema = pa.schema([("number", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("payload", pa.binary())])
 
     def run(batches):
-        tokens = WordTokens(tokenizer, whole)
+        tokens = _tokens(tokenizer, whole)
         held, docs, sizes, total, number = [], [], [], 0, 0
 
         def shard():
             ids = np.concatenate(held)
             return pa.RecordBatch.from_pydict({"number": [number], "doc_ids": [docs], "n_tokens": [sizes], "n_ids": [len(ids)], "payload": [encode_ids(ids)]}, schema)
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", 8 << 20)):
             names = batch.column("doc_id").to_pylist()
             ids, ends = tokens(batch.column("text"))
             for doc, a, b in zip(names, np.r_[0, ends[:-1]].tolist(), ends.tolist()):
