@@ -6,10 +6,9 @@ first arrival, and an element stops once its time passes the latest of all regis
 probability Jaccard of the weighted sets. Pairs that share a band are verified by the exact Jaccard of their shingle
 sets, 0.8 or more.
 
-Hot groups: documents with equal shingle sets are one class before banding. A bucket's members are compared with its
-smallest member first; then, only where a bucket still spans several components, members outside its largest
-component are compared with every member of other components. Pairs inside a component are never listed, and no link
-between components is left out.
+Hot groups: documents with equal shingle sets are one class before banding. The members of all buckets with the same
+smallest member form a group; a group is dealt into blocks, and every pair of blocks is compared on its own by matrix
+products. A pair of blocks gives the links of a spanning forest, not all its pairs, and loses no connection.
 """
 
 from __future__ import annotations
@@ -25,6 +24,10 @@ from .common import U64, components, mix, shingles, slices, staged, utf8, word_b
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
+#: A block holds about so many documents and bytes of shingles.
+BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20
+#: Up to so many documents with candidates are sent to the scan of the texts; with more, both sides are shuffled.
+BROADCAST_ROWS = 200_000
 
 
 def shingle_sets(texts: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,37 +84,81 @@ def _sign(bands: int, per_band: int):
     return run
 
 
-def _sets(batches):
+def _keyed_sets(batches):
+    """(u, i, j, side, doc_id, shingles) for every key of a document."""
     for batch in batches:
         for part in slices(batch, "text"):
             found, rows, _ = shingle_sets(part.column("text"))
             ends = 8 * np.r_[0, np.cumsum(np.bincount(rows, minlength=part.num_rows))]
-            blob = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(found.tobytes())])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), blob], names=["doc_id", "shingles"])
+            blob = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(found.tobytes())]).cast(pa.binary())
+            keys = part.column("keys")
+            of = pc.list_parent_indices(keys)
+            u, i, j, side = pc.list_flatten(keys).flatten()
+            yield pa.RecordBatch.from_arrays([u, i, j, side, part.column("doc_id").take(of), blob.take(of)], names=["u", "i", "j", "side", "doc_id", "shingles"])
 
 
-def _similar(least: float):
+def _links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links that hold together whatever Jaccard >= least joins, among all rows or, with both sides, across them.
+
+    Intersections are matrix products over the shingles that occur more than once, so many columns at a time.
+    """
+    n = len(ids)
+    size = np.array([len(x) for x in sets])
+    value, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), size)
+    shared = times > 1
+    renamed = np.cumsum(shared) - 1
+    row, column = row[shared[column]], renamed[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() and not side.all() else (np.arange(n),) * 2
+    both = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(column, (start, start + 4096))
+        bits = np.zeros((n, 4096), np.float32)
+        bits[row[a:b], column[a:b] - start] = 1
+        both += bits[left] @ bits[right].T
+    near = both >= least * (size[left][:, None] + size[right][None, :] - both) - 1e-6
+    grid = np.zeros((n, n), bool)
+    grid[np.ix_(left, right)] = near
+    grid |= grid.T
+    np.fill_diagonal(grid, False)
+    fresh, out = np.ones(n, bool), []
+    for seed in range(n):
+        if not fresh[seed] or not grid[seed].any():
+            continue
+        fresh[seed], queue = False, [seed]
+        while queue:
+            at = queue.pop()
+            new = np.flatnonzero(grid[at] & fresh)
+            fresh[new] = False
+            queue.extend(new.tolist())
+            out.extend((int(ids[at]), int(ids[x])) for x in new)
+    return out
+
+
+def _compare(least: float):
     def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("su"), batch.column("sv")):
-                x, y = np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64)
-                both = np.sort(np.r_[x, y])
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(shared >= least * (len(x) + len(y) - shared) - 1e-9)
-            kept = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("u").filter(kept), batch.column("v").filter(kept)], names=["u", "v"])
+        key, ids, sets, side = None, [], [], []
 
-    return run
+        def done():
+            found = _links(np.array(ids), sets, np.array(side), least) if len(ids) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["u", "v"])
 
+        for batch in batches:
+            names = list(zip(*(batch.column(c).to_pylist() for c in ("u", "i", "j"))))
+            for k, d, s, blob in zip(names, batch.column("doc_id").to_pylist(), batch.column("side").to_pylist(), batch.column("shingles")):
+                if k != key:
+                    if len(ids) > 1:
+                        yield done()
+                    key, ids, sets, side = k, [], [], []
+                ids.append(d)
+                side.append(s)
+                sets.append(np.frombuffer(blob.as_buffer(), U64))
+        if len(ids) > 1:
+            yield done()
 
-def verified(pairs: DataFrame, docs: DataFrame, least: float, name: str) -> DataFrame:
-    """The pairs (u, v) of doc_ids whose shingle sets have that Jaccard; only texts in some pair are read again."""
-    involved = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(involved, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary")
-    sets = staged(texts.dropDuplicates(["doc_id"]), f"{name}-sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sv")), "v").join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("su")), "u")
-    return staged(both.select("u", "v", "su", "sv").mapInArrow(_similar(least), "u long, v long"), f"{name}-links")
+    return run
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
@@ -124,24 +171,21 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     signed = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign(bands, per_band), "doc_id long, twin_a long, twin_b long, n long, bands array<long>"), "minhash-signed")
     named = signed.where("n > 0 and doc_id is not null")
     twins = named.groupBy("twin_a", "twin_b", "n").agg(F.min("doc_id").alias("rep"))
-    reps = named.join(twins, ["twin_a", "twin_b", "n"]).where("doc_id = rep").select("rep", F.explode("bands").alias("band"))
+    reps = named.join(twins, ["twin_a", "twin_b", "n"]).where("doc_id = rep").select("rep", "n", F.explode("bands").alias("band"))
     buckets = reps.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).where("size > 1").drop("size")
-    members = staged(reps.join(buckets, "band"), "minhash-members")
-    stars = staged(members.where("rep <> pivot").select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct(), "minhash-stars")
-    links = verified(stars, docs, least, "minhash-stars")
-    known = components(links, "minhash-components")
-    placed = members.join(known, members.rep == known.node, "left").select("band", "rep", F.coalesce("component", "rep").alias("of"))
-    placed = staged(placed, "minhash-placed")
-    spans = placed.groupBy("band", "of").agg(F.count("*").alias("size")).groupBy("band").agg(F.count("*").alias("parts"), F.max_by("of", F.struct("size", "of")).alias("major")).where("parts > 1")
-    open_ = staged(placed.join(spans.drop("parts"), "band"), "minhash-open")
-    left = open_.where("of <> major").select("band", F.col("rep").alias("x"), F.col("of").alias("x_of"))
-    right = open_.select("band", F.col("rep").alias("y"), F.col("of").alias("y_of"))
-    cross = left.join(right, "band").where("x_of <> y_of").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
-    cross = staged(cross, "minhash-cross")
-    if not cross.isEmpty():
-        more = verified(cross, docs, least, "minhash-cross")
-        if not more.isEmpty():
-            known = components(links.union(more), "minhash-all")
+    groups = reps.join(buckets, "band").select(F.col("pivot").alias("u"), F.col("rep").alias("v"), "n").distinct()
+    groups = staged(groups, "minhash-groups")
+    # A group's members are dealt into blocks by hash; each pair of blocks is one unit of work of bounded size.
+    blocks = groups.groupBy("u").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    placed = groups.join(blocks, "u").withColumn("b", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    key = lambda o: F.struct("u", F.least("b", o).alias("i"), F.greatest("b", o).alias("j"), (F.col("b") > o).cast("int").alias("side"))
+    keyed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).groupBy(F.col("v").alias("doc_id")).agg(F.collect_list(key(F.col("o"))).alias("keys"))
+    keyed = staged(keyed, "minhash-keyed")
+    few = keyed.count() <= BROADCAST_ROWS
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(keyed) if few else keyed, "doc_id")
+    sets = texts.mapInArrow(_keyed_sets, "u long, i int, j int, side int, doc_id long, shingles binary")
+    compared = sets.repartition("u", "i", "j").sortWithinPartitions("u", "i", "j").mapInArrow(_compare(least), "u long, v long")
+    known = components(staged(compared, "minhash-links"), "minhash-components")
     classes = twins.join(known, twins.rep == known.node, "left").select("twin_a", "twin_b", "n", F.coalesce("component", "rep").alias("of"))
     return (
         signed.drop("bands").join(classes, ["twin_a", "twin_b", "n"], "left")
