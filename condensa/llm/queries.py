@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, language_id, minhash_dedup, mixing, token_codes
+from . import chat_format, decontaminate, embedding_dedup, html_extract, language_id, minhash_dedup, mixing, token_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes.encode_table(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -52,9 +56,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_codes, op4_language_id, op5_chat_format, op7_mixing, op8_html_extraction, op9_minhash_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_embedding_dedup, op3_token_codes, op4_language_id, op5_chat_format, op7_mixing, op8_html_extraction, op9_minhash_dedup, op10_decontamination)}
 
 ORACLES = {
+    "op2_embedding_dedup": """
+        with recursive v as (
+          select vec_id, embedding::double[] e from embeddings
+          where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+            and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links as (select a.vec_id u, b.vec_id v from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+                  where list_cosine_similarity(a.e, b.e) >= 0.95),
+        reach as (select u, v from links union select r.u, l.v from reach r join links l on r.v = l.u),
+        near as (select u, count(*) n from links group by u),
+        low as (select u, min(v) c from reach group by u),
+        told as (select vec_id, coalesce(n, 0)::bigint n_links, least(vec_id, coalesce(c, vec_id)) component_id
+                 from embeddings left join near on vec_id = near.u left join low on vec_id = low.u)
+        select *, vec_id = component_id kept from told""",
     "op7_mixing": r"""
         with sized as (
           select doc_id, source, md5(coalesce(doc_id::varchar, 'null')) turn,
