@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, html_extract, language_id, minhash_dedup, mixing, token_codes
+from . import chat_format, decontaminate, embedding_dedup, html_extract, language_id, minhash_dedup, mixing, substring_dedup, suffix_dedup, token_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_units(table(spark, sf_dir, "documents"))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -40,6 +44,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(spark, chat_format.formatted(rows))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -56,9 +64,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_embedding_dedup, op3_token_codes, op4_language_id, op5_chat_format, op7_mixing, op8_html_extraction, op9_minhash_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_embedding_dedup, op3_token_codes, op4_language_id, op5_chat_format, op6_suffix_dedup, op7_mixing, op8_html_extraction, op9_minhash_dedup, op10_decontamination)}
 
 ORACLES = {
+    "op1_substring_dedup": r"""
+        with lines as (select doc_id, string_split(text, chr(10)) l from documents),
+        units as (select doc_id, unnest(l) line, generate_subscripts(l, 1) - 1 unit from lines),
+        placed as (select *, coalesce(sum(len(line) + 1) over (partition by doc_id order by unit rows between unbounded preceding and 1 preceding), 0) "start" from units),
+        worded as (select *, list_filter(regexp_split_to_array(lower(line), '[ \t\r\f\v]+'), lambda x: x <> '') w from placed),
+        ranked as (select *, min(struct_pack(d := doc_id, u := unit)) over (partition by w) f from worded where len(w) >= 5)
+        select doc_id, unit::int unit, "start"::int "start", ("start" + len(line))::int "end", len(w)::int n_words, f.d first_doc_id, f.u::int first_unit
+        from ranked where doc_id <> f.d or unit <> f.u""",
     "op2_embedding_dedup": """
         with recursive v as (
           select vec_id, embedding::double[] e from embeddings
