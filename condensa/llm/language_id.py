@@ -143,8 +143,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return fit([(r.lang, np.asarray(r.at, np.int32), np.asarray(r.n, float)) for r in rows.itertuples()])
 
 
-def identify(docs: DataFrame, model: Model, keep: tuple = ()) -> DataFrame:
-    """doc_id, `keep` columns, lang_pred, score, accepted for every row; only text is an input.
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score, accepted for every row; only text is an input.
 
     `und` with score 0 where the text is null or has no letter; these and scores under the threshold are not
     accepted. An empty table gives an empty table. Memory: one slice of texts and the folded model.
@@ -155,8 +155,22 @@ def identify(docs: DataFrame, model: Model, keep: tuple = ()) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 langs, score = model.value.predict(part.column("text"))
-                cells = [*(part.column(c) for c in ("doc_id", *keep)), pa.array(langs, pa.string()), pa.array(score), pa.array((score >= model.value.threshold) & (score > 0))]
-                yield pa.RecordBatch.from_arrays(cells, names=["doc_id", *keep, "lang_pred", "score", "accepted"])
+                cells = [part.column("doc_id"), pa.array(langs, pa.string()), pa.array(score), pa.array((score >= model.value.threshold) & (score > 0))]
+                yield pa.RecordBatch.from_arrays(cells, names=["doc_id", "lang_pred", "score", "accepted"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep))
-    return docs.select(*dict.fromkeys(["doc_id", *keep, "text"])).mapInArrow(run, f"{kinds}, lang_pred string, score double, accepted boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows whose language is accepted, with the columns of docs; the texts pass through in batches, unshuffled."""
+    model = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, batch.schema.names[at]):
+                _, score = model.value.predict(part.column(at))
+                yield part.filter(pa.array((score >= model.value.threshold) & (score > 0)))
+
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # any names will do
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)

@@ -62,8 +62,9 @@ def _edge(copies: DataFrame, limit: int) -> tuple[int, tuple | None]:
     return first, tuple(last)
 
 
-def mix(docs: DataFrame, budget: float = BUDGET, most: int = MOST, cycle: tuple = CYCLE, keep: tuple = ()) -> DataFrame:
-    """One row per document: doc_id, source, `keep` columns, size, source_size, target, taken, copies.
+def mix(docs: DataFrame, budget: float = BUDGET, most: int = MOST, cycle: tuple = CYCLE, whole: bool = False) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken, copies, and with `whole` also row, the
+    input row as a struct.
 
     Documents are shuffled by the md5 of their id. A document's copy in pass e (0 .. most - 1) has the virtual
     finish time (e x source_size + running tokens of its source) / target. All copies are ranked by finish time,
@@ -74,8 +75,9 @@ def mix(docs: DataFrame, budget: float = BUDGET, most: int = MOST, cycle: tuple
     a doc_id and a source are mixed each on its own. Null ids are shuffled as the word "null". An empty table gives
     an empty table.
     """
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if whole else []
     sized = docs.select(
-        "doc_id", "source", *keep,
+        "doc_id", "source", *row,
         F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")).alias("of"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")).alias("turn"),
@@ -110,4 +112,10 @@ def mix(docs: DataFrame, budget: float = BUDGET, most: int = MOST, cycle: tuple
         return F.when(live & inside, 1).otherwise(0)
 
     number = sum((taken(e) for e in range(1, most)), taken(0))
-    return queued.withColumn("copies", number).select("doc_id", "source", *keep, "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
+    return queued.withColumn("copies", number).select("doc_id", "source", *(["row"] if whole else []), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: every row as often as it is taken, with the columns of docs."""
+    taken = mix(docs, whole=True, **options).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
