@@ -18,7 +18,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, staged
@@ -79,21 +79,13 @@ def _first(dim: int) -> np.ndarray:
 
 
 def _pack(batches):
-    """Blocks of sorted vectors of one dimension."""
-    held: list[tuple] = []
-
-    def block():
-        ids, n, dim, place, blobs = zip(*held)
-        return pa.RecordBatch.from_pydict({"dim": pa.array([dim[0]], pa.int32()), "low": [place[0]], "high": [place[-1]], "ids": [np.array(ids, "<i8").tobytes()], "copies": [np.array(n, "<i8").tobytes()], "vectors": [b"".join(blobs)]})
-
+    """Blocks as three byte strings: ids, copies, and vectors."""
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("rep", "copies", "dim", "place", "blob"))):
-            if held and (len(held) == BLOCK or row[2] != held[0][2]):
-                yield block()
-                held = []
-            held.append(row)
-    if held:
-        yield block()
+        rows = [(x["dim"], x["block"], x["low"], x["high"], *zip(*((m["rep"], m["copies"], m["blob"]) for m in x["members"]))) for x in batch.to_pylist()]
+        yield pa.RecordBatch.from_pydict(
+            {"dim": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.int64()), "low": pa.array([r[2] for r in rows], pa.float64()), "high": pa.array([r[3] for r in rows], pa.float64()),
+             "ids": pa.array([np.array(r[4], "<i8").tobytes() for r in rows], pa.binary()), "copies": pa.array([np.array(r[5], "<i8").tobytes() for r in rows], pa.binary()), "vectors": pa.array([b"".join(r[6]) for r in rows], pa.binary())}
+        )
 
 
 def forest(grid: np.ndarray) -> list[tuple[int, int]]:
@@ -111,41 +103,45 @@ def forest(grid: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _near(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, width: float, count: int, least: float) -> np.ndarray:
+#: A projection in steps of 1 / STEPS, modulo 256: enough for the window, and wrapping only adds candidates.
+STEPS = 28
+
+
+def _near(a: np.ndarray, b: np.ndarray, steps_a: np.ndarray, steps_b: np.ndarray, width: int, count: int, least: float) -> np.ndarray:
     """Which pairs of two tiles collide often enough and then have that cosine."""
-    hits, gap, inside = np.zeros((len(a), len(b)), np.uint8), np.empty((len(a), len(b)), np.float32), np.empty((len(a), len(b)), bool)
-    for j in range(pa_.shape[1]):
-        np.subtract(pa_[:, j, None], pb[None, :, j], out=gap)
-        np.abs(gap, out=gap)
-        np.less_equal(gap, width, out=inside)
+    shape = (len(a), len(b))
+    hits, gap, inside = np.zeros(shape, np.uint8), np.empty(shape, np.uint8), np.empty(shape, bool)
+    for x, y in zip(steps_a, steps_b):
+        np.subtract(x[:, None], (y - np.uint8(width))[None, :], out=gap)
+        np.less_equal(gap, np.uint8(2 * width), out=inside)
         np.add(hits, inside.view(np.uint8), out=hits)
     x, y = np.nonzero(hits >= count)
-    good = np.zeros(hits.shape, bool)
-    for i in range(0, len(x), 65536):
-        p, q = x[i : i + 65536], y[i : i + 65536]
+    good = np.zeros(shape, bool)
+    for i in range(0, len(x), 16384):
+        p, q = x[i : i + 16384], y[i : i + 16384]
         good[p, q] = np.einsum("ij,ij->i", a[p], b[q]) >= least
     return good
 
 
 def _count(least: float):
     d = math.sqrt(2 - 2 * least)
-    width, count = np.float32(WINDOW * d * (1 + 1e-5)), least_count()
+    width, count = math.ceil(WINDOW * d * STEPS) + 1, least_count()
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 dim, sides, along = row["dim"], [], directions(row["dim"])
                 for s in "ab":
                     ids, copies = (np.frombuffer(row[f"{c}_{s}"], "<i8") for c in ("ids", "copies"))
                     vectors = unit(np.frombuffer(row[f"vectors_{s}"], np.float64).reshape(len(ids), dim))
-                    sides.append((ids, copies, vectors, (vectors @ along).astype(np.float32)))
+                    sides.append((ids, copies, vectors, np.ascontiguousarray(np.floor(vectors @ along * STEPS).astype(np.int64).astype(np.uint8).T)))
                 (ia, na, va, pa_), (ib, nb, vb, pb) = sides
                 same = row["a"] == row["b"]
                 grid = np.zeros((len(ia), len(ib)), bool)
                 for x in range(0, len(ia), TILE):
                     for y in range(x if same else 0, len(ib), TILE):
                         s, t = slice(x, x + TILE), slice(y, y + TILE)
-                        grid[s, t] = _near(va[s], vb[t], pa_[s], pb[t], width, count, least)
+                        grid[s, t] = _near(va[s], vb[t], pa_[:, s], pb[:, t], width, count, least)
                 if same:
                     grid |= grid.T
                     np.fill_diagonal(grid, False)
@@ -180,9 +176,16 @@ def near_duplicates(vectors: DataFrame, least: float = SIMILARITY) -> DataFrame:
     usable = read.where("key is not null and vec_id is not null")
     classes = usable.groupBy("key", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("place").alias("place"), F.first("blob").alias("blob"))
     classes = staged(classes, "vectors-classes")
-    ordered = classes.repartitionByRange("dim", "place").sortWithinPartitions("dim", "place")
-    blocks = ordered.select("rep", "copies", "dim", "place", "blob").mapInArrow(_pack, "dim int, low double, high double, ids binary, copies binary, vectors binary")
-    blocks = staged(blocks.withColumn("block", F.monotonically_increasing_id()), "vectors-blocks")
+    # Rank on the first projection in two levels, bins and inside a bin; BLOCK ranks are a block.
+    binned = classes.withColumn("slot", F.floor(F.col("place") * 512))
+    sums = binned.groupBy("dim", "slot").agg(F.count("*").alias("n"))
+    before = Window.orderBy("dim", "slot").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("dim", "slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("dim", "slot").orderBy("place", "rep")) - 1 + F.col("base")
+    ranked = binned.join(sums, ["dim", "slot"]).withColumn("block", F.floor(rank / BLOCK))
+    gathered = ranked.groupBy("dim", "block").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.collect_list(F.struct("rep", "copies", "blob")).alias("members"))
+    blocks = gathered.mapInArrow(_pack, "dim int, block long, low double, high double, ids binary, copies binary, vectors binary")
+    blocks = staged(blocks.withColumn("block", F.col("block") * (1 << 20) + F.col("dim")), "vectors-blocks")
 
     # Blocks that lie within `far` of each other on the first projection, by the bins of that width they reach.
     far = FAR * math.sqrt(2 - 2 * least)

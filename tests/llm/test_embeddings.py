@@ -68,5 +68,6 @@ def test_pairs_at_the_threshold_pass_the_count():
     gap = np.abs((a - b) @ E.directions(64))
     hits = (gap <= E.WINDOW * math.sqrt(0.1)).sum(1)
     assert (hits >= E.least_count()).mean() > 0.998
+    assert E.least_count() >= 16
     other = np.abs((a - a[::-1]) @ E.directions(64)) <= E.WINDOW * math.sqrt(0.1)
     assert (other.sum(1) >= E.least_count()).mean() < 0.01
