@@ -1 +1 @@
-
+"""State that outlives a record."""
