@@ -147,7 +147,7 @@ def shingles(words: np.ndarray, rows: np.ndarray, k: int = 5) -> tuple[np.ndarra
     return hashed, of
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """Cut a batch so that each part holds about `limit` bytes of one column, or one longer row."""
     _, offsets = utf8(batch.column(column)) if batch.num_rows else (None, np.zeros(1, np.int64))
     at = 0

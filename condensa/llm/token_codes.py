@@ -31,7 +31,7 @@ MAGIC = b"DAC1"
 #: Ids in a shard, a whole document more or less.
 SHARD_IDS = 1 << 18
 #: Distinct words in each of the two tables of ids that a worker remembers.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 
 
 # ---------------------------------------------------------------- the code
@@ -130,11 +130,10 @@ class WordTokens:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model, self.whole = Tokenizer.from_file(path), whole
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = normalizers.Sequence([])
+        self.plain = Tokenizer(self.model.model)  # shares the vocabulary
         self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.recent, self.older = {}, {}  # piece -> its ids as bytes; a full table becomes the older one
 
@@ -215,7 +214,7 @@ def _encode(tokenizer: str, end_id: int, whole: bool):
             ids = np.concatenate(held)
             return pa.RecordBatch.from_pydict({"number": [number], "doc_ids": [docs], "n_tokens": [sizes], "n_ids": [len(ids)], "payload": [encode_ids(ids)]}, schema)
 
-        for batch in (part for whole in batches for part in slices(whole, "text", 8 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, "text", 4 << 20)):
             names = batch.column("doc_id").to_pylist()
             ids, ends = tokens(batch.column("text"))
             for doc, a, b in zip(names, np.r_[0, ends[:-1]].tolist(), ends.tolist()):
