@@ -64,7 +64,8 @@ def repeated_units(docs: DataFrame, kind: str = "line", least_words: int = LEAST
     """
     found = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_units(kind, least_words), "digest binary, doc_id long, unit int, start int, end int, n_words int"), "units")
     first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.unit").alias("first_unit"))
+    # Written first: a join of two plain exchanges is one whose hot digests Spark can split.
+    first = staged(first.select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.unit").alias("first_unit")), "units-first")
     same = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("unit") == F.col("first_unit"))
     return found.join(first, "digest").where(~same).select("doc_id", "unit", "start", "end", "n_words", "first_doc_id", "first_unit")
 
