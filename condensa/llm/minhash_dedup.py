@@ -60,12 +60,22 @@ def prob_minhash(elements: np.ndarray, weights: np.ndarray, rows: np.ndarray, n_
     return who.reshape(n_rows, m)
 
 
+def _sliced_sets(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """shingle_sets of a batch, made from smaller slices."""
+    out, at = [], 0
+    for piece in slices(part, "text"):
+        found, rows, times = shingle_sets(piece.column("text"))
+        out.append((found, rows + at, times))
+        at += piece.num_rows
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def _sign(bands: int, per_band: int):
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4 << 20):
                 n = part.num_rows
-                found, rows, times = shingle_sets(part.column("text"))
+                found, rows, times = _sliced_sets(part)
                 size = np.bincount(rows, minlength=n)
                 code = prob_minhash(found, 1 + np.log(times), rows, n, bands * per_band).reshape(n, bands, per_band)
                 keys = mix((code * _power(per_band + 1)[1 : per_band + 1]).sum(2, dtype=U64) ^ mix(np.arange(bands, dtype=U64) + U64(99)))
@@ -187,6 +197,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     compared = sets.repartition("u", "i", "j").sortWithinPartitions("u", "i", "j").mapInArrow(_compare(least), "u long, v long")
     known = components(staged(compared, "minhash-links"), "minhash-components")
     classes = twins.join(known, twins.rep == known.node, "left").select("twin_a", "twin_b", "n", F.coalesce("component", "rep").alias("of"))
+    classes = staged(classes, "minhash-classes")  # a join of two plain exchanges is one whose hot twins Spark can split
     return (
         signed.drop("bands").join(classes, ["twin_a", "twin_b", "n"], "left")
         .select("doc_id", F.when(F.col("n") > 0, F.col("of")).otherwise(F.col("doc_id")).alias("c"))
