@@ -11,7 +11,7 @@ from .functions import patterns as P
 from .functions import text as T
 from .functions.predicates import Line, PyLine  # noqa: F401
 from .operators import evaluation, focus, kernel, lines, projection, retrieval, shape, spans, store
-from .plans import requests
+from .plans import acquisition, requests, sql
 from .sources import files
 from .streaming import intent
 
@@ -536,6 +536,32 @@ def derived_focus(spark, sf_dir):
     return e.select("event_id", requests.derived_focus(payload).alias("focus"))
 
 
+@query("select doc_id, doc_id % 4 <> 3 or strlen(text) = 0 covered from documents where text is not null")
+def stream_event_check(spark, sf_dir):
+    size = F.octet_length("text").cast("long")
+    chunks = F.filter(F.sequence(F.lit(0).cast("long"), F.floor((size - 1) / 512)), lambda k: k >= 0)
+    wrong = F.when(F.col("doc_id") % 4 == 3, 1).otherwise(0)  # every fourth claims a gap
+    events = F.transform(chunks, lambda k: F.struct(k.alias("order"), F.when(k % 2 == 0, "stdout").otherwise("stderr").alias("stream"), (k * 512 + wrong).alias("start"), F.least(k * 512 + 512, size).alias("end")))
+    return documents(spark, sf_dir).where("text is not null").select("doc_id", acquisition.events_cover(events, size).alias("covered"))
+
+
+@query("""select o_orderkey, coalesce(case when o_orderkey % 3 < 2 then case when o_custkey % 2 = 0 then ['inline', 'file'][(o_orderkey % 3 + 1)::bigint] end
+    when o_custkey % 4 = 0 then case when o_custkey % 3 = 0 then 'process_complete' else 'process_failed' end else 'process_partial' end, 'contradiction') state from orders""")
+def acquisition_state(spark, sf_dir):
+    k, c = F.col("o_orderkey") % 3, F.col("o_custkey")
+    kind = F.when(k == 0, "inline").when(k == 1, "file").otherwise("process")
+    status = F.when(k == 2, F.when(c % 4 == 0, "complete").otherwise("partial")).when(c % 2 == 1, "complete")
+    code = F.when((k == 2) & (c % 4 == 0), c % 3)
+    return _orders(spark, sf_dir).select("o_orderkey", F.coalesce(acquisition.state(kind, status, code), F.lit("contradiction")).alias("state"))
+
+
+@query(f"select doc_id, strlen(text) original_count, least(strlen(text), 999999) visible_count from documents where strlen(text) <= {LIMIT}")
+def project_text_lateral(spark, sf_dir):
+    sql.register(spark)
+    documents(spark, sf_dir).createOrReplaceTempView("_condensa_documents")
+    return spark.sql(f"select d.doc_id, p.original_count, p.visible_count from _condensa_documents d, lateral project_text(d.text, 'plain-text/v1', {LIMIT}, 0, null) p where p.fidelity = 'exact'")
+
+
 # ---------------------------------------------------------------- evaluation
 
 @query(f"""with shown as (select doc_id, left(text, {_FITS.format(512)}) visible from documents where text is not null), facts as (select doc_id, unnest([text[1:20], text[400:420], text[-20:]]) fact from documents where doc_id % 5 <> 0),

@@ -10,8 +10,8 @@ from core.test_kernel import logs
 from pyspark.sql import functions as F
 
 from condensa.operators import evaluation, focus, kernel, lines, projection, retrieval, shape, spans, store
-from condensa.plans import requests
-from condensa.sources import files, process
+from condensa.plans import acquisition, requests, sql
+from condensa.sources import corpus, files, process
 from condensa.sources.store import Store, StoreError
 from condensa.streaming import intent
 
@@ -236,3 +236,34 @@ def test_evaluation(spark):
     seen = spark.createDataFrame([(1, "abc"), (2, "x")], "k long, visible string")
     facts = spark.createDataFrame([(1, "b"), (1, "z")], "k long, fact string")
     assert {r.k: r.recall for r in evaluation.fact_recall(seen, facts, "k").collect()} == {1: 0.5, 2: 1.0}
+
+
+def test_acquisitions(spark):
+    cover = lambda events, n: spark.createDataFrame([(events,)], "e array<struct<order: long, stream: string, start: long, end: long>>").select(acquisition.events_cover(F.col("e"), F.lit(n))).first()[0]
+    assert cover([], 0) and cover([(0, "stdout", 0, 3), (1, "stderr", 3, 6)], 6)
+    for bad in ([(0, "stdout", 0, 3), (2, "stderr", 3, 6)], [(0, "stdout", 0, 3), (1, "stderr", 4, 6)], [(0, "stdout", 0, 3)], [(0, "x", 0, 6)], []):
+        assert not cover(bad, 6)
+    rows = [("inline", None, None, "inline"), ("file", "complete", None, None), ("process", "complete", 0, "process_complete"), ("process", "complete", 2, "process_failed"), ("process", "truncated", None, "process_partial"), ("process", "complete", -9, None)]
+    got = spark.createDataFrame(rows, "k string, s string, c int, want string").select("want", acquisition.state(F.col("k"), F.col("s"), F.col("c")).alias("got")).collect()
+    assert all(r.want == r.got for r in got)
+    assert spark.range(1).select(acquisition.path_summary(F.lit("/é"))).first()[0] == "<3 path bytes>"
+
+
+def test_lateral_projection(spark, docs, texts):
+    sql.register(spark)
+    docs.createOrReplaceTempView("some_docs")
+    got = {r.doc_id: r for r in spark.sql("select d.doc_id, p.* from some_docs d, lateral project_text(d.text, 'auto/v1', 300, 0, null) p").collect()}
+    want = {r.doc_id: r for r in projection.project(docs, total=300).collect()}
+    assert {d: (r.visible, r.error_code) for d, r in got.items()} == {d: (r.visible, r.error_code) for d, r in want.items()}
+
+
+def test_fixtures(spark):
+    rows = [(0, ("utf8", "hé", None, None, None)), (1, ("base64", None, "YQ==", None, None)), (2, ("base64", None, "YR==", None, None)), (3, ("padded", "ab", None, "xyz", 7)), (4, ("padded", "abc", None, "x", 2)), (5, ("odd", "a", None, None, None))]
+    got = {r.i: None if r.b is None else bytes(r.b) for r in spark.createDataFrame(rows, f"i int, p {corpus.PAYLOAD}").select("i", corpus.materialised(F.col("p")).alias("b")).collect()}
+    assert got == {0: "hé".encode(), 1: b"a", 2: None, 3: b"abxyzxy", 4: None, 5: None}
+    events = [(1, ("utf8", "b", None, None, None)), (0, ("utf8", "a", None, None, None))]
+    assert bytes(spark.createDataFrame([(events,)], f"e array<struct<order: int, payload: {corpus.PAYLOAD}>>").select(corpus.joined_events(F.col("e"))).first()[0]) == b"ab"
+    facts = lambda *x: [(f"f{i}", c, n) for i, (c, n) in enumerate(x)]
+    made = [("ok", "a b", facts(("P0", "a")), "s"), ("gone", "a", facts(("P0", "z")), "s"), ("class", "a", facts(("P9", "a")), "s"), ("budget", "a", facts(("P1", "a")), "t"), ("twice", "a", [("f", "P0", "a"), ("f", "P1", "a")], "s")]
+    frame = spark.createDataFrame(made, "id string, source string, facts array<struct<id: string, class: string, needle: string>>, budget string").withColumn("budgets", F.array(F.lit("s")))
+    assert {r.id: r.problem for r in corpus.invalid(frame).collect()} == {"gone": "absent_fact", "class": "unknown_class", "budget": "unknown_budget", "twice": "repeated_fact"}
