@@ -5,8 +5,9 @@ one with the smallest hash. The first window of a repeated passage of LEAST word
 all its occurrences, so at least REACH = LEAST - WINDOW + 1 of its words follow that suffix's start. Suffixes
 are sorted by their first REACH words and neighbours compared; a suffix that equals neither neighbour is dropped,
 which leaves the repeated parts of the corpus. There, matches are extended to the left, to every word whose window
-chose that suffix, and to the right, to LEAST words: these runs of LEAST words are compared by a 128-bit digest, and
-runs that follow each other join to the longest match. The first occurrence stays.
+chose that suffix, and to the right, to LEAST words: occurrences of a suffix with equal runs around it match as a
+whole; between those with different ones each run of LEAST words is compared by a 128-bit digest. Matches that follow each other
+join to the longest one. The first occurrence stays. Copies of whole texts are set aside first.
 
 Words are runs of other than ASCII white space, compared without ASCII case; offsets are code points of the text.
 """
@@ -25,8 +26,8 @@ LEAST = 50
 GRAM = 5
 WINDOW = 25
 REACH = LEAST - WINDOW + 1
-#: Up to so many documents with repeated suffixes are sent to the scan of the texts; with more, both sides are shuffled.
-BROADCAST_ROWS = 50_000
+#: Up to so many bytes of suffix places, and of copies of whole texts, are sent to the scan; with more, both sides are shuffled.
+BROADCAST_BYTES = 32 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -45,7 +46,7 @@ def minimisers(words: np.ndarray, rows: np.ndarray, gram: int = GRAM, window: in
     grams = gram_hashes(words, gram)[: len(words) - gram + 1]
     view = np.lib.stride_tricks.sliding_window_view(grams, window)
     begin = np.flatnonzero(rows[: len(view)] == rows[span - 1 : span - 1 + len(view)])
-    chosen = [part + view[part].argmin(1) for part in (begin[i : i + (1 << 18)] for i in range(0, len(begin), 1 << 18))]
+    chosen = [part + view[part].argmin(1) for part in (begin[i : i + (1 << 16)] for i in range(0, len(begin), 1 << 16))]
     return begin, np.concatenate([np.zeros(0, np.int64), *chosen])
 
 
@@ -107,70 +108,122 @@ def _neighbours(batches):
         yield held
 
 
-def _runs(batches):
-    """Digest and offsets of every run of LEAST words whose first window's minimiser survived."""
+def _placed(part: pa.RecordBatch):
+    """Words of a batch with what follows from them, and the surviving suffixes of its column `places`."""
+    data, offsets, starts, ends, rows, words = _words(part.column("text"))
+    place, size = row_places(rows)
+    begin = np.searchsorted(rows, np.arange(part.num_rows))
+    lists = part.column("places")
+    alive = np.zeros(len(words), bool)
+    alive[begin[pc.list_parent_indices(lists).to_numpy()] + pc.list_flatten(lists).to_numpy()] = True
+    character = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
+    shift = character[offsets[rows]]
+    first, last = character[starts] - shift, character[ends] - shift  # of each word, in code points of its text
+    s, at = minimisers(words, rows)
+    whole = place[s] + LEAST <= size[s]
+    s, at = s[whole], at[whole]
+    live = alive[at]
+    return rows, words, place, first, last, s[live], at[live]
+
+
+def _groups(batches):
+    """For every surviving suffix the runs of LEAST words that chose it: a digest of the first and last, place and offsets."""
     for batch in batches:
         for part in slices(batch, "text"):
-            data, offsets, starts, ends, rows, words = _words(part.column("text"))
-            if len(words) < LEAST:
-                continue
-            s, at = minimisers(words, rows)
-            place, size = row_places(rows)
-            begin = np.searchsorted(rows, np.arange(part.num_rows))
-            lists = part.column("places")
-            of = pc.list_parent_indices(lists).to_numpy()
-            alive = np.zeros(len(words), bool)
-            alive[begin[of] + pc.list_flatten(lists).to_numpy()] = True
-            s = s[alive[at]]
-            s = s[place[s] + LEAST <= size[s]]
+            rows, words, place, first, last, s, at = _placed(part)
             if not len(s):
                 continue
-            character = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
-            row_start = character[offsets[rows[s]]]
-            a, b = (_long_hash(words, LEAST, salt)[s].view(np.int64) for salt in (2, 3))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a), pa.array(b), part.column("doc_id").take(pa.array(rows[s])), pa.array(place[s].astype(np.int32)),
-                 pa.array((character[starts[s]] - row_start).astype(np.int32)), pa.array((character[ends[s + LEAST - 1]] - row_start).astype(np.int32))],
-                names=["a", "b", "doc_id", "place", "start", "end"],
-            )
+            low = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            high = np.r_[low[1:], len(at)] - 1
+            lo, hi, p = s[low], s[high], at[low]
+            key = _long_hash(words, REACH, 1)[p]
+            back, width, kinds = (p - lo).astype(U64), (hi - lo).astype(U64), []
+            for salt in (2, 3):
+                run = _long_hash(words, LEAST, salt)
+                kinds.append(mix(mix(mix(run[lo] ^ key) + run[hi] * U64(3)) + back * U64(64) + width).view(np.int64))
+            cells = [key.view(np.int64), *kinds, (p - lo).astype(np.int32), (hi - lo).astype(np.int32), place[p].astype(np.int32), first[lo].astype(np.int32), last[hi + LEAST - 1].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(rows[p])), *map(pa.array, cells)], names=["doc_id", "key", "a", "b", "back", "width", "place", "start", "end"])
+
+
+def _runs(batches):
+    """Digest and offsets of every run of LEAST words that chose a suffix in `places`."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            rows, words, place, first, last, s, _ = _placed(part)
+            if len(s):
+                a, b = (_long_hash(words, LEAST, salt)[s].view(np.int64) for salt in (2, 3))
+                cells = [a, b, place[s].astype(np.int32), first[s].astype(np.int32), last[s + LEAST - 1].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(rows[s])), *map(pa.array, cells)], names=["doc_id", "a", "b", "place", "start", "end"])
+
+
+def _met(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """docs with the list column of `places`, which goes to the scan where it is small."""
+    held = places.select(F.sum(F.size("places") * 4 + 16)).first()[0] or 0
+    return docs.join(F.broadcast(places) if held <= BROADCAST_BYTES else places, "doc_id")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """One row per passage to remove: doc_id, start, end (code points), n_words, first_doc_id, first_start.
 
     A passage is a longest stretch of words of a document every LEAST of which occurred before, in a document of
-    smaller doc_id or earlier in the same one; first_doc_id is where its first LEAST words occur first, first_start
+    smaller doc_id or earlier in the same one; first_doc_id is a document where its first LEAST words stand, first_start
     the offset there. Texts of fewer than LEAST words, null ones too, have none. Rows that repeat a doc_id are one
     document: what only they share is not repeated. Rows with a null doc_id take no part. An empty table gives an
     empty table.
     """
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    # Copies of a whole text are found by its md5; one of each group, the smallest doc_id, stands for all.
+    texts = staged(named.where("text is not null").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest")), "suffixes-texts")
+    ones = texts.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = staged(texts.join(staged(ones, "suffixes-ones"), "digest").where("doc_id <> first_doc_id").select("first_doc_id", "doc_id").distinct(), "suffixes-copies")
+    few = copies.count() * 16 <= BROADCAST_BYTES
+    one = F.broadcast(copies) if few else copies
+    words, space = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), r"[\x20\x09-\x0D]+"
+    head = F.length(F.regexp_replace("text", f"^{space}", ""))
+    edge = F.length("text") - head
+    copied = named.join(one, "doc_id").select("doc_id", edge.cast("long").alias("start"), F.length(F.regexp_replace("text", f"{space}\\z", "")).cast("long").alias("end"), words.cast("long").alias("n_words"), "first_doc_id", edge.cast("long").alias("first_start"))
+    copied = copied.where(F.col("n_words") >= LEAST).distinct()
+    named = named.join(one, "doc_id", "left_anti")
+
     suffixes = staged(named.mapInArrow(_suffixes, "key long, doc_id long, place int"), "suffixes")
     ordered = suffixes.repartitionByRange("key", "doc_id", "place").sortWithinPartitions("key", "doc_id", "place")
     alive = ordered.mapInArrow(_neighbours, "key long, doc_id long, place int").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     alive = staged(alive, "suffixes-alive")
-    few = alive.count() <= BROADCAST_ROWS
-    runs = staged(named.join(F.broadcast(alive) if few else alive, "doc_id").mapInArrow(_runs, "a long, b long, doc_id long, place int, start int, end int"), "suffixes-runs")
+    groups = staged(_met(named, alive).mapInArrow(_groups, "doc_id long, key long, a long, b long, back int, width int, place int, start int, end int"), "suffixes-groups")
+    # Occurrences of a suffix with equal runs around it are one variant: all but the first are matches of the first.
+    # Where a suffix has several variants, the runs of their first occurrences are compared one by one.
+    variants = groups.groupBy("key", "a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place", "start")).alias("first"))
+    variants = staged(variants, "suffixes-variants")
+    firsts = variants.where("n > 1").select("key", "a", "b", F.col("first.doc_id").alias("first_doc_id"), F.col("first.place").alias("first_place"), F.col("first.start").alias("first_start"))
+    whole = groups.join(staged(firsts, "suffixes-firsts"), ["key", "a", "b"]).where("doc_id <> first_doc_id or place <> first_place")
+    whole = whole.select("doc_id", (F.col("place") - F.col("back")).alias("place"), (F.col("width") + LEAST).alias("n"), "start", "end", "first_doc_id", "first_start")
+
+    several = staged(variants.groupBy("key").agg(F.count("*").alias("v")).where("v > 1").select("key"), "suffixes-several")
+    reps = variants.join(several, "key").select(F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place"))
+    open_ = staged(reps.groupBy("doc_id").agg(F.collect_set("place").alias("places")), "suffixes-open")
+    runs = staged(_met(named, open_).mapInArrow(_runs, "doc_id long, a long, b long, place int, start int, end int"), "suffixes-runs")
     first = runs.groupBy("a", "b").agg(F.min(F.struct("doc_id", "place", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = first.select("a", "b", F.col("first.doc_id").alias("first_doc_id"), F.col("first.place").alias("first_place"), F.col("first.start").alias("first_start"))
-    again = runs.join(first, ["a", "b"]).where("doc_id <> first_doc_id or place <> first_place")
-    row = F.struct("place", "start", "end", "first_doc_id", "first_start")
-    return again.groupBy("doc_id").agg(F.sort_array(F.collect_set(row)).alias("runs")).mapInArrow(_join, "doc_id long, start long, end long, n_words long, first_doc_id long, first_start long")
+    first = staged(first, "suffixes-first")  # a join of two plain exchanges is one whose hot runs Spark can split
+    again = runs.join(first, ["a", "b"]).where("doc_id <> first_doc_id or place <> first_place").select("doc_id", "place", F.lit(LEAST).alias("n"), "start", "end", "first_doc_id", "first_start")
+    row = F.struct("place", "n", "start", "end", "first_doc_id", "first_start")
+    found = whole.union(again).groupBy("doc_id").agg(F.sort_array(F.collect_set(row)).alias("runs"))
+    return copied.union(found.mapInArrow(_join, "doc_id long, start long, end long, n_words long, first_doc_id long, first_start long"))
 
 
 def _join(batches):
     """Runs that follow each other or overlap are one passage."""
-    for batch in batches:
+    for batch in (whole.slice(i, 200) for whole in batches for i in range(0, whole.num_rows, 200)):
         out = []
         for doc, runs in zip(batch.column("doc_id").to_pylist(), batch.column("runs").to_pylist()):
             held = None
             for r in runs:
                 if held and r["place"] <= held[5]:
-                    held[2], held[5] = max(held[2], r["end"]), r["place"] + LEAST
+                    held[2], held[5] = max(held[2], r["end"]), max(held[5], r["place"] + r["n"])
                     continue
                 if held:
                     out.append(held)
-                held = [doc, r["start"], r["end"], r["first_doc_id"], r["first_start"], r["place"] + LEAST, r["place"]]
+                held = [doc, r["start"], r["end"], r["first_doc_id"], r["first_start"], r["place"] + r["n"], r["place"]]
             if held:
                 out.append(held)
         cells = ([x[0] for x in out], [x[1] for x in out], [x[2] for x in out], [x[5] - x[6] for x in out], [x[3] for x in out], [x[4] for x in out])
