@@ -141,3 +141,67 @@ def test_patterns_across_lines_and_at_line_ends():
     assert K.select_pattern(s, b"bb\nc", 0, 0) == [(2, 7)] and K.select_pattern(s, b"bb\n", 0, 0) == [(2, 5), (7, 10)]
     assert K.select_pattern(s, b"c", 1, 1) == [(2, 10)] and K.select_pattern(s, b"zz") == [] and K.select_pattern(s, b"b", 0, 0, 1) == [(2, 5)]
     assert K.select_lines(s, 2, 2) == [(2, 7)] and K.select_lines(s, 9, 2) == [] and K.select_lines(b"", 1, 1) == []
+
+
+# ---------------------------------------------------------------- worked examples
+
+@pytest.mark.parametrize("source,total,reserved,profile,want", [
+    (b"exact-fit", 12, 3, "plain-text/v1", ("exact", "exact-fit", 9)), (b"exact-fit", 11, 3, "plain-text/v1", ("extractive", "exact-fi", 8)),
+    (b"\xffA", 5, 0, "none/v1", ("encoded", "\\xffA", 5)), (b"\xff" * 64, 64, 0, "none/v1", ("metadata_only", "[binary source: 64 bytes]", 25)), (b"", 0, 0, "plain-text/v1", ("exact", "", 0)),
+])
+def test_fidelities(source, total, reserved, profile, want):
+    out = K.project(source, profile, total, reserved)
+    assert (out["fidelity"], out["visible"], out["visible_count"]) == want
+
+
+def test_fact_ids_name_the_lines_of_the_applied_profile():
+    out = K.project(b"head\nnoise noise noise\nerror[E1]: critical\nwarning: W1 is useful\ntail\n", "build-log/v1", 48)
+    assert out["fact_ids"] == ["build-output/v1:23-43"]
+
+
+@pytest.mark.parametrize("profile,lines", [
+    ("build-output/v1", ["error[X7]: no such item", "warning: never read"]), ("typecheck-lint/v1", ["lib/a.rs:40:2: error: bad type", "--> lib/a.rs"]),
+    ("test-output/v1", ["not ok 3 - sums", "ran 9 tests in 2 s"]), ("stack-trace/v1", ["ValueError: too small", "at parse (/srv/app/read.js:10:4)"]),
+    ("unified-diff/v1", ["@@ -7 +7,2 @@", "-    total = 0"]), ("api-json/v1", ['"state": "done",', "}"]), ("source-file/v1", ["def total(rows):", "import math"]),
+])
+def test_every_shape_keeps_its_telling_lines(profile, lines):
+    source = "top\n" + "a line like the others\n" * 70 + "\n".join(lines) + "\nbottom\n"
+    out = K.project(source.encode(), profile, 200)
+    assert all(f"{x}\n" in out["visible"] for x in lines) and out["visible_count"] <= 200 and f"{out['shape']}/v1" == profile
+
+
+def test_bridges_go_to_the_nearest_neighbour():
+    plan = K.Plan(b"alpha\nbravo\ncharlie\ndelta\necho\nfoxtrot\n", [], None, 257, K.LABEL)
+    assert plan.bridge(0, 6) is None
+    for span in ((6, 12), (20, 26)):
+        plan.apply(plan.propose(*span)[2])
+    assert (plan.bridge(31, 39), plan.bridge(0, 6), plan.bridge(13, 19)) == ((26, 39), (0, 6), (12, 19))
+    plan.apply(plan.propose(26, 39)[2])
+    assert list(zip(plan.starts, plan.ends)) == [(6, 12), (20, 39)]
+
+
+def test_repeats_pay_for_distinct_lines():
+    names = [f"{a}{b}{c}" for a in "mnp" for b in "aeiou" for c in "lrst"][:40]
+    source = "begin\n" + "".join(f"Downloading part {i} of 70\n" for i in range(70)) + "".join(f"{n}: says something new\n" for n in names) + "end\n"
+    folded, plain = (K.project(source.encode(), "build-output/v1", 600, aggregate=on) for on in (True, False))
+    assert "Downloading part 0 of 70\n" in folded["visible"] and len(folded["aggregates"]) == 1 and folded["aggregates"][0][2] == 69
+    kept = lambda out: sum(f"{n}: says" in out["visible"] for n in names)
+    assert kept(folded) > kept(plain)
+
+
+def test_candidates_are_offered_by_focus_then_structure_then_place():
+    lines = ["error: stop\n", "warning: disk quota near\n", "the disk quota is a number\n", "warning: other\n"] + [f"filler {i:02}\n" for i in range(20)]
+    source = "".join(lines).encode()
+    spans = K.line_spans(source)
+    mandatory, offered, _ = K._ranked(source, "build-output", True, K.focus_terms("disk quota"))
+    assert mandatory == [spans[0]] and offered == [spans[1], spans[2], spans[3], spans[0], spans[-1]]
+    assert K._ranked(source, "build-output", True, None)[1] == [spans[1], spans[3], spans[0], spans[-1]]
+
+
+def test_selected_regions():
+    source = b"alpha\nbravo\ncharlie\ndelta\necho\n"
+    assert [K.select_lines(source, *x) for x in ((2, 2), (1, 99), (5, 1), (6, 1))] == [[(6, 20)], [(0, 31)], [(26, 31)], []]
+    assert K.select_lines(b"one\ntwo", 2, 1) == [(4, 7)]
+    pattern = lambda p, *x: K.select_pattern(source, p, *x)
+    assert [pattern(b"charlie", k, k) for k in (0, 1, 9)] == [[(12, 20)], [(6, 26)], [(0, 31)]]
+    assert [pattern(b"a\n", 0, 0), pattern(b"a\n", 2, 2), pattern(b"a\n", 0, 0, 1), pattern(b"bravo\ncharlie", 0, 0)] == [[(0, 6), (20, 26)], [(0, 31)], [(0, 6)], [(6, 20)]]
