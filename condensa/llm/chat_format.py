@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_table_path, staged
+from .common import lean, new_table_path, staged
 
 MARKS = {"user": ("[INST] ", " [/INST]"), "assistant": ("<s> ", " </s>"), "system": ("<<SYS>> ", " <</SYS>>")}
 OTHER = ("<<TURN ", ">> ", " <</TURN>>")
@@ -143,6 +143,7 @@ def write_tree(conversations: DataFrame, path: str) -> None:
     their own. Rows with a null conv_id are one conversation. A conversation is one unit of work: its turns meet in
     one task; nothing else that shares a key does. An empty table writes empty tables.
     """
+    lean(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long"), F.struct(F.col("turn").cast("long"), "role", "text").alias("t"))
     gathered = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     keyed = gathered.mapInArrow(_digests, f"conv_id long, {_TURNS}, path binary")

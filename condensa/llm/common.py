@@ -7,6 +7,9 @@ their names, neither clash nor change a result.
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import shutil
 import tempfile
 import uuid
 
@@ -25,11 +28,25 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="condensa-")
+        folder = tempfile.mkdtemp(prefix="condensa-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Rows and bytes of an Arrow batch where the session has Spark's defaults: whole texts make large rows.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
+
+def lean(spark: SparkSession) -> SparkSession:
+    """Smaller Arrow batches for this session, unless it has its own; both the JVM and Python hold a batch per task."""
+    for key, (default, own) in BATCH.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, own)
+    return spark
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/condensa/{name}-{uuid.uuid4().hex}"
 
@@ -147,6 +164,16 @@ def shingles(words: np.ndarray, rows: np.ndarray, k: int = 5) -> tuple[np.ndarra
     return hashed, of
 
 
+_malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
+def give_back() -> None:
+    """Return what a worker no longer uses to the machine."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim:
+        _malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """Cut a batch so that each part holds about `limit` bytes of one column, or one longer row."""
     _, offsets = utf8(batch.column(column)) if batch.num_rows else (None, np.zeros(1, np.int64))
@@ -155,6 +182,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield batch.slice(at, end - at)
         at = end
+    give_back()
 
 
 # ---------------------------------------------------------------- connected components

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, gram_hashes, row_places, slices, utf8, word_bounds, word_hashes
+from .common import ALNUM, U64, gram_hashes, lean, row_places, slices, utf8, word_bounds, word_hashes
 
 K1, B = 1.2, 0.75
 #: Retrieved from this share of an item's own score.
@@ -178,7 +178,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     benchmark is read INDEX_ITEMS items at a time, in item order, and each index is broadcast: its size is bounded
     whatever the benchmark's.
     """
-    spark = docs.sparkSession
+    spark = lean(docs.sparkSession)
     kind = benchmark.schema["item_id"].dataType
     schema = f"doc_id long, item_id {kind.simpleString()}, score double, overlap double, question_overlap double, answer_overlap double"
 
@@ -209,6 +209,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that overlap no item; null ids stay unless their row can't be told from a hit's."""
-    gone = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti").select(*docs.columns)
+    """The documents that overlap no item, with the columns of docs; rows with the id of a hit, null too, all go."""
+    gone = contaminated(docs, benchmark).select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # any names will do
+    key = F.col(f"c{docs.columns.index('doc_id')}")
+    return rows.join(gone, key.eqNullSafe(F.col("gone")), "left_anti").toDF(*docs.columns)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, staged
+from .common import components, lean, staged
 
 SIMILARITY = 0.95
 PROJECTIONS, WINDOW, FAR = 24, 2.0, 5.0
@@ -172,6 +172,7 @@ def near_duplicates(vectors: DataFrame, least: float = SIMILARITY) -> DataFrame:
     common vector is compared once. Rows that repeat a vec_id count as rows of their own in n_links and share their
     component. Rows with a null vec_id link with nothing (component_id null, kept). An empty table gives an empty table.
     """
+    lean(vectors.sparkSession)
     read = staged(vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_read, "vec_id long, key binary, dim int, place double, blob binary"), "vectors-read")
     usable = read.where("key is not null and vec_id is not null")
     classes = usable.groupBy("key", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("place").alias("place"), F.first("blob").alias("blob"))

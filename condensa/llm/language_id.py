@@ -15,13 +15,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, slices, utf8
+from .common import lean, slices, utf8
 
 BUCKETS = 1 << 16
 DIM = 12
 #: The bound of the training sample: documents a language, the first by md5 of their id.
 SAMPLE = 300
 EPOCHS = 12
+#: Up to so many chosen ids (of 32 characters) go to the scan of the texts; with more languages both sides are shuffled.
+BROADCAST_ROWS = 500_000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _KEPT = np.full(256, 32, np.uint8)
@@ -135,10 +137,12 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     Ids are chosen without their texts; the chosen ids, bounded by the sample, go to the scan of the texts.
     """
+    lean(docs.sparkSession)
     keyed = docs.where("lang is not null").select("lang", F.md5(F.col("doc_id").cast("string").cast("binary")).alias("turn"))
     order = Window.partitionBy("lang").orderBy("turn")
     chosen = keyed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample).select("turn").distinct()
-    texts = docs.where("lang is not null").select(F.md5(F.col("doc_id").cast("string").cast("binary")).alias("turn"), "lang", "text").join(F.broadcast(chosen), "turn", "left_semi")
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    texts = docs.where("lang is not null").select(F.md5(F.col("doc_id").cast("string").cast("binary")).alias("turn"), "lang", "text").join(chosen, "turn", "left_semi")
     rows = texts.mapInArrow(_counts, "turn string, lang string, at array<int>, n array<int>").toPandas().sort_values(["turn", "lang"], kind="stable")
     return fit([(r.lang, np.asarray(r.at, np.int32), np.asarray(r.n, float)) for r in rows.itertuples()])
 
@@ -149,7 +153,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     `und` with score 0 where the text is null or has no letter; these and scores under the threshold are not
     accepted. An empty table gives an empty table. Memory: one slice of texts and the folded model.
     """
-    model = docs.sparkSession.sparkContext.broadcast(model)
+    model = lean(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
@@ -163,7 +167,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows whose language is accepted, with the columns of docs; the texts pass through in batches, unshuffled."""
-    model = docs.sparkSession.sparkContext.broadcast(model)
+    model = lean(docs.sparkSession).sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches):

@@ -19,15 +19,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, components, mix, shingles, slices, staged, utf8, word_bounds, word_hashes, _power
+from .common import U64, components, lean, mix, shingles, slices, staged, utf8, word_bounds, word_hashes, _power
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 #: A block holds about so many documents and bytes of shingles.
 BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20
-#: Up to so many documents with candidates are sent to the scan of the texts; with more, both sides are shuffled.
-BROADCAST_ROWS = 200_000
+#: Up to so many bytes of keys are sent to the scan of the texts; with more, both sides are shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
 def shingle_sets(texts: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,6 +178,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     one shingle of all its words. Rows that repeat a doc_id are one document, the text being any of theirs. Rows
     with a null doc_id link with nothing: component_id null, kept. An empty table gives an empty table.
     """
+    lean(docs.sparkSession)
     signed = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign(bands, per_band), "doc_id long, twin_a long, twin_b long, n long, bands array<long>"), "minhash-signed")
     named = signed.where("n > 0 and doc_id is not null")
     twins = named.groupBy("twin_a", "twin_b", "n").agg(F.min("doc_id").alias("rep"))
@@ -187,11 +188,12 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     groups = staged(groups, "minhash-groups")
     # A group's members are dealt into blocks by hash; each pair of blocks is one unit of work of bounded size.
     blocks = groups.groupBy("u").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    blocks = staged(blocks, "minhash-blocks")  # so that the members of a large group can be dealt to several tasks
     placed = groups.join(blocks, "u").withColumn("b", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     key = lambda o: F.struct("u", F.least("b", o).alias("i"), F.greatest("b", o).alias("j"), (F.col("b") > o).cast("int").alias("side"))
     keyed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).groupBy(F.col("v").alias("doc_id")).agg(F.collect_list(key(F.col("o"))).alias("keys"))
     keyed = staged(keyed, "minhash-keyed")
-    few = keyed.count() <= BROADCAST_ROWS
+    few = (keyed.select(F.sum(F.size("keys") * 24 + 16)).first()[0] or 0) <= BROADCAST_BYTES
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(keyed) if few else keyed, "doc_id")
     sets = texts.mapInArrow(_keyed_sets, "u long, i int, j int, side int, doc_id long, shingles binary")
     compared = sets.repartition("u", "i", "j").sortWithinPartitions("u", "i", "j").mapInArrow(_compare(least), "u long, v long")
@@ -208,6 +210,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
 
 def deduplicated(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The documents without all but one of each group: the smallest doc_id stays, one row of it. Null ids stay."""
-    gone = near_duplicates(docs, least).where("not kept").select("doc_id").distinct()
-    stay = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return stay.select(*docs.columns).union(docs.where("doc_id is null"))
+    gone = near_duplicates(docs, least).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # any names will do
+    key = f"c{docs.columns.index('doc_id')}"
+    stay = rows.where(F.col(key).isNotNull()).join(gone, F.col(key) == F.col("gone"), "left_anti").dropDuplicates([key])
+    return stay.union(rows.where(F.col(key).isNull())).toDF(*docs.columns)

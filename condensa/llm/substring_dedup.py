@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import lean, staged
 
 #: Shorter units are left alone: a few words meet by chance.
 LEAST_WORDS = 5
@@ -62,6 +62,7 @@ def repeated_units(docs: DataFrame, kind: str = "line", least_words: int = LEAST
     repeats of each other only by their place, so their units are removed where an earlier place holds them and
     otherwise stay with both. Null ids rank first. An empty table gives an empty table.
     """
+    lean(docs.sparkSession)
     found = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_units(kind, least_words), "digest binary, doc_id long, unit int, start int, end int, n_words int"), "units")
     first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.count("*").alias("n")).where("n > 1")
     # Written first: a join of two plain exchanges is one whose hot digests Spark can split.

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, _power, gram_hashes, mix, row_places, slices, staged, utf8, word_bounds, word_hashes
+from .common import U64, _power, gram_hashes, lean, mix, row_places, slices, staged, utf8, word_bounds, word_hashes
 
 LEAST = 50
 GRAM = 5
@@ -171,6 +171,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     document: what only they share is not repeated. Rows with a null doc_id take no part. An empty table gives an
     empty table.
     """
+    lean(docs.sparkSession)
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     # Copies of a whole text are found by its md5; one of each group, the smallest doc_id, stands for all.
     texts = staged(named.where("text is not null").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest")), "suffixes-texts")

@@ -17,13 +17,14 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_table_path, slices, utf8
+from .common import lean, new_table_path, slices, utf8
 
 WIDTH = 8
 RANK_EVERY = 512
@@ -108,7 +109,8 @@ class Codes:
 
 # ---------------------------------------------------------------- tokens
 
-_PLAIN = re.compile(rb"[a-z]+[ \n]*")
+#: a to z and the small letters U+00DF to U+00FF, which no normaliser changes.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+[ \n]*")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
@@ -122,8 +124,8 @@ class WordTokens:
 
     Holds for tokenizers that lower-case, drop white space and never join a letter with a following .,;:!? (the
     word_bpe files): the ids of a text are then the ids of its pieces, one after another, where pieces start after
-    white space and at such a mark after a letter. Pieces of a to z alone skip the normaliser and the pattern, which
-    leave them as they are. `whole=True` encodes each text in one call, for any other tokenizer.
+    white space and at such a mark after a letter. Pieces of common small Latin letters alone skip the normaliser and the
+    pattern, which leave them as they are. `whole=True` encodes each text in one call, for any other tokenizer.
     """
 
     def __init__(self, path: str, whole: bool = False):
@@ -141,7 +143,7 @@ class WordTokens:
         for i in range(0, len(pieces), 4096):
             some = pieces[i : i + 4096]
             for piece, code in zip(some, model.encode_batch_fast([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)):
-                known[piece] = np.array(code.ids, np.uint32).tobytes()
+                known[piece] = array("I", code.ids).tobytes()
 
     def _lists(self, pieces: list[bytes]) -> list[bytes]:
         if len(self.recent) > CACHE_WORDS:
@@ -174,6 +176,9 @@ class WordTokens:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         if b"<|" not in data.tobytes():  # strings of special tokens keep their case
             data = _LOWER[data]
+            high = np.flatnonzero(data[:-1] == 0xC3) + 1  # U+00C0 to U+00DE but the multiplication sign
+            high = high[(data[high] >= 0x80) & (data[high] <= 0x9E) & (data[high] != 0x97)]
+            data[high] += 32
         blank = (data == 32) | (data == 10)
         begins = np.zeros(n + 1, bool)
         begins[1:-1] = (blank[:-1] & ~blank[1:]) | (_LETTER[data[:-1]] & _STOP[data[1:]])
@@ -183,12 +188,12 @@ class WordTokens:
         coded = pieces.dictionary_encode()
         words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         lists = self._lists(words)
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+        sizes = np.fromiter(map(len, lists), np.int32, len(lists)) // 4
         flat = np.frombuffer(b"".join(lists), np.uint32)
-        first = np.cumsum(sizes) - sizes
+        first = np.cumsum(sizes, dtype=np.int32) - sizes
         count = sizes[index]
-        ends = np.cumsum(count)
-        at = np.arange(int(ends[-1])) + np.repeat(first[index] - (ends - count), count)
+        ends = np.cumsum(count, dtype=np.int32)  # a slice has far fewer than 2**31 ids
+        at = np.arange(int(ends[-1]), dtype=np.int32) + np.repeat(first[index] - (ends - count), count)
         row_end = np.r_[0, ends][np.searchsorted(cuts, offsets[1:], "left")]
         return flat[at], row_end
 
@@ -214,7 +219,7 @@ def _encode(tokenizer: str, end_id: int, whole: bool):
             ids = np.concatenate(held)
             return pa.RecordBatch.from_pydict({"number": [number], "doc_ids": [docs], "n_tokens": [sizes], "n_ids": [len(ids)], "payload": [encode_ids(ids)]}, schema)
 
-        for batch in (part for whole in batches for part in slices(whole, "text", 4 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, "text", 8 << 20)):
             names = batch.column("doc_id").to_pylist()
             ids, ends = tokens(batch.column("text"))
             for doc, a, b in zip(names, np.r_[0, ends[:-1]].tolist(), ends.tolist()):
@@ -237,6 +242,7 @@ def write_codes(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, who
     A null or empty text has the end id alone. Rows that repeat a doc_id are written each. An empty table writes
     a table without shards. Memory: one batch and one shard a task.
     """
+    lean(docs.sparkSession)
     run, schema = _encode(tokenizer, end_id, whole)
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(run, schema).withColumn("part", F.spark_partition_id()).write.parquet(path)
@@ -245,10 +251,9 @@ def write_codes(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, who
 def _decode(batches):
     for batch in batches:
         for row in batch.to_pylist():
-            codes, at, crc = Codes(row["payload"]), 0, []
-            local = np.r_[0, np.cumsum(row["n_tokens"])]
-            for a, b in zip(local[:-1].tolist(), local[1:].tolist()):
-                crc.append(zlib.crc32(codes.slice(a, b).astype("<u4").tobytes()))
+            codes, local = Codes(row["payload"]), np.r_[0, np.cumsum(row["n_tokens"])]
+            ids = memoryview(codes.slice(0, len(codes)).astype("<u4").tobytes())
+            crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(local[:-1].tolist(), local[1:].tolist())]
             k = len(crc)
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": pa.array(row["doc_ids"], pa.int64()), "part": pa.array([row["part"]] * k, pa.int32()), "number": pa.array([row["number"]] * k, pa.int64()), "at": pa.array(local[:-1], pa.int64()), "n_tokens": pa.array(row["n_tokens"], pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
