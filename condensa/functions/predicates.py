@@ -119,7 +119,12 @@ class Line:
 # ---------------------------------------------------------------- the same in Python, for the kernel
 
 _WORDS = {**dict.fromkeys(P.SEVERITY_ERROR, "error"), **dict.fromkeys(P.SEVERITY_WARNING, "warning")}
-_TO_LOWER = str.maketrans(P.UPPER, P.LOWER)
+_BLANK = "".join(c for c in map(chr, range(0x3001)) if P.python(f"[{P.WS}]").match(c))
+
+
+def lower_ascii(text: str) -> str:
+    """ASCII letters in lower case, all else as it is: what bytes.lower() does."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 class PyLine:
@@ -127,8 +132,8 @@ class PyLine:
 
     def __init__(self, line: str):
         self.raw = line.rstrip("\r\n")
-        self.trimmed = P.python(P.TRIM).sub("", line)
-        self.text = self.trimmed.translate(_TO_LOWER)
+        self.trimmed = line.strip(_BLANK)
+        self.text = lower_ascii(self.trimmed)
 
     def lowered(self, name: str) -> bool:
         return P.python(P.LOWERED[name]).search(self.text) is not None
@@ -157,18 +162,18 @@ class PyLine:
         return P.python(P.TRIMMED["code_end"]).search(self.trimmed) is not None or self.lowered("assignment") or self.lowered("code_keyword")
 
     def _indent(self) -> tuple[int, str]:
-        rest = P.python(P.TRIM_START).sub("", self.raw)
-        return len(self.raw.encode()) - len(rest.encode()), rest
+        rest = self.raw.lstrip(_BLANK)
+        return len(self.raw.encode("utf-8", "surrogatepass")) - len(rest.encode("utf-8", "surrogatepass")), rest
 
     @property
     def json_skeleton(self) -> bool:
         indent, rest = self._indent()
-        return indent <= P.JSON_INDENT and len(rest.encode()) <= P.JSON_BYTES and self.lowered("json_structural")
+        return indent <= P.JSON_INDENT and len(rest.encode("utf-8", "surrogatepass")) <= P.JSON_BYTES and self.lowered("json_structural")
 
     @property
     def declaration(self) -> bool:
         indent, rest = self._indent()
-        return indent <= P.DECLARATION_INDENT and P.python(P.DECLARATION).search(rest.translate(_TO_LOWER)) is not None
+        return indent <= P.DECLARATION_INDENT and P.python(P.DECLARATION).search(lower_ascii(rest)) is not None
 
     @property
     def opens_section(self) -> bool:
