@@ -24,6 +24,8 @@ SAMPLE = 300
 EPOCHS = 12
 #: Up to so many chosen ids (of 32 characters) go to the scan of the texts; with more languages both sides are shuffled.
 BROADCAST_ROWS = 500_000
+#: Up to so many languages' counts are sent to the scan of the ids.
+BROADCAST_LANGS = 10_000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _KEPT = np.full(256, 32, np.uint8)
@@ -139,8 +141,12 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """
     lean(docs.sparkSession)
     keyed = docs.where("lang is not null").select("lang", F.md5(F.col("doc_id").cast("string").cast("binary")).alias("turn"))
+    sizes = keyed.groupBy("lang").agg(F.count("*").alias("all"))
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGS else sizes
+    # Of a large language only the lowest md5s can be among the first: four times as many as wanted are ranked.
+    low = F.conv(F.substring("turn", 1, 8), 16, 10).cast("double") <= F.lit(4.0 * sample * 2**32) / F.col("all")
     order = Window.partitionBy("lang").orderBy("turn")
-    chosen = keyed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample).select("turn").distinct()
+    chosen = keyed.join(sizes, "lang").where(low).withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample).select("turn").distinct()
     chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     texts = docs.where("lang is not null").select(F.md5(F.col("doc_id").cast("string").cast("binary")).alias("turn"), "lang", "text").join(chosen, "turn", "left_semi")
     rows = texts.mapInArrow(_counts, "turn string, lang string, at array<int>, n array<int>").toPandas().sort_values(["turn", "lang"], kind="stable")
