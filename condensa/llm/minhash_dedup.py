@@ -3,8 +3,8 @@
 Five-word shingles of the lower-cased text, split at ASCII white space, weigh 1 + ln(occurrences). Each shingle is
 a Poisson process whose rate is its weight: arrivals fall into random registers, a register keeps the element of its
 first arrival, and an element stops once its time passes the latest of all registers. Two registers agree with the
-probability Jaccard of the weighted sets. Pairs that share a band are verified by the exact Jaccard of their shingle
-sets, 0.8 or more.
+probability Jaccard of the weighted sets. A second signature has all weights 1: its registers agree with the Jaccard of
+the shingle sets, whatever repeats. Pairs that share a band of either are verified by that exact Jaccard, 0.8 or more.
 
 Hot groups: documents with equal shingle sets are one class before banding. The members of all buckets with the same
 smallest member form a group; a group is dealt into blocks, and every pair of blocks is compared on its own by matrix
@@ -77,15 +77,20 @@ def _sign(bands: int, per_band: int):
                 n = part.num_rows
                 found, rows, times = _sliced_sets(part)
                 size = np.bincount(rows, minlength=n)
-                code = prob_minhash(found, 1 + np.log(times), rows, n, bands * per_band).reshape(n, bands, per_band)
-                keys = mix((code * _power(per_band + 1)[1 : per_band + 1]).sum(2, dtype=U64) ^ mix(np.arange(bands, dtype=U64) + U64(99)))
+                plain = prob_minhash(found, np.ones(len(found)), rows, n, bands * per_band)
+                weighted, again = plain.copy(), np.zeros(n, bool)
+                again[rows[times > 1]] = True  # without repeats both signatures are the same
+                part_of = again[rows]
+                weighted[again] = prob_minhash(found[part_of], 1 + np.log(times[part_of]), (np.cumsum(again) - 1)[rows[part_of]], int(again.sum()), bands * per_band)
+                code = np.concatenate([weighted.reshape(n, bands, per_band), plain.reshape(n, bands, per_band)], 1)
+                keys = mix((code * _power(per_band + 1)[1 : per_band + 1]).sum(2, dtype=U64) ^ mix(np.arange(2 * bands, dtype=U64) + U64(99)))
                 twin = np.zeros((2, n), U64)
                 some = np.flatnonzero(size)
                 if len(some):
                     first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
                     for i, salt in enumerate((0x243F6A8885A308D3, 0x13198A2E03707344)):
                         twin[i, some] = np.add.reduceat(mix(found ^ U64(salt)), first)
-                ends = np.cumsum(np.where(size > 0, bands, 0))
+                ends = np.cumsum(np.where(size > 0, 2 * bands, 0))
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(keys[some].reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(twin[0].view(np.int64)), pa.array(twin[1].view(np.int64)), pa.array(size, pa.int64()), lists], names=["doc_id", "twin_a", "twin_b", "n", "bands"]

@@ -54,6 +54,15 @@ def test_classes_equal_brute_force(spark):
     assert len({c for c in got.values()}) < len(rows) and got[5004] == 5003 and got[5001] == 5001
 
 
+def test_near_copies_without_a_heavily_repeated_line(spark):
+    rng, rows = random.Random(12), []
+    for k in range(20):
+        base, line = [f"d{k}w{rng.randrange(10**6)}" for _ in range(150)], [f"d{k}l{i}" for i in range(20)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + line * 200))]
+    got = {r.doc_id: r.component_id for r in M.near_duplicates(docs(spark, rows)).collect()}
+    assert got == brute(rows) and set(got.values()) == set(range(0, 40, 2))
+
+
 def test_large_groups_need_no_all_pairs(spark):
     rng = random.Random(4)
     base, other = [f"b{i}" for i in range(300)], [f"c{i}" for i in range(300)]
