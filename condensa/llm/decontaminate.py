@@ -1,7 +1,8 @@
 """Benchmark decontamination: every passage of every document queries a BM25 index of the benchmark's items.
 
 Items and passages are lower-cased and cut into runs of letters and digits. A term's impact in an item is its BM25
-weight divided by the item's score against itself, so one threshold serves all items. Retrieval is block-max WAND
+weight divided by the item's score against itself, so one threshold serves all items. Document frequencies, the mean
+length and the longest item are the whole benchmark's, however many indexes hold its items. Retrieval is block-max WAND
 over whole slices of passages at once: terms so common that all of them together can't lift any item over the
 threshold by themselves are non-essential; essential terms gather, per block of items, the sum of the block's maxima;
 a block whose sum and whose items' non-essential mass stay under the threshold is skipped; the items of the others
@@ -16,14 +17,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, gram_hashes, lean, row_places, slices, utf8, word_bounds, word_hashes
+from .common import ALNUM, U64, gram_hashes, lean, row_places, slices, staged, utf8, word_bounds, word_hashes
 
 K1, B = 1.2, 0.75
 #: Retrieved from this share of an item's own score.
 LEAST_SCORE = 0.5
 OVERLAP, ANSWER_OVERLAP = 0.8, 0.5
 WORDS = 5
-#: Items in one index and items in one of its blocks; larger benchmarks are searched index by index.
+#: Items in one index and items in one of its blocks; larger benchmarks are searched index by index, with the same results.
 INDEX_ITEMS, BLOCK = 20_000, 8
 
 
@@ -46,10 +47,42 @@ def split_answer(text: str) -> tuple[str, str]:
 
 
 
+def _counted(batches):
+    """Of each batch: (term, items that hold it), and under no term the items with words, their words and the most of one."""
+    for batch in batches:
+        words, rows = _words(batch.column("text"))
+        n = np.bincount(rows) if len(rows) else np.zeros(0, np.int64)
+        pairs = np.unique(np.stack([rows.astype(U64), words]), axis=1)
+        terms, df = np.unique(pairs[1], return_counts=True)
+        cells = ([*terms.view(np.int64).tolist(), None], [*df.tolist(), int((n > 0).sum())], [*[0] * len(terms), int(n.sum())], [*[0] * len(terms), int(n.max(initial=0))])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cells], names=["term", "items", "words", "longest"])
+
+
+class Statistics:
+    """What BM25 needs of a whole benchmark: its items with words, their words, the longest, and by lookup the items that hold a term."""
+
+    def __init__(self, benchmark: DataFrame):
+        self.spark = benchmark.sparkSession
+        counted = benchmark.select("text").mapInArrow(_counted, "term long, items long, words long, longest long")
+        self.counts = staged(counted.groupBy("term").agg(F.sum("items").alias("items"), F.sum("words").alias("words"), F.max("longest").alias("longest")), "benchmark-terms")
+        whole = self.counts.where("term is null").first()
+        self.items, self.words, self.longest = (whole.items, whole.words, whole.longest) if whole else (0, 0, 0)
+
+    def frequencies(self, terms: np.ndarray) -> np.ndarray:
+        """Items of the whole benchmark that hold each of some sorted terms, those of one index."""
+        if not len(terms):
+            return np.zeros(0, np.int64)
+        asked = self.spark.createDataFrame(pa.table({"term": terms.view(np.int64)}))
+        found = self.counts.select("term", "items").join(F.broadcast(asked), "term").toArrow()
+        out = np.zeros(len(terms), np.int64)
+        out[np.searchsorted(terms, found.column("term").to_numpy().view(U64))] = found.column("items").to_numpy()
+        return out
+
+
 class Index:
-    """Inverted index of (item_id, text) rows: impacts by term, block maxima, and the items' shingles."""
+    """Inverted index of (item_id, text) rows of a benchmark: impacts by term, block maxima, and the items' shingles."""
 
-    def __init__(self, items: list[tuple[object, str]]):
+    def __init__(self, items: list[tuple[object, str]], whole: Statistics):
         texts = [t or "" for _, t in items]
         words, rows = _words(pa.array(texts, pa.string()))
         n = np.bincount(rows, minlength=len(items))
@@ -57,13 +90,14 @@ class Index:
         self.ids = [items[i][0] for i in keep]
         rows = np.searchsorted(keep, rows)
         n = n[keep]
-        self.longest = int(n.max()) if len(n) else 0
+        self.longest = whole.longest
         self.terms, term = np.unique(words, return_inverse=True)
         pair, tf = np.unique(rows * max(1, len(self.terms)) + term, return_counts=True)
         item, term = pair // max(1, len(self.terms)), pair % max(1, len(self.terms))
         df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log(1 + (len(n) - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[item] / max(1.0, n.mean() if len(n) else 1)))
+        everywhere = whole.frequencies(self.terms)
+        idf = np.log(1 + (whole.items - everywhere + 0.5) / (everywhere + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[item] / max(1.0, whole.words / max(1, whole.items))))
         own = np.bincount(item, impact, minlength=len(n))
         impact = impact / own[item]
         order = np.lexsort((item, term))
@@ -176,14 +210,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     half of the answer's (items of fewer words: all of them in a row). Items and texts that are null, empty or
     without letters and digits match nothing. Rows that repeat an item or a document are each searched. The
     benchmark is read INDEX_ITEMS items at a time, in item order, and each index is broadcast: its size is bounded
-    whatever the benchmark's.
+    whatever the benchmark's. The cut changes no result: statistics and windows are those of the whole benchmark.
     """
     spark = lean(docs.sparkSession)
+    whole = Statistics(benchmark)
     kind = benchmark.schema["item_id"].dataType
     schema = f"doc_id long, item_id {kind.simpleString()}, score double, overlap double, question_overlap double, answer_overlap double"
 
     def found(items):
-        index = spark.sparkContext.broadcast(Index(items))
+        index = spark.sparkContext.broadcast(Index(items, whole))
 
         def run(batches):
             for batch in batches:

@@ -61,6 +61,18 @@ def test_hits_equal_brute_force(spark, monkeypatch, block):
     assert {r.doc_id for r in clean.collect()} == {r[0] for r in rows} - {r.doc_id for r in got}
 
 
+def test_the_size_of_an_index_changes_no_row(spark, monkeypatch):
+    rng = random.Random(3)
+    items = [(i, " ".join(prose(rng, rng.randint(6, 40), 60)) + ".") for i in range(24)] + [(24, " ".join(prose(rng, 200, 60)))]
+    rows = [(d, " ".join(prose(rng, 80, 60) + items[d % 25][1].split()[: rng.randint(4, 200)] + prose(rng, 80, 60))) for d in range(100)]
+    found = []
+    for size in (20_000, 5, 1):
+        monkeypatch.setattr(D, "INDEX_ITEMS", size)
+        got = D.contaminated(docs(spark, rows), spark.createDataFrame(items, ITEMS)).collect()
+        found.append(sorted((r.doc_id, r.item_id, *(round(x, 9) for x in tuple(r)[2:])) for r in got))
+    assert found[0] and found[1] == found[0] and found[2] == found[0]
+
+
 def test_empty_sides(spark):
     some, none = docs(spark, [(1, "a b c d e f g")]), spark.createDataFrame([], DOCS)
     items = spark.createDataFrame([(1, "a b c d e f g")], ITEMS)
