@@ -26,6 +26,8 @@ OVERLAP, ANSWER_OVERLAP = 0.8, 0.5
 WORDS = 5
 #: Items in one index and items in one of its blocks; larger benchmarks are searched index by index, with the same results.
 INDEX_ITEMS, BLOCK = 20_000, 8
+#: Up to so many bytes of digests of texts that were hit are sent to the rows; with more, both sides are shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -212,10 +214,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     benchmark is read INDEX_ITEMS items at a time, in item order, and each index is broadcast: its size is bounded
     whatever the benchmark's. The cut changes no result: statistics and windows are those of the whole benchmark.
     """
-    spark = lean(docs.sparkSession)
+    return _matches(docs.select(F.col("doc_id").cast("long"), "text"), benchmark)
+
+
+def _matches(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """What `contaminated` gives, for rows of (any key, text)."""
+    spark = lean(rows.sparkSession)
+    name, key = rows.schema[0].name, rows.schema[0].dataType
     whole = Statistics(benchmark)
     kind = benchmark.schema["item_id"].dataType
-    schema = f"doc_id long, item_id {kind.simpleString()}, score double, overlap double, question_overlap double, answer_overlap double"
+    schema = f"{name} {key.simpleString()}, item_id {kind.simpleString()}, score double, overlap double, question_overlap double, answer_overlap double"
 
     def found(items):
         index = spark.sparkContext.broadcast(Index(items, whole))
@@ -223,16 +231,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches):
             for batch in batches:
                 for part in slices(batch, "text"):
-                    hits, own = index.value.search(part.column("text")), part.column("doc_id").to_pylist()
+                    hits, own = index.value.search(part.column("text")), part.column(name).to_pylist()
                     cells = [[own[h[0]] for h in hits], [index.value.ids[h[1]] for h in hits], *([h[j] for h in hits] for j in range(2, 6))]
-                    names = ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"]
+                    names = [name, "item_id", "score", "overlap", "question_overlap", "answer_overlap"]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types)], names=names)
 
-        return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+        return rows.mapInArrow(run, schema)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
-    types = [pa.int64(), to_arrow_type(kind), *[pa.float64()] * 4]
+    types = [to_arrow_type(key), to_arrow_type(kind), *[pa.float64()] * 4]
     out, held = None, []
     for row in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         held.append((row.item_id, row.text))
@@ -244,8 +252,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that overlap no item, with the columns of docs; rows with the id of a hit, null too, all go."""
-    gone = contaminated(docs, benchmark).select(F.col("doc_id").alias("gone")).distinct()
+    """The rows whose text overlaps no item, with the columns of docs; ids, repeated or null, play no part."""
+    digest = lambda c: F.md5(F.col(c).cast("binary"))
+    gone = _matches(docs.select(digest("text").alias("digest"), "text"), benchmark).select(F.col("digest").alias("gone")).distinct()
+    gone = staged(gone, "decontaminate-texts")
+    few = gone.count() * 64 <= BROADCAST_BYTES
     rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # any names will do
-    key = F.col(f"c{docs.columns.index('doc_id')}")
-    return rows.join(gone, key.eqNullSafe(F.col("gone")), "left_anti").toDF(*docs.columns)
+    rows = rows.withColumn("digest", digest(f"c{docs.columns.index('text')}"))
+    return rows.join(F.broadcast(gone) if few else gone, F.col("digest") == F.col("gone"), "left_anti").drop("digest").toDF(*docs.columns)

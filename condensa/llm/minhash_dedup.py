@@ -93,7 +93,7 @@ def _sign(bands: int, per_band: int):
                 ends = np.cumsum(np.where(size > 0, 2 * bands, 0))
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(keys[some].reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(twin[0].view(np.int64)), pa.array(twin[1].view(np.int64)), pa.array(size, pa.int64()), lists], names=["doc_id", "twin_a", "twin_b", "n", "bands"]
+                    [part.column("row"), part.column("doc_id"), part.column("digest"), pa.array(twin[0].view(np.int64)), pa.array(twin[1].view(np.int64)), pa.array(size, pa.int64()), lists], names=["row", "doc_id", "digest", "twin_a", "twin_b", "n", "bands"]
                 )
 
     return run
@@ -176,18 +176,20 @@ def _compare(least: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
-    """One row per input row: doc_id, component_id (smallest doc_id of its group), kept (doc_id = component_id).
+def _digest(column: str):
+    return F.md5(F.col(column).cast("binary"))
 
-    Documents without words (null, empty or blank text) are alike to nothing. A text of fewer than five words has
-    one shingle of all its words. Rows that repeat a doc_id are one document, the text being any of theirs. Rows
-    with a null doc_id link with nothing: component_id null, kept. An empty table gives an empty table.
-    """
+
+def _grouped(docs: DataFrame, least: float, bands: int, per_band: int) -> DataFrame:
+    """(doc_id, digest of the text, n shingles, first_id, first_digest) of every row; the last two, of the row that stands for
+    its group: the one of smallest doc_id, of several with that the one of smallest digest."""
     lean(docs.sparkSession)
-    signed = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign(bands, per_band), "doc_id long, twin_a long, twin_b long, n long, bands array<long>"), "minhash-signed")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), _digest("text").alias("digest"), "text")
+    signed = staged(rows.mapInArrow(_sign(bands, per_band), "row long, doc_id long, digest string, twin_a long, twin_b long, n long, bands array<long>"), "minhash-signed")
     named = signed.where("n > 0 and doc_id is not null")
-    twins = named.groupBy("twin_a", "twin_b", "n").agg(F.min("doc_id").alias("rep"))
-    reps = named.join(twins, ["twin_a", "twin_b", "n"]).where("doc_id = rep").select("rep", "n", F.explode("bands").alias("band"))
+    twins = named.groupBy("twin_a", "twin_b", "n").agg(F.min(F.struct("doc_id", "digest", "row")).alias("rep"))
+    twins = staged(twins.select("twin_a", "twin_b", "n", F.col("rep.row").alias("rep"), F.col("rep.doc_id").alias("rep_id"), F.col("rep.digest").alias("rep_digest")), "minhash-twins")
+    reps = named.join(twins, ["twin_a", "twin_b", "n"]).where("row = rep").select("rep", "n", F.explode("bands").alias("band"))
     buckets = reps.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).where("size > 1").drop("size")
     groups = reps.join(buckets, "band").select(F.col("pivot").alias("u"), F.col("rep").alias("v"), "n").distinct()
     groups = staged(groups, "minhash-groups")
@@ -196,27 +198,45 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     blocks = staged(blocks, "minhash-blocks")  # so that the members of a large group can be dealt to several tasks
     placed = groups.join(blocks, "u").withColumn("b", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     key = lambda o: F.struct("u", F.least("b", o).alias("i"), F.greatest("b", o).alias("j"), (F.col("b") > o).cast("int").alias("side"))
-    keyed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).groupBy(F.col("v").alias("doc_id")).agg(F.collect_list(key(F.col("o"))).alias("keys"))
-    keyed = staged(keyed, "minhash-keyed")
-    few = (keyed.select(F.sum(F.size("keys") * 24 + 16)).first()[0] or 0) <= BROADCAST_BYTES
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(keyed) if few else keyed, "doc_id")
+    keyed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).groupBy(F.col("v").alias("rep")).agg(F.collect_list(key(F.col("o"))).alias("keys"))
+    keyed = staged(keyed.join(twins, "rep").select("rep", "rep_id", "rep_digest", "keys"), "minhash-keyed")
+    few = (keyed.select(F.sum(F.size("keys") * 24 + 64)).first()[0] or 0) <= BROADCAST_BYTES
+    texts = docs.select(F.col("doc_id").cast("long"), _digest("text").alias("digest"), "text")
+    texts = texts.join(F.broadcast(keyed) if few else keyed, (F.col("doc_id") == F.col("rep_id")) & (F.col("digest") == F.col("rep_digest"))).select(F.col("rep").alias("doc_id"), "text", "keys")
     sets = texts.mapInArrow(_keyed_sets, "u long, i int, j int, side int, doc_id long, shingles binary")
     compared = sets.repartition("u", "i", "j").sortWithinPartitions("u", "i", "j").mapInArrow(_compare(least), "u long, v long")
     known = components(staged(compared, "minhash-links"), "minhash-components")
-    classes = twins.join(known, twins.rep == known.node, "left").select("twin_a", "twin_b", "n", F.coalesce("component", "rep").alias("of"))
+    firsts = known.join(twins, known.node == twins.rep).groupBy("component").agg(F.min(F.struct("rep_id", "rep_digest")).alias("first"))
+    firsts = staged(firsts, "minhash-firsts")
+    known = known.join(firsts, "component").select("node", "first")
+    classes = twins.join(known, twins.rep == known.node, "left").select("twin_a", "twin_b", "n", F.coalesce("first.rep_id", "rep_id").alias("first_id"), F.coalesce("first.rep_digest", "rep_digest").alias("first_digest"))
     classes = staged(classes, "minhash-classes")  # a join of two plain exchanges is one whose hot twins Spark can split
+    return signed.drop("bands").join(classes, ["twin_a", "twin_b", "n"], "left").select("doc_id", "digest", "n", "first_id", "first_digest")
+
+
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
+    """One row per input row: doc_id, component_id (smallest doc_id of its group), kept (doc_id = component_id).
+
+    Documents without words (null, empty or blank text) are alike to nothing. A text of fewer than five words has
+    one shingle of all its words. Rows that repeat a doc_id are each judged by their own text. Rows with a null doc_id
+    link with nothing: component_id null, kept. An empty table gives an empty table.
+    """
     return (
-        signed.drop("bands").join(classes, ["twin_a", "twin_b", "n"], "left")
-        .select("doc_id", F.when(F.col("n") > 0, F.col("of")).otherwise(F.col("doc_id")).alias("c"))
+        _grouped(docs, least, bands, per_band)
+        .select("doc_id", F.when(F.col("n") > 0, F.col("first_id")).otherwise(F.col("doc_id")).alias("c"))
         .select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
 def deduplicated(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The documents without all but one of each group: the smallest doc_id stays, one row of it. Null ids stay."""
-    gone = near_duplicates(docs, least).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # any names will do
+    """One row of each group, the one of smallest doc_id (of several texts with that, the one of smallest md5).
+
+    Rows are told apart by doc_id and text: of those equal in both one stays. Null ids stay.
+    """
+    gone = _grouped(docs, least, BANDS, ROWS).where("n > 0 and doc_id is not null and (doc_id <> first_id or digest <> first_digest)")
+    gone = gone.select(F.col("doc_id").alias("gone"), F.col("digest").alias("gone_digest")).distinct()
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn("digest", _digest(f"c{docs.columns.index('text')}"))  # any names will do
     key = f"c{docs.columns.index('doc_id')}"
-    stay = rows.where(F.col(key).isNotNull()).join(gone, F.col(key) == F.col("gone"), "left_anti").dropDuplicates([key])
-    return stay.union(rows.where(F.col(key).isNull())).toDF(*docs.columns)
+    stay = rows.where(F.col(key).isNotNull()).join(gone, (F.col(key) == F.col("gone")) & (F.col("digest") == F.col("gone_digest")), "left_anti").dropDuplicates([key, "digest"])
+    return stay.union(rows.where(F.col(key).isNull())).drop("digest").toDF(*docs.columns)

@@ -9,7 +9,7 @@ from llm.test_decontaminate import brute as leaks
 from llm.test_minhash import brute as classes
 from tokenizers import Tokenizer
 
-from condensa.llm import decontaminate
+from condensa.llm import decontaminate, minhash_dedup
 
 WORDS = {"en": "the of and thing ation ing er with that".split(), "de": "der die und keit schaft ung zu ein ist".split()}
 
@@ -55,3 +55,15 @@ def test_every_stage_takes_effect(spark, tmp_path):
     want = sorted((d, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for d in mixed.doc_id for ids in [model.encode(texts[d], add_special_tokens=False).ids + [2]])
     assert sorted(zip(out.doc_id, out.n_tokens, out.ids_crc32)) == want
     assert decontaminate.split_answer("a. b") == ("a", "b")
+
+
+def test_stages_drop_rows_and_not_ids(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcdef"}
+    items = spark.createDataFrame([(1, text["a"])], "item_id long, text string")
+    rows = [(None, text["a"]), (None, text["b"]), (None, None), (2, text["a"]), (2, text["c"]), (3, text["d"])]
+    clean = decontaminate.decontaminated(docs(spark, rows), items).collect()
+    assert sorted(((r.doc_id, r.text) for r in clean), key=str) == sorted([(None, text["b"]), (None, None), (2, text["c"]), (3, text["d"])], key=str)
+    rows = [(1, text["a"]), (5, text["b"]), (5, text["c"]), (5, text["c"]), (5, text["c"] + " more"), (6, text["b"]), (6, text["d"]), (7, text["a"]), (7, text["e"]), (8, None)]
+    kept = sorted(((r.doc_id, r.text) for r in minhash_dedup.deduplicated(docs(spark, rows)).collect()), key=str)
+    near = [r for r in kept if r in ((5, text["c"]), (5, text["c"] + " more"))]
+    assert len(near) == 1 and [r for r in kept if r not in near] == sorted([(1, text["a"]), (5, text["b"]), (6, text["d"]), (7, text["e"]), (8, None)], key=str)
