@@ -19,7 +19,7 @@ def vocabulary() -> str:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_units(table(spark, sf_dir, "documents"))
+    return substring_dedup.repeated_runs(table(spark, sf_dir, "documents"))
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,13 +68,18 @@ QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_embedding_dedup, op3
 
 ORACLES = {
     "op1_substring_dedup": r"""
-        with lines as (select doc_id, string_split(text, chr(10)) l from documents),
-        units as (select doc_id, unnest(l) line, generate_subscripts(l, 1) - 1 unit from lines),
-        placed as (select *, coalesce(sum(len(line) + 1) over (partition by doc_id order by unit rows between unbounded preceding and 1 preceding), 0) "start" from units),
-        worded as (select *, list_filter(regexp_split_to_array(lower(line), '[ \t\r\f\v]+'), lambda x: x <> '') w from placed),
-        ranked as (select *, min(struct_pack(d := doc_id, u := unit)) over (partition by w) f from worded where len(w) >= 5)
-        select doc_id, unit::int unit, "start"::int "start", ("start" + len(line))::int "end", len(w)::int n_words, f.d first_doc_id, f.u::int first_unit
-        from ranked where doc_id <> f.d or unit <> f.u""",
+        with cut as (
+          select doc_id, regexp_extract_all(text, '(?s)(?:[^\n.!?,;:]|[.!?,;:]+[^\n.!?,;: \t\r\f\x0B])*(?:[.!?,;:]+|\n)?') l from documents),
+        pieces as (select doc_id, unnest(l) piece, generate_subscripts(l, 1) no from cut),
+        placed as (select *, coalesce(sum(len(piece)) over (partition by doc_id order by no rows between unbounded preceding and 1 preceding), 0) ahead from pieces),
+        stripped as (select doc_id, no, piece, ahead + len(piece) - len(ltrim(piece, E' \t\r\f\x0B\n')) "start", trim(piece, E' \t\r\f\x0B\n') body from placed),
+        units as (select doc_id, "start", "start" + len(body) "end", row_number() over (partition by doc_id order by no) - 1 unit,
+                  list_filter(regexp_split_to_array(lower(body), '[ \t\r\f\x0B]+'), lambda x: x <> '') w from stripped where body <> ''),
+        firsts as (select *, min(struct_pack(d := doc_id, u := unit)) over (partition by w) f from units),
+        again as (select *, unit - row_number() over (partition by doc_id order by unit) run from firsts where doc_id <> f.d or unit <> f.u),
+        weighed as (select *, sum(greatest(len(w), ("end" - "start") // 8)) over (partition by doc_id, run) run_weight from again)
+        select doc_id, unit::int unit, "start"::int "start", "end"::int "end", len(w)::int n_words, run_weight::bigint run_weight, f.d first_doc_id, f.u::int first_unit
+        from weighed where run_weight >= 30""",
     "op2_embedding_dedup": """
         with recursive v as (
           select vec_id, embedding::double[] e from embeddings

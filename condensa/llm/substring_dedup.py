@@ -1,7 +1,11 @@
-"""Repeated lines or paragraphs: normalise, group digests over the whole corpus, keep the earliest, remove the rest.
+"""Repeated lines, paragraphs or segments: normalise, group digests over the whole corpus, keep the earliest, remove the rest.
 
-A unit is a line, or a paragraph (lines up to a blank one). It is compared by the md5 of its lower-cased words with
-single spaces. Occurrences rank by doc_id, then by place in the document. Offsets are code points of the text as it is.
+A unit is a line, a paragraph (lines up to a blank one), or a segment (a line cut after .!?,;: that white space or the
+line's end follows). It is compared by the md5 of its lower-cased words with single spaces. Occurrences rank by doc_id,
+then by place in the document. Offsets are code points of the text as it is.
+
+Which repeats are removed is one rule on runs: repeated units that follow each other in a document are one run, and a
+run goes if it weighs LEAST_RUN or more. Short units are compared like all others and go with their run.
 """
 
 from __future__ import annotations
@@ -11,20 +15,34 @@ import re
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lean, staged
 
-#: Shorter units are left alone: a few words meet by chance.
+#: `repeated_units` leaves shorter units alone: a few words meet by chance.
 LEAST_WORDS = 5
+#: `repeated_runs` removes runs of this weight or more.
+LEAST_RUN = 30
+#: A unit weighs its words, or one for so many code points where that is more: text without spaces counts too.
+WORD_CHARS = 8
 #: White space of a unit, as its words are told apart.
 SPACE = " \t\r\f\v"
 _SPACES = re.compile(f"[{SPACE}]+")
+_SEGMENT_END = re.compile(rf"[.!?,;:]+(?=[{SPACE}\n]|\Z)|\n")
 
 
 def units(text: str, kind: str = "line"):
-    """(start, end) of every unit: lines without their line ends, or paragraphs."""
+    """(start, end) of every unit: lines without their line ends, paragraphs, or segments without white space around them."""
+    if kind == "segment":
+        at = 0
+        for end in [m.end() for m in _SEGMENT_END.finditer(text)] + [len(text)]:
+            body = text[at:end].lstrip(SPACE + "\n")
+            if body:
+                start = end - len(body)
+                yield start, start + len(body.rstrip(SPACE + "\n"))
+            at = end
+        return
     at, start, end = 0, None, 0
     for line in text.split("\n"):
         if kind == "line":
@@ -39,22 +57,37 @@ def units(text: str, kind: str = "line"):
         yield start, end
 
 
+_UNIT = "digest binary, row long, doc_id long, unit int, start int, end int, n_words int"
+
+
 def _units(kind: str, least: int):
     def run(batches):
         for batch in batches:
-            cols = [[] for _ in range(6)]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), pc.fill_null(batch.column("text"), "").to_pylist()):
+            cols = [[] for _ in range(7)]
+            for row, doc, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), pc.fill_null(batch.column("text"), "").to_pylist()):
                 for no, (a, b) in enumerate(units(text, kind)):
                     words = [w for w in _SPACES.split(text[a:b].lower().replace("\n", " ")) if w]
                     if len(words) >= least:
-                        for col, x in zip(cols, (hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).digest(), doc, no, a, b, len(words))):
+                        for col, x in zip(cols, (hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).digest(), row, doc, no, a, b, len(words))):
                             col.append(x)
-            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["digest", "doc_id", "unit", "start", "end", "n_words"])
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["digest", "row", "doc_id", "unit", "start", "end", "n_words"])
 
     return run
 
 
+def _repeats(docs: DataFrame, kind: str, least_words: int) -> DataFrame:
+    """Every occurrence of a unit but the earliest, with the row it stands in and first_doc_id, first_unit (the one that stays)."""
+    lean(docs.sparkSession)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
+    found = staged(rows.mapInArrow(_units(kind, least_words), _UNIT), "units")
+    first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # Written first: a join of two plain exchanges is one whose hot digests Spark can split.
+    first = staged(first.select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.unit").alias("first_unit")), "units-first")
+    same = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("unit") == F.col("first_unit"))
+    return found.join(first, "digest").where(~same).drop("digest")
+
+
 def repeated_units(docs: DataFrame, kind: str = "line", least_words: int = LEAST_WORDS) -> DataFrame:
     """One row per unit to remove: doc_id, unit, start, end, n_words, first_doc_id, first_unit (the one that stays).
 
@@ -62,13 +95,21 @@ def repeated_units(docs: DataFrame, kind: str = "line", least_words: int = LEAST
     repeats of each other only by their place, so their units are removed where an earlier place holds them and
     otherwise stay with both. Null ids rank first. An empty table gives an empty table.
     """
-    lean(docs.sparkSession)
-    found = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_units(kind, least_words), "digest binary, doc_id long, unit int, start int, end int, n_words int"), "units")
-    first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    # Written first: a join of two plain exchanges is one whose hot digests Spark can split.
-    first = staged(first.select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.unit").alias("first_unit")), "units-first")
-    same = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("unit") == F.col("first_unit"))
-    return found.join(first, "digest").where(~same).select("doc_id", "unit", "start", "end", "n_words", "first_doc_id", "first_unit")
+    return _repeats(docs, kind, least_words).select("doc_id", "unit", "start", "end", "n_words", "first_doc_id", "first_unit")
+
+
+def repeated_runs(docs: DataFrame, kind: str = "segment", least_run: int = LEAST_RUN) -> DataFrame:
+    """One row per unit to remove: doc_id, unit, start, end, n_words, run_weight, first_doc_id, first_unit (the one that stays).
+
+    All units are compared, however short; those go whose run of repeated units in their document weighs `least_run`
+    or more. A run is of one row's text, so it gathers no more than one document. Nulls, empty texts, repeated ids and
+    empty tables as in `repeated_units`.
+    """
+    found = staged(_repeats(docs, kind, 1), "units-repeated")
+    line = Window.partitionBy("row").orderBy("unit")
+    weight = F.greatest(F.col("n_words"), F.floor((F.col("end") - F.col("start")) / WORD_CHARS)).cast("long")
+    runs = found.withColumn("run", F.col("unit") - F.row_number().over(line)).withColumn("run_weight", F.sum(weight).over(Window.partitionBy("row", "run")))
+    return runs.where(F.col("run_weight") >= least_run).select("doc_id", "unit", "start", "end", "n_words", "run_weight", "first_doc_id", "first_unit")
 
 
 def _cut(batches):
@@ -91,7 +132,11 @@ def _cut(batches):
 
 
 def removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, text without the spans (doc_id, start, end) and their line ends, kept: the original offsets of what is left."""
+    """doc_id, text without the spans (doc_id, start, end) and their line ends, kept: the original offsets of what is left.
+
+    A null text stays null. Spans go from every row of their doc_id (null ids match null), so rows that share an id and
+    not the text want ids of their own first. Documents without spans keep all; empty tables give empty tables.
+    """
     gone = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone")).withColumnRenamed("doc_id", "of")
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(gone, F.col("doc_id").eqNullSafe(F.col("of")), "left")
     return rows.select("doc_id", "text", "gone").mapInArrow(_cut, "doc_id long, text string, kept array<struct<start: long, end: long>>")

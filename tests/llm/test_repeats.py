@@ -120,3 +120,43 @@ def test_hashes_of_runs_do_not_depend_on_place():
         assert len(set(whole.tolist())) == len(words) - k + 1
         assert all(S._long_hash(words[i : i + k + j], k, 1)[0] == whole[i] for i, j in ((0, 0), (7, 3), (440, 9)))
     assert len(word_hashes(np.frombuffer(b"ab cd", np.uint8), np.array([0, 3]))) == 2
+
+
+def brute_runs(rows, least):
+    import re
+
+    seen, out = set(), []
+    for d, t in sorted(rows):
+        run, body, at = [], t or "", 0
+        flush = lambda: out.extend((d, a, b) for a, b, _ in run) if sum(w for _, _, w in run) >= least else None
+        for piece in re.findall(r".*?(?:[.!?,;:]+(?=\s|$)|\n|$)", body, re.S):
+            a = at + len(piece) - len(piece.lstrip())
+            b, key = a + len(piece.strip()), " ".join(piece.lower().split())
+            at += len(piece)
+            if key and key in seen:
+                run.append((a, b, max(len(key.split()), (b - a) // 8)))
+            elif key:
+                seen.add(key)
+                flush()
+                run = []
+        flush()
+    return sorted(out)
+
+
+def test_runs_equal_brute_force_short_units_go_with_their_run(spark):
+    rng = random.Random(4)
+    pieces = ["".join(rng.choices(["Alpha ", "béta ", "gamma🙂 ", "DELTA\t"], k=rng.randint(1, 6))).strip() + rng.choice([".", ",", "?!", "\n", ": ", " 3.14;"]) for _ in range(40)]
+    rows = [(d, "".join(rng.choice(pieces) + rng.choice([" ", "\n", " \n\n"]) for _ in range(rng.randint(0, 14)))) for d in range(90)]
+    rows += [(100, None), (101, ""), (102, " \n.\n"), (103, "漢字" * 200), (104, "漢字" * 200), (105, "of.\n" * 40), (106, "x " * 20000)]
+    for least in (1, 8, 30):
+        got = L.repeated_runs(docs(spark, rows), least_run=least).collect()
+        assert sorted((r.doc_id, r.start, r.end) for r in got) == brute_runs(rows, least) and got
+        assert all(r.run_weight >= least and (r.first_doc_id, r.first_unit) < (r.doc_id, r.unit) for r in got)
+    assert {104, 105} <= {r.doc_id for r in got}
+    assert L.repeated_runs(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_runs_are_of_one_row_whatever_its_id(spark):
+    text = "One two three four five six, seven eight nine ten eleven twelve. " * 4
+    got = L.repeated_runs(docs(spark, [(1, "own words"), (5, text), (5, "other " + text), (None, "alone"), (None, text + "more")])).collect()
+    assert {r.doc_id for r in got} == {None, 5} and all(r.run_weight >= 30 for r in got)
