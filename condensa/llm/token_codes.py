@@ -14,13 +14,14 @@ a shard whole or absent when executors are lost, and any store that Spark can wr
 
 from __future__ import annotations
 
-import re
+import json
+import os
 import struct
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +32,8 @@ RANK_EVERY = 512
 MAGIC = b"DAC1"
 #: Ids in a shard, a whole document more or less.
 SHARD_IDS = 1 << 18
-#: Distinct words in each of the two tables of ids that a worker remembers.
-CACHE_WORDS = 200_000
+#: Bytes of pieces and their ids that a worker remembers; it forgets them all and begins again.
+CACHE_BYTES = 12 << 20
 
 
 # ---------------------------------------------------------------- the code
@@ -109,61 +110,113 @@ class Codes:
 
 # ---------------------------------------------------------------- tokens
 
-#: a to z and the small letters U+00DF to U+00FF, which no normaliser changes.
-_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+[ \n]*")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
+_SMALL = np.zeros(256, bool)
+_SMALL[97:123] = True
+#: Second bytes of the small letters U+00DF to U+00FF after 0xC3.
+_SMALL_C3 = np.zeros(256, bool)
+_SMALL_C3[0x9F:0xC0] = True
+_SMALL_C3[0xB7] = False
 _STOP = np.zeros(256, bool)
 _STOP[list(b".,;:!?")] = True
+#: What a tokenizers file must say, besides its vocabulary, for its texts to be encoded piece by piece.
+BY_PIECES = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+}
+
+
+def by_pieces(path: str) -> bool:
+    """Whether a tokenizers file has the properties that make the ids of a text those of its pieces: see WordTokens."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    vocabulary = told.get("model", {}).get("vocab", {})
+    told["model"] = {k: v for k, v in told.get("model", {}).items() if k not in ("vocab", "merges")}
+    special = all(x["content"].startswith("<|") and not x["normalized"] and not x["lstrip"] and not x["rstrip"] and not x["single_word"] for x in told.get("added_tokens", []))
+    return special and all(told.get(k) == v for k, v in BY_PIECES.items()) and sum(len(t.removesuffix("</w>")) == 1 for t in vocabulary) == 512
 
 
 class WordTokens:
     """Ids of whole texts by a tokenizers file, each distinct piece of text encoded once.
 
-    Holds for tokenizers that lower-case, drop white space and never join a letter with a following .,;:!? (the
-    word_bpe files): the ids of a text are then the ids of its pieces, one after another, where pieces start after
-    white space and at such a mark after a letter. Pieces of common small Latin letters alone skip the normaliser and the
-    pattern, which leave them as they are. `whole=True` encodes each text in one call, for any other tokenizer.
+    A tokenizer that lower-cases, drops white space and never joins a letter with a following .,;:!? gives a text the ids
+    of its pieces, one after another, where pieces start after white space and at such a mark after a letter. The file
+    is read for that (`by_pieces`); every other one, and `whole=True`, encodes each text in one call. Pieces of common
+    small Latin letters are one word each, which the normaliser and the pattern leave as it is: many are encoded in one
+    call and told apart by their last ids, those of tokens that end a word. A worker remembers CACHE_BYTES of pieces.
     """
 
     def __init__(self, path: str, whole: bool = False):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.model, self.whole = Tokenizer.from_file(path), whole
+        self.model, self.whole = Tokenizer.from_file(path), whole or not by_pieces(path)
         self.plain = Tokenizer(self.model.model)  # shares the vocabulary
-        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.recent, self.older = {}, {}  # piece -> its ids as bytes; a full table becomes the older one
-
-    def _learn(self, model, pieces: list[bytes], known: dict) -> None:
-        for i in range(0, len(pieces), 4096):
-            some = pieces[i : i + 4096]
-            for piece, code in zip(some, model.encode_batch_fast([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)):
-                known[piece] = array("I", code.ids).tobytes()
-
-    def _lists(self, pieces: list[bytes]) -> list[bytes]:
-        if len(self.recent) > CACHE_WORDS:
-            self.recent, self.older = {}, self.recent
-        recent, older, plain, other = self.recent, self.older, {}, []
-        for piece in pieces:
-            if piece not in recent:
-                if piece in older:
-                    recent[piece] = older[piece]
-                elif _PLAIN.fullmatch(piece):
-                    plain.setdefault(piece.rstrip(), []).append(piece)
-                else:
-                    other.append(piece)
-        self._learn(self.model, other, recent)
-        found: dict[bytes, bytes] = {}
-        self._learn(self.plain, list(plain), found)
-        for word, forms in plain.items():
-            for piece in forms:
-                recent[piece] = found[word]
-        return [recent[piece] for piece in pieces]
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.model.get_vocab() if not self.whole else {}
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.pieces, self.ids, self.sizes = pa.array([], pa.large_binary()), np.zeros(0, np.uint32), np.zeros(0, np.int32)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number by word) of words of small letters."""
+        spaced = pc.binary_join_element_wise(words, pa.scalar(b" ", pa.large_binary()), pa.scalar(b"", pa.large_binary()))
+        at = np.frombuffer(spaced.buffers()[1], np.int64)[spaced.offset : spaced.offset + len(spaced) + 1]
+        body = memoryview(spaced.buffers()[2])
+        cuts = [*range(0, len(words), 1024), len(words)]
+        found = self.plain.encode_batch_fast([str(body[at[i] : at[j]], "utf-8") for i, j in zip(cuts[:-1], cuts[1:])], add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids, np.uint32) for x in found])
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(words):
+            raise ValueError("the tokenizer's words don't end with an end token")
+        return ids, np.diff(np.r_[-1, last]).astype(np.int32)
+
+    def _learn(self, new: pa.Array) -> None:
+        """Encode pieces and remember them."""
+        at = np.frombuffer(new.buffers()[1], np.int64)[new.offset : new.offset + len(new) + 1]
+        body = np.frombuffer(new.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+        small = _SMALL[body]
+        if len(body) > 1:
+            pair = np.flatnonzero((body[:-1] == 0xC3) & _SMALL_C3[body[1:]])
+            small[pair] = small[pair + 1] = True
+        ahead = np.r_[0, np.cumsum(small)]
+        size = np.diff(at)
+        plain = (ahead[at[1:] - at[0]] - ahead[at[:-1] - at[0]] == size) & (size > 0)
+        other = new.filter(pa.array(~plain))
+        parts = [np.array(x.ids, np.uint32) for i in range(0, len(other), 4096) for x in self.model.encode_batch_fast([str(y, "utf-8", "replace") for y in other.slice(i, 4096).to_pylist()], add_special_tokens=False)]
+        ids, sizes = [np.concatenate([np.zeros(0, np.uint32), *parts])], [np.array([len(x) for x in parts], np.int32)]
+        words = new.filter(pa.array(plain))
+        if len(words):
+            found, count = self._words(words)
+            ids.append(found), sizes.append(count)
+        self.pieces, self.ids, self.sizes = pa.concat_arrays([self.pieces, other, words]), np.concatenate([self.ids, *ids]), np.concatenate([self.sizes, *sizes])
+
+    def _indices(self, words: pa.Array) -> np.ndarray:
+        """Where in what is remembered each of some distinct pieces stands."""
+        if self.pieces.nbytes + self.ids.nbytes + self.sizes.nbytes > CACHE_BYTES:
+            self.pieces, self.ids, self.sizes = self.pieces[:0], self.ids[:0], self.sizes[:0]
+        at = pc.index_in(words, value_set=self.pieces)
+        if at.null_count:
+            known = len(self.pieces)
+            missing = pc.is_null(at)
+            new = pa.concat_arrays([words.filter(missing)])
+            self._learn(new)
+            at = np.where(missing.to_numpy(zero_copy_only=False), pc.index_in(words, value_set=self.pieces.slice(known)).fill_null(0).to_numpy() + known, at.fill_null(0).to_numpy())
+            return at
+        return at.to_numpy()
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ends by row)."""
@@ -182,20 +235,19 @@ class WordTokens:
         blank = (data == 32) | (data == 10)
         begins = np.zeros(n + 1, bool)
         begins[1:-1] = (blank[:-1] & ~blank[1:]) | (_LETTER[data[:-1]] & _STOP[data[1:]])
-        begins[offsets] = True  # each piece reaches to the next one's start, so it keeps the white space after it
+        begins[offsets] = True
         cuts = np.flatnonzero(begins[:-1])
-        pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(np.append(cuts, n).astype(np.int64)), pa.py_buffer(data)])
+        gaps = np.flatnonzero(blank)  # white space ends a piece and is no part of one
+        ends = np.append(cuts - np.searchsorted(gaps, cuts), n - len(gaps)).astype(np.int64)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(ends), pa.py_buffer(data[~blank])])
         coded = pieces.dictionary_encode()
-        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        lists = self._lists(words)
-        sizes = np.fromiter(map(len, lists), np.int32, len(lists)) // 4
-        flat = np.frombuffer(b"".join(lists), np.uint32)
-        first = np.cumsum(sizes, dtype=np.int32) - sizes
-        count = sizes[index]
+        index = self._indices(coded.dictionary)[coded.indices.to_numpy()]
+        first = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        count = self.sizes[index]
         ends = np.cumsum(count, dtype=np.int32)  # a slice has far fewer than 2**31 ids
-        at = np.arange(int(ends[-1]), dtype=np.int32) + np.repeat(first[index] - (ends - count), count)
+        at = np.arange(int(ends[-1]), dtype=np.int32) + np.repeat((first[index] - (ends - count)).astype(np.int32), count)
         row_end = np.r_[0, ends][np.searchsorted(cuts, offsets[1:], "left")]
-        return flat[at], row_end
+        return self.ids[at], row_end
 
 
 _workers: dict[tuple[str, bool], WordTokens] = {}
