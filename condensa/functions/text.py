@@ -21,13 +21,20 @@ def byte_prefix(c: Column, limit: int) -> Column:
 
 
 def escape_binary(c: Column) -> Column:
-    """Bytes as text: \\n stays, \\r and \\t are named, printable ASCII stays, any other byte is \\xNN."""
-    pairs = F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda i: F.hex(F.substr(c, i, F.lit(1))))
-    named = lambda x: (
-        F.when(x == "0A", "\n").when(x == "0D", "\\r").when(x == "09", "\\t")
-        .when((x >= "20") & (x <= "7E"), F.chr(F.conv(x, 16, 10).cast("int"))).otherwise(F.concat(F.lit("\\x"), F.lower(x)))
-    )
-    return F.when(F.octet_length(c) == 0, "").otherwise(F.array_join(F.transform(pairs, named), ""))
+    """Bytes as text: \\n stays, \\r and \\t are named, printable ASCII stays, any other byte is \\xNN.
+
+    The bytes are read as Latin-1, one character each; only the characters that don't stay are looked at one by one.
+    """
+    text = F.decode(c, "ISO-8859-1")
+    kept = F.split(text, r"[^\n\x20-\x7E]", -1)
+    odd = F.regexp_extract_all(text, F.lit(r"[^\n\x20-\x7E]"), F.lit(0))
+    named = F.transform(odd, lambda x: F.when(x == "\r", "\\r").when(x == "\t", "\\t").otherwise(F.concat(F.lit("\\x"), F.lower(F.hex(F.encode(x, "ISO-8859-1"))))))
+    return F.array_join(F.zip_with(kept, F.concat(named, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+
+
+def bounded_chars(c: Column, most: int) -> Column:
+    """At most so many characters."""
+    return F.substring(c, 1, most)
 
 
 def valid_utf8(c: Column) -> Column:

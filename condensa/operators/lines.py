@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,14 +12,33 @@ from ..functions.predicates import Line
 from ..functions.text import section_depth
 
 
+def _cut(batches):
+    """Lines and their offsets of whole texts, worked out on the bytes of a batch: lines tile them, so none is copied."""
+    for batch in batches:
+        texts = batch.column(1)
+        _, ends, data = texts.buffers()
+        n = len(texts)
+        offsets = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+        body = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if n and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+        first = offsets - offsets[0]
+        cuts = np.union1d(np.flatnonzero(body == 10) + 1, first[1:])
+        cuts = cuts[cuts > 0]
+        row = np.searchsorted(first, cuts - 1, "right") - 1
+        start = np.r_[0, cuts[:-1]] if len(cuts) else cuts
+        begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(cuts) else cuts
+        number = np.arange(len(cuts)) - np.repeat(begin, np.diff(np.append(begin, len(cuts)))) if len(cuts) else cuts
+        line = pa.Array.from_buffers(pa.string(), len(cuts), [None, pa.py_buffer(np.r_[0, cuts].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(body))])
+        cells = [batch.column(0).take(pa.array(row)), pa.array(number.astype(np.int32)), line, pa.array(start - first[row]), pa.array(cuts - first[row])]
+        yield pa.RecordBatch.from_arrays(cells, names=[batch.schema.names[0], "line_no", "line", "start", "end"])
+
+
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, line_no, line, start, end): lines keep their line end, offsets are bytes; no text, no lines.
 
-    One shuffle, by document; windows and aggregates by document that follow reuse it.
+    No shuffle: offsets are worked out next to the scan, a batch of whole texts at a time.
     """
-    out = docs.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(P.LINE), F.lit(0))).alias("line_no", "line"))
-    end = F.sum(F.octet_length("line")).over(Window.partitionBy(key).orderBy("line_no")).cast("long")
-    return out.withColumn("end", end).select(key, "line_no", "line", (F.col("end") - F.octet_length("line")).alias("start"), "end")
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.where(F.col(text).isNotNull()).select(key, text).mapInArrow(_cut, f"`{key}` {kind}, line_no int, line string, start long, end long")
 
 
 def first_last(spans: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.predicates import Line, trim_start
+from ..functions.predicates import Line, ascii_lower, trim_start
 from ..functions.text import byte_prefix
 
 FEATURES = ("lines", "json_structural", "hunk_headers", "diff_headers", "diff_changes", "frames", "project_frames", "exceptions", "tests", "diagnostics", "errors", "path_headers", "progress", "code")
@@ -25,14 +25,23 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     each = each.withColumn("line", F.regexp_replace("line", r"\r?\n\z", ""))
     x = Line(F.col("line"))
     x.raw = F.col("line")
+    each = each.select(key, "opens_json", "shebang", x.raw.alias("raw"), x.trimmed.alias("trimmed"))
+    x.raw, x.trimmed = F.col("raw"), F.col("trimmed")
+    each = each.withColumn("text", ascii_lower(x.trimmed))
+    x.text = F.col("text")
+    each = each.withColumn("loud", x.loud).withColumn("marked", F.substring("raw", 1, 1).isin("@", "+", "-", "d", "i"))
+    loud, marked = F.col("loud"), F.col("marked")
+    # What several features need is worked out once a line.
+    each = each.select("*", (marked & x.diff_header).alias("header"), (loud & x.lowered("frame")).alias("frame"), (loud & x.error_diagnostic).alias("error"))
+    header, frame, error = F.col("header"), F.col("frame"), F.col("error")
     hits = {
-        "lines": F.lit(True), "json_structural": x.lowered("json_structural"), "hunk_headers": x.hunk_header, "diff_headers": x.diff_header,
-        "diff_changes": x.diff_change & ~x.diff_header, "frames": x.lowered("frame"), "project_frames": x.lowered("frame") & ~x.lowered("library_path"),
-        "exceptions": x.lowered("exception_header"), "tests": x.lowered("test_failure") | x.lowered("test_summary") | x.lowered("test_case"),
-        "diagnostics": x.error_diagnostic | x.warning_diagnostic | x.lowered("diagnostic_detail"), "errors": x.error_diagnostic,
-        "path_headers": x.path_header, "progress": x.lowered("progress"), "code": x.code,
+        "lines": F.lit(True), "json_structural": loud & x.lowered("json_structural"), "hunk_headers": marked & x.hunk_header, "diff_headers": header,
+        "diff_changes": marked & ~header & x.diff_change, "frames": frame, "project_frames": frame & ~x.lowered("library_path"),
+        "exceptions": loud & x.lowered("exception_header"), "tests": loud & (x.lowered("test_failure") | x.lowered("test_summary") | x.lowered("test_case")),
+        "diagnostics": error | (loud & (x.warning_diagnostic | x.lowered("diagnostic_detail"))), "errors": error,
+        "path_headers": x.path_header, "progress": loud & x.lowered("progress"), "code": x.code,
     }
-    filled = F.col("line").isNotNull() & (x.trimmed != "")
+    filled = F.col("trimmed").isNotNull() & (F.col("trimmed") != "")
     return each.groupBy(key).agg(F.first("opens_json").alias("opens_json"), F.first("shebang").alias("shebang"), *(F.count_if(filled & hit).alias(name) for name, hit in hits.items()))
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import patterns as P
@@ -13,31 +11,15 @@ from .functions.predicates import Line, PyLine  # noqa: F401
 from .operators import evaluation, focus, kernel, lines, projection, retrieval, shape, spans, store
 from .plans import acquisition, requests, sql
 from .sources import files
+from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 from .streaming import intent
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
 NOW = 1_000_000
 LIMIT = 1024
 FOCUS = "Which license and contact does the theanha of inerthe ourethe mention in the erthe"
 PATTERN = "the"
 
 
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def documents(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
@@ -188,8 +170,19 @@ def _kinds(spark, sf_dir) -> DataFrame:
 
 @query(f"with {formed(_KINDS)}, told as (" + " union all ".join(f"select doc_id, '{s}' shape, {class_sql(s)} class from formed" for s in SHAPES) + ") select doc_id, shape, class::int class, count(*) n from told group by 1, 2, 3")
 def line_classes(spark, sf_dir):
-    each = _kinds(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(P.LINE), F.lit(0))).alias("line")).withColumn("shape", F.explode(F.array(*map(F.lit, SHAPES))))
-    return each.groupBy("doc_id", "shape", Line(F.col("line")).classify(F.col("shape")).alias("class")).agg(F.count("*").alias("n"))
+    """Every rule once a line; a row a document and its counters meet in the shuffle, not lines."""
+    each = _kinds(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(P.LINE), F.lit(0))).alias("line"))
+    x = Line(F.col("line"))
+    each = each.select("doc_id", "line", x.raw.alias("raw"), x.trimmed.alias("trimmed"), x.text.alias("text"))
+    x.raw, x.trimmed, x.text = F.col("raw"), F.col("trimmed"), F.col("text")
+    each = each.select("*", x.loud.alias("loud"), x.severity.alias("severe"))
+    classes = x.classes(F.col("loud"), F.col("severe"))
+    each = each.select("doc_id", *(classes[k].alias(k) for k in SHAPES if k != "typecheck-lint"))
+    kinds = [(k, c) for k in SHAPES for c in (0, 1, 2)]
+    of = lambda k: "build-output" if k == "typecheck-lint" else k
+    counted = each.groupBy("doc_id").agg(*(F.count_if(F.col(f"`{of(k)}`") == c).alias(f"n{i}") for i, (k, c) in enumerate(kinds)))
+    told = F.array(*(F.struct(F.lit(k).alias("shape"), F.lit(c).alias("class"), F.col(f"n{i}").alias("n")) for i, (k, c) in enumerate(kinds)))
+    return counted.select("doc_id", F.explode(F.filter(told, lambda t: t["n"] > 0)).alias("t")).select("doc_id", "t.*")
 
 
 # ---------------------------------------------------------------- shape
@@ -235,18 +228,18 @@ _HITS = f"""{lines_of('documents')}, terms(i, term) as (values {_TERM_ROWS}),
 
 @query(f"with {_HITS} select doc_id, term, hits, lines from hits")
 def focus_term_hits(spark, sf_dir):
-    return focus.term_hits(lines.lines(documents(spark, sf_dir)), FOCUS)
+    return focus.term_hits(documents(spark, sf_dir), FOCUS)
 
 
 @query(f"with {_HITS} select doc_id, sum(case when hits > 0 and hits * 4 <= lines then 1 << i else 0 end)::bigint telling from hits group by doc_id")
 def focus_discriminating(spark, sf_dir):
-    return focus.ranked(lines.lines(documents(spark, sf_dir)), FOCUS).groupBy("doc_id").agg(F.first("telling").alias("telling"))
+    return focus.telling(documents(spark, sf_dir), FOCUS)
 
 
 @query(f"""with {_HITS}, told as (select doc_id, term from hits where hits > 0 and hits * 4 <= lines)
     select doc_id, line_no::int line_no, count(*) score from low join told using (doc_id) where contains(t, term) group by 1, 2""")
 def focus_rank(spark, sf_dir):
-    return focus.ranked(lines.lines(documents(spark, sf_dir)), FOCUS).where("score > 0").select("doc_id", "line_no", "score")
+    return focus.scored(documents(spark, sf_dir), FOCUS).where("score > 0").select("doc_id", "line_no", "score")
 
 
 @query(f"""with {formed(LOGS)}, told as (select doc_id, line_no, {SEVERITY} is not null p, contains(t, 'click') m from formed),
@@ -363,12 +356,6 @@ def template_runs(spark, sf_dir):
     return out.select("doc_id", F.explode("aggregates").alias("r")).select("doc_id", "r.*")
 
 
-@query()
-def projection_envelopes(spark, sf_dir):
-    out = projection.project(_kinds(spark, sf_dir), total=LIMIT)
-    return out.select("doc_id", requests.envelope(out, "doc_id").alias("envelope"), requests.exit_code(F.col("error_code")).alias("exit_code"))
-
-
 @query(r"""with d as (select doc_id, encode(text) b from documents where text is not null),
     h as (select doc_id, list_transform(range(0, octet_length(b)), lambda i: hex(b)[2 * i + 1 : 2 * i + 2]) x from d)
     select doc_id, array_to_string(list_transform(x, lambda y: case when y = '0A' then chr(10) when y = '0D' then '\r' when y = '09' then '\t' when y >= '20' and y <= '7E' then chr(('0x' || y)::int) else '\x' || lower(y) end), '') escaped from h""")
@@ -376,10 +363,11 @@ def binary_escape(spark, sf_dir):
     return documents(spark, sf_dir).where("text is not null").select("doc_id", T.escape_binary(F.col("text").cast("binary")).alias("escaped"))
 
 
-@query(f"select doc_id, coalesce(strlen(left(text, {_FITS.format(100)})) = least(100, strlen(text)), false) valid from documents where text is not null")
+@query(f"select doc_id, true whole, coalesce(strlen(left(text, {_FITS.format(100)})) = least(100, strlen(text)), false) cut, false odd from documents where text is not null")
 def utf8_validity(spark, sf_dir):
-    cut = F.substring(F.col("text").cast("binary"), 1, 100)
-    return documents(spark, sf_dir).where("text is not null").select("doc_id", T.valid_utf8(cut).alias("valid"))
+    raw = F.col("text").cast("binary")
+    odd = F.concat(raw, F.unhex(F.element_at(F.array(*map(F.lit, ("FF", "C328", "E28241", "F0908041", "EDA080", "C0AF", "F8888080", "80"))), (F.col("doc_id") % 8 + 1).cast("int"))))
+    return documents(spark, sf_dir).where("text is not null").select("doc_id", T.valid_utf8(raw).alias("whole"), T.valid_utf8(F.substring(raw, 1, 100)).alias("cut"), T.valid_utf8(odd).alias("odd"))
 
 
 # ---------------------------------------------------------------- store
@@ -466,11 +454,6 @@ def latest_receipt(spark, sf_dir):
     return store.latest(_receipts(spark, sf_dir))
 
 
-@query()
-def lineage_chain(spark, sf_dir):
-    return store.chained(_receipts(spark, sf_dir))
-
-
 # ---------------------------------------------------------------- requests
 
 def _orders(spark, sf_dir) -> DataFrame:
@@ -484,38 +467,6 @@ def retention_resolve(spark, sf_dir):
     return _orders(spark, sf_dir).select("o_orderkey", F.coalesce(store.expiry(F.lit(NOW), F.when(k % 3 == 0, F.lit(NOW) - 50 + c), F.when(k % 5 == 0, c - 20)), F.lit(-1)).alias("expires_at"))
 
 
-_REQUESTS = f"""req as (select o_orderkey k, case o_orderkey % 7 when 0 then 'v1' when 1 then 'v2' else 'v3' end schema_version, case when o_orderkey % 11 = 0 then 'bad id' else 'r' || o_orderkey end request_id,
-    case o_orderkey % 6 when 0 then 'socket' when 1 then 'artifact' else 'inline' end kind, case when o_custkey % 2 = 0 then md5(o_orderkey::varchar) else 'xyz' end artifact_id,
-    case when o_orderkey % 13 = 0 then 'nope/v1' else 'auto/v1' end profile, case o_orderkey % 4 when 0 then 'tokens' else 'bytes' end unit, case when o_custkey % 3 = 0 then 'cl100k_base' end token_profile,
-    1000 total, o_custkey reserved, case when o_custkey % 5 = 0 then o_orderpriority end focus, case when o_custkey % 7 = 0 then {NOW} - 300 + o_custkey end expires_at, case when o_custkey % 8 = 0 then o_custkey - 16 end ttl from orders)"""
-
-
-def _requests(spark, sf_dir) -> DataFrame:
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    return _orders(spark, sf_dir).select(
-        k.alias("k"), F.when(k % 7 == 0, "v1").when(k % 7 == 1, "v2").otherwise("v3").alias("schema_version"), F.when(k % 11 == 0, "bad id").otherwise(F.concat(F.lit("r"), k.cast("string"))).alias("request_id"),
-        F.when(k % 6 == 0, "socket").when(k % 6 == 1, "artifact").otherwise("inline").alias("kind"), F.when(c % 2 == 0, F.md5(k.cast("string").cast("binary"))).otherwise("xyz").alias("artifact_id"),
-        F.when(k % 13 == 0, "nope/v1").otherwise("auto/v1").alias("profile"), F.when(k % 4 == 0, "tokens").otherwise("bytes").alias("unit"), F.when(c % 3 == 0, "cl100k_base").alias("token_profile"),
-        F.lit(1000).alias("total"), c.alias("reserved"), F.when(c % 5 == 0, F.col("o_orderpriority")).alias("focus"), F.when(c % 7 == 0, F.lit(NOW) - 300 + c).alias("expires_at"), F.when(c % 8 == 0, c - 16).alias("ttl"),
-    )
-
-
-@query(f"""with {_REQUESTS} select k, case when schema_version not in ('v2', 'v3') then 'unsupported_version' when request_id = 'bad id' then 'invalid_request_id' when kind = 'socket' then 'invalid_source'
-    when kind = 'artifact' and artifact_id = 'xyz' then 'invalid_source' when expires_at is not null and ttl is not null then 'invalid_retention' when expires_at <= {NOW} or ttl <= 0 then 'invalid_retention'
-    when focus is not null and schema_version <> 'v3' then 'invalid_focus' when profile = 'nope/v1' then 'invalid_profile' when reserved > total then 'invalid_budget'
-    when unit = 'bytes' and token_profile is not null then 'invalid_budget' when unit = 'tokens' and token_profile is null then 'token_profile_unsupported' end failure from req""")
-def request_validation(spark, sf_dir):
-    return _requests(spark, sf_dir).select("k", requests.failure(NOW).alias("failure"))
-
-
-@query(f"with {_REQUESTS} select k, schema_version, request_id, kind, profile, total::bigint total, reserved, focus, k % 9 = 0 malformed from req")
-def request_decode(spark, sf_dir):
-    rows = _requests(spark, sf_dir)
-    fields = F.struct("schema_version", "request_id", "kind", "profile", "total", "reserved", "focus", F.when(F.col("k") % 9 == 0, 1).alias("surprise"))
-    out = requests.decoded(rows.select("k", F.to_json(fields).alias("value")), keep=("k",))
-    return out.select("k", "schema_version", "request_id", "kind", "profile", "total", "reserved", "focus", "malformed")
-
-
 @query("""with told as (select conv_id, turn, role, turn * 10000 + conv_id % 7 ts, case when role = 'user' then text end prompt from conversations)
     select a.conv_id, a.turn, (select left(trim(b.prompt, ' ' || chr(10)), (select max(k) from range(0, 257) t(k) where strlen(left(trim(b.prompt, ' ' || chr(10)), k)) <= 256)) from told b
         where b.conv_id = a.conv_id and b.prompt is not null and trim(b.prompt, ' ' || chr(10)) <> '' and b.ts between a.ts - 43200 and a.ts order by b.ts desc limit 1) intent from told a""")
@@ -545,23 +496,6 @@ def stream_event_check(spark, sf_dir):
     return documents(spark, sf_dir).where("text is not null").select("doc_id", acquisition.events_cover(events, size).alias("covered"))
 
 
-@query("""select o_orderkey, coalesce(case when o_orderkey % 3 < 2 then case when o_custkey % 2 = 0 then ['inline', 'file'][(o_orderkey % 3 + 1)::bigint] end
-    when o_custkey % 4 = 0 then case when o_custkey % 3 = 0 then 'process_complete' else 'process_failed' end else 'process_partial' end, 'contradiction') state from orders""")
-def acquisition_state(spark, sf_dir):
-    k, c = F.col("o_orderkey") % 3, F.col("o_custkey")
-    kind = F.when(k == 0, "inline").when(k == 1, "file").otherwise("process")
-    status = F.when(k == 2, F.when(c % 4 == 0, "complete").otherwise("partial")).when(c % 2 == 1, "complete")
-    code = F.when((k == 2) & (c % 4 == 0), c % 3)
-    return _orders(spark, sf_dir).select("o_orderkey", F.coalesce(acquisition.state(kind, status, code), F.lit("contradiction")).alias("state"))
-
-
-@query(f"select doc_id, strlen(text) original_count, least(strlen(text), 999999) visible_count from documents where strlen(text) <= {LIMIT}")
-def project_text_lateral(spark, sf_dir):
-    sql.register(spark)
-    documents(spark, sf_dir).createOrReplaceTempView("_condensa_documents")
-    return spark.sql(f"select d.doc_id, p.original_count, p.visible_count from _condensa_documents d, lateral project_text(d.text, 'plain-text/v1', {LIMIT}, 0, null) p where p.fidelity = 'exact'")
-
-
 # ---------------------------------------------------------------- evaluation
 
 @query(f"""with shown as (select doc_id, left(text, {_FITS.format(512)}) visible from documents where text is not null), facts as (select doc_id, unnest([text[1:20], text[400:420], text[-20:]]) fact from documents where doc_id % 5 <> 0),
@@ -595,3 +529,6 @@ def wilson_interval(spark, sf_dir):
     counts = table(spark, sf_dir, "labels").groupBy("quality").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("s"))
     low_, high_ = evaluation.wilson(F.col("s"), F.col("n"))
     return counts.select("quality", "n", "s", low_.alias("low"), high_.alias("high"))
+
+
+from . import line_queries, plan_queries  # noqa: E402, F401  (they register their own)

@@ -10,7 +10,8 @@ from core.test_kernel import logs
 from pyspark.sql import functions as F
 
 from condensa.operators import evaluation, focus, kernel, lines, projection, retrieval, shape, spans, store
-from condensa.plans import acquisition, requests, sql
+from condensa import plan_queries
+from condensa.plans import acquisition, codes, hooks, requests, sql
 from condensa.sources import corpus, files, process
 from condensa.sources.store import Store, StoreError
 from condensa.streaming import intent
@@ -115,17 +116,10 @@ def test_native_projections_equal_the_kernel(docs, texts):
         assert r.visible == kernel.project(texts[r.doc_id].encode(), "terminal-log/v1", 64)["visible"]
 
 
-def test_envelopes(spark, docs):
-    out = projection.project(docs, total=300)
-    for r in out.select("*", requests.envelope(out, "doc_id").alias("e"), requests.exit_code(F.col("error_code")).alias("x")).collect():
-        e = json.loads(r.e)
-        assert ("omitted" in e) == (r.fidelity not in (None, "exact")) and ("recovery" in e) == (r.fidelity == "extractive") and (r.x == 0) == ("error" not in e)
-
-
 # ---------------------------------------------------------------- store
 
 def chain(receipts):
-    head = ""
+    head = hashlib.sha256(b"").hexdigest()
     for i, r in enumerate(receipts):
         head = hashlib.sha256(store.CHAIN_DOMAIN + head.encode() + struct.pack(">Q", i) + r).hexdigest()
     return head
@@ -146,28 +140,94 @@ def test_store_life(spark, tmp_path):
     s.append(spark.createDataFrame([(one, 0, "a"), (two, 0, "b"), (two, 1, "c")], "artifact_id string, place long, receipt string"))
     s.append(spark.createDataFrame([(two, 0, "d")], "artifact_id string, place long, receipt string"))
     rows = s.trace(two, 105).collect()
-    assert [bytes(r.receipt) for r in rows] == [b"b", b"c", b"d"] and rows[0]["head"] == chain([b"b", b"c", b"d"])
+    assert [bytes(r.receipt) for r in rows] == [b"b", b"c", b"d"] and rows[0]["head"] == chain([b"b", b"c", b"d"]) == rows[2].chain_sha256
     assert s.status(105).first().artifacts == 2
-    with pytest.raises(StoreError, match="artifact_not_found"):
+    with pytest.raises(StoreError, match="artifact_unknown"):
         s.resolve("9" * 32, 105)
     with pytest.raises(StoreError, match="artifact_expired"):
         s.resolve(one, 110)
     with pytest.raises(StoreError, match="store_full"):
         s.commit(spark.createDataFrame([("3" * 32, "x" * 999)], "id string, source string"), now=106)
-    with pytest.raises(StoreError, match="artifact_not_found"):
+    with pytest.raises(StoreError, match="commit_failed"):
+        s.commit(spark.createDataFrame([(two, "again")], "id string, source string"), now=106)
+    with pytest.raises(StoreError, match="artifact_unknown"):
         s.append(spark.createDataFrame([("9" * 32, 0, "a")], "artifact_id string, place long, receipt string"))
-    s.collect_garbage(120)
-    assert s.status(120).first().artifacts == 1 and s.table("receipts").count() == 3
+    with pytest.raises(StoreError, match="artifact_expired"):
+        s.retrieve(one, 120)  # and it is collected
+    assert s.status(120).first().artifacts == 1 and s.table("receipts").count() == 3 and s.table("heads").count() == 1
     with pytest.raises(StoreError, match="artifact_expired"):
         s.resolve(one, 120)
     s.collect_garbage(120 + store.TOMBSTONE_SECONDS)
-    with pytest.raises(StoreError, match="artifact_not_found"):
+    with pytest.raises(StoreError, match="artifact_unknown"):
         s.resolve(one, 120 + store.TOMBSTONE_SECONDS)
     (tmp_path / "s" / "LOCK").touch()
     with pytest.raises(StoreError, match="store_busy"):
         s.collect_garbage(1)
 
 
+def tampered(s, spark, table, change):
+    """The store with another table in place of one of its own."""
+    manifest = s._manifest()
+    s._publish(manifest | {table: [s._segment(change(s.table(table, manifest)))]})
+
+
+@pytest.mark.parametrize("table,column,value", [("receipts", "receipt", "x"), ("receipts", "receipt_sha256", "0" * 64), ("receipts", "chain_sha256", "0" * 64), ("receipts", "sequence", 5), ("heads", "head", "0" * 64), ("heads", "receipts", 9), ("heads", "bytes", 9)])
+def test_a_changed_lineage_is_noticed(spark, tmp_path, table, column, value):
+    s, one = Store(spark, str(tmp_path / "s")), "1" * 32
+    s.commit(spark.createDataFrame([(one, "hello")], "id string, source string"), now=100)
+    s.append(spark.createDataFrame([(one, 0, "a"), (one, 1, "b")], "artifact_id string, place long, receipt string"))
+    assert s.trace(one, 101).count() == 2
+    tampered(s, spark, table, lambda df: df.withColumn(column, F.lit(value).cast(df.schema[column].dataType)))
+    with pytest.raises(StoreError, match="artifact_corrupt"):
+        s.trace(one, 101)
+    with pytest.raises(StoreError, match="artifact_corrupt"):
+        s.append(spark.createDataFrame([(one, 0, "c")], "artifact_id string, place long, receipt string"))
+
+
+def test_metadata_partial_artifacts_and_strict_receipts(spark, tmp_path):
+    s, one, two = Store(spark, str(tmp_path / "s")), "1" * 32, "2" * 32
+    s.commit(spark.createDataFrame([(one, "hello", "complete"), (two, "wo", "partial")], "id string, source string, state string"), now=100)
+    with pytest.raises(StoreError, match="acquisition_failed"):
+        s.retrieve(two, 101)
+    s.append(spark.createDataFrame([(one, 0, "{}", "r")], "artifact_id string, place long, receipt string, request_id string"))
+    assert s.trace(one, 101).count() == 1
+    with pytest.raises(StoreError, match="artifact_corrupt"):
+        s.trace(one, 101, strict=True)  # no receipt of a projection
+    tampered(s, spark, "artifacts", lambda df: df.withColumn("metadata", F.lit("{}").cast("binary")))
+    with pytest.raises(StoreError, match="artifact_corrupt"):
+        s.resolve(one, 101)
+
+
+def test_a_dead_writers_lock_is_taken_over_and_a_living_ones_is_not(spark, tmp_path):
+    import os
+    import time
+
+    s = Store(spark, str(tmp_path / "s"))
+    lock = tmp_path / "s" / "LOCK"
+    lock.touch()
+    os.utime(lock, (time.time() - 4000,) * 2)
+    s.collect_garbage(1)
+    assert not lock.exists() and oct((tmp_path / "s").stat().st_mode & 0o777) == "0o700"
+    lock.touch()
+    with pytest.raises(StoreError, match="store_busy"):
+        s.collect_garbage(1)
+
+
+def test_migration(spark, tmp_path):
+    s, one = Store(spark, str(tmp_path / "s")), "1" * 32
+    old = spark.createDataFrame([(one, 1, "complete", 5, 500, bytearray(b"hi"), 2, hashlib.sha256(b"hi").hexdigest())], "id string, schema_version int, state string, created_at long, expires_at long, source binary, source_bytes long, source_sha256 string")
+    receipts = lambda *rows: spark.createDataFrame(list(rows), "artifact_id string, sequence long, receipt string")
+    with pytest.raises(StoreError, match="artifact_corrupt"):
+        s.migrate(old, receipts(("2" * 32, 0, "a")))
+    with pytest.raises(StoreError, match="artifact_corrupt"):
+        s.migrate(old.withColumn("source_bytes", F.lit(3).cast("long")), receipts((one, 0, "a")))
+    s.migrate(old, receipts((one, 40, "b"), (one, 7, "a")))
+    rows = s.trace(one, 100).collect()
+    assert [(r.sequence, bytes(r.receipt)) for r in rows] == [(0, b"a"), (1, b"b")] and rows[0]["head"] == chain([b"a", b"b"])
+    with pytest.raises(StoreError, match="commit_failed"):
+        s.migrate(old, receipts((one, 0, "a")))
+
+
 def test_corruption_is_told(spark):
     good = ("a", 3, "complete", 200, bytearray(b"x"), 1, hashlib.sha256(b"x").hexdigest())
     rows = [good, ("b", 9, *good[2:]), ("c", 3, "odd", *good[3:]), ("d", 3, "complete", 50, *good[4:]), ("e", *good[1:5], 2, good[6]), ("f", *good[1:6], "0" * 64)]
@@ -190,6 +250,35 @@ def test_files_stay_beneath_their_root(spark, tmp_path):
     assert got == {"f.txt": None, "b.bin": "invalid_request"}
 
 
+def test_files_are_read_beneath_their_root_and_checked_after(spark, tmp_path, monkeypatch):
+    import os
+
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "f.txt").write_bytes(b"hi")
+    (tmp_path / "d" / "big").write_bytes(b"x" * 30)
+    (tmp_path / "link").symlink_to(tmp_path / "d")
+    os.mkfifo(tmp_path / "pipe")
+    monkeypatch.setattr(files, "MOST_BYTES", 20)
+    root = files.Root(str(tmp_path))
+    read = files.read_beneath(spark, root, ["d/f.txt", "d/big", "link/f.txt", "../x", "none", "pipe", "d"])
+    got = {r.relative_path: (None if r.source is None else bytes(r.source), r.error_code) for r in read.collect()}
+    assert got == {"d/f.txt": (b"hi", None), "d/big": (None, "input_too_large"), "link/f.txt": (None, "unsafe_root"), "../x": (None, "unsafe_root"), "none": (None, "acquisition_failed"), "pipe": (None, "acquisition_failed"), "d": (None, "acquisition_failed")}
+    late = files.read_beneath(spark, root, ["d/f.txt"])
+    (tmp_path / "d" / "f.txt").write_bytes(b"other")
+    assert late.first().error_code == "acquisition_failed" and late.first().source is None
+    os.rename(tmp_path / "d", tmp_path / "e")
+    (tmp_path / "d").symlink_to(tmp_path / "e")
+    with pytest.raises(files.Confined):
+        root.open("d/f.txt")
+    with pytest.raises(files.Confined):
+        files.Root(str(tmp_path / "e" / "big"))
+    inner = files.Root(str(tmp_path / "e"))
+    os.rename(tmp_path / "e", tmp_path / "gone")
+    (tmp_path / "e").mkdir()
+    with pytest.raises(files.Confined, match="unsafe_root"):
+        inner.open("f.txt")  # another directory of that name
+
+
 def test_processes(spark):
     r = process.observe(spark, ["/bin/sh", "-c", "printf out; sleep 0.2; printf err >&2; exit 3"]).first()
     assert (bytes(r.source), r.status, r.exit_code) == (b"outerr", "complete", 3)
@@ -197,18 +286,81 @@ def test_processes(spark):
     assert process.run(["/bin/sh", "-c", "sleep 9"], "/", {}, 200)[1] == "partial"
     with pytest.raises(ValueError):
         process.run([], "/", {}, 200)
+    for argv, code in ((["/bin/true"] + ["x"] * 4097, "resource_exhausted"), (["/bin/true", "é" * (1 << 19)], "resource_exhausted"), (["/bin/true", "a\0"], "invalid_request"), ([""], "invalid_request")):
+        with pytest.raises(ValueError, match=code):
+            process.run(argv, "/", {}, 200)
+
+
+def test_processes_run_beneath_a_root_and_claim_what_holds(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    root = files.Root(str(tmp_path))
+    for script, state in (("pwd", "process_complete"), ("exit 3", "process_complete"), ("kill -9 $$", "process_partial"), ("echo x; sleep 9", "process_partial")):
+        row = process.observe_beneath(spark, ["/bin/sh", "-c", script], "repo", root, "in", timeout_ms=400)
+        got = row.select("source", acquisition.state(F.col("acquisition"), F.octet_length("source")).alias("state"), "acquisition").first()
+        assert got.state == state and got.acquisition.process.working_directory == "repo:<2 path bytes>", script
+        assert script != "pwd" or bytes(got.source).decode().strip() == str(tmp_path / "in")
+    with pytest.raises(files.Confined):
+        process.observe_beneath(spark, ["/bin/true"], "repo", root, "..")
 
 
 def test_requests_are_decoded_strictly(spark):
-    rows = ['{"request_id": "a", "schema_version": "v3"}', '{"request_id": "a", "other": 1}', "[1]", "nope", ""]
-    out = requests.decoded(spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i long, value string"), keep=("i",)).collect()
-    assert {r.i: r.malformed for r in out} == {0: False, 1: True, 2: True, 3: True, 4: True}
+    rows = [r[0] for r in plan_queries.REQUESTS] + ["", None, '{"a": {"a": 1}, "a": 2}', "{" * 50]
+    frame = spark.createDataFrame(list(enumerate(rows)), "i long, value string")
+    out = {r.i: r for r in requests.decoded(frame, keep=("i",)).collect()}
+    for i, (_, id_, failure, _) in enumerate(plan_queries.REQUESTS):
+        assert (out[i].request_id, out[i].failure) == (id_, failure), rows[i]
+    assert all(out[i].failure == "invalid_request" for i in range(len(plan_queries.REQUESTS), len(rows)))
+
+
+def test_exit_codes_cover_every_code():
+    assert len(codes.EXIT_CODES) == 18 and set(codes.EXIT_CODES.values()) == {2, 3, 4, 5, 6, 70}
+
+
+def test_hooks_in_a_stream(spark, tmp_path):
+    lines = [e[0].replace("@", "7") for e in plan_queries.EVENTS]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "events.txt").write_text("\n".join(lines))
+    seen = []
+
+    def batch(df, _):
+        seen.extend(hooks.events(df).select("kind", "source", "failure").collect())
+
+    q = spark.readStream.text(str(tmp_path / "in")).writeStream.foreachBatch(batch).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(str(r.kind) for r in seen) == sorted(str(e[1]) for e in plan_queries.EVENTS)
+    with pytest.raises(ValueError):
+        hooks.told("loud", F.lit("tool"), F.lit("exact"), F.lit(None), F.lit(""), F.lit(""))
+
+
+def test_manifests_number_their_lines(spark, tmp_path):
+    lines = ['{"id": "a"}', "", "broken", '{"id": "b"}', "[1]"] + [f'{{"id": "x{i}"}}' for i in range(3000)]
+    (tmp_path / "m.jsonl").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = {r.line_no: (r.id, r.malformed) for r in corpus.manifest(spark, str(tmp_path / "m.jsonl"), "id string").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got[1] == ("a", False) and got[3][1] and got[4] == ("b", False) and got[5][1] and 2 not in got
+    assert all(got[6 + i] == (f"x{i}", False) for i in range(3000))
+
+
+def test_bounded_fixtures_and_identities(spark):
+    cases = [b"short", b"line one\nline two is long", b"no line end at all here", "ääääääääää".encode(), b"\nno other line end", b"\x80" * 40]
+    want = [b"short", b"line one\n", b"no line end", "äääää".encode(), b"\nno other l", b""]
+    got = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(cases)], "i int, b binary").select("i", corpus.bounded(F.col("b"), 12).alias("x")).collect()
+    assert [bytes(r.x.bytes) for r in sorted(got)] == want and [r.x.truncated for r in sorted(got)] == [False] + [True] * 5
+    text = "/home/ann/work/x /home/ann/y Ann Lee ann@host.org ann annex ann-1"
+    out = spark.range(1).select(corpus.normalised(F.lit(text), {"/home/ann": "<home>", "/home/ann/work": "<work>"}, ("Ann Lee", "<author>"), ("ann", "<user>"))).first()[0]
+    assert out == "<work>/x <home>/y <author> dev@example.invalid <user> annex ann-1"
 
 
 def test_derived_focus(spark):
     rows = ['"text"', '{"command": "ls", "path": "/a", "other": "x"}', '{"query": " "}', "{}", None]
+    rows += ['{"command": 5, "path": ["a"], "query": "q"}', '"' + "é" * 200 + '"']
     got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "p string").select(requests.derived_focus(F.col("p"))).collect()]
-    assert got == ["text", "ls /a", None, None, None]
+    assert got == ["text", "ls /a", None, None, None, "q", "é" * 128]
 
 
 def test_intent_as_of(spark):
@@ -232,7 +384,10 @@ def test_evaluation(spark):
     low, high = spark.range(1).select(*evaluation.wilson(F.lit(50), F.lit(50)), ).first()
     assert abs(low - 0.92865) < 1e-4 and high == 1.0
     got = {(r.doc_id, r.rule) for r in evaluation.secret_scan(spark.createDataFrame([(1, "AKIA" + "A" * 16), (2, "x@y.org password = hunter2hunter"), (3, "clean")], "doc_id long, text string")).collect()}
-    assert got == {(1, "aws_key"), (2, "email"), (2, "assignment")}
+    assert got == {(1, "aws-access-key")}
+    rows = [(1, "password = " + "a1" * 12), (2, "password = short"), (3, "see /home/ann/x and ann@host.org"), (4, "/home/dev/x dev@example.invalid")]
+    seen = {(r.doc_id, r.rule) for r in evaluation.secret_scan(spark.createDataFrame(rows, "doc_id long, text string"), rules=evaluation.SECRETS | evaluation.IDENTITIES).collect()}
+    assert seen == {(1, "secret-assignment"), (3, "home-path"), (3, "email")}
     seen = spark.createDataFrame([(1, "abc"), (2, "x")], "k long, visible string")
     facts = spark.createDataFrame([(1, "b"), (1, "z")], "k long, fact string")
     assert {r.k: r.recall for r in evaluation.fact_recall(seen, facts, "k").collect()} == {1: 0.5, 2: 1.0}
@@ -243,9 +398,10 @@ def test_acquisitions(spark):
     assert cover([], 0) and cover([(0, "stdout", 0, 3), (1, "stderr", 3, 6)], 6)
     for bad in ([(0, "stdout", 0, 3), (2, "stderr", 3, 6)], [(0, "stdout", 0, 3), (1, "stderr", 4, 6)], [(0, "stdout", 0, 3)], [(0, "x", 0, 6)], []):
         assert not cover(bad, 6)
-    rows = [("inline", None, None, "inline"), ("file", "complete", None, None), ("process", "complete", 0, "process_complete"), ("process", "complete", 2, "process_failed"), ("process", "truncated", None, "process_partial"), ("process", "complete", -9, None)]
-    got = spark.createDataFrame(rows, "k string, s string, c int, want string").select("want", acquisition.state(F.col("k"), F.col("s"), F.col("c")).alias("got")).collect()
-    assert all(r.want == r.got for r in got)
+    rows = [(c[0], c[1], c[2]) for c in plan_queries.CLAIMS]
+    got = spark.createDataFrame(rows, "c string, n long, want string").select("want", acquisition.state(F.from_json("c", acquisition.RECEIPT), F.col("n")).alias("got"), "c").collect()
+    assert all(r.want == r.got for r in got), [r for r in got if r.want != r.got]
+    assert {r.got for r in got} - {None} == set(acquisition.STATES)
     assert spark.range(1).select(acquisition.path_summary(F.lit("/é"))).first()[0] == "<3 path bytes>"
 
 
@@ -254,7 +410,7 @@ def test_lateral_projection(spark, docs, texts):
     docs.createOrReplaceTempView("some_docs")
     got = {r.doc_id: r for r in spark.sql("select d.doc_id, p.* from some_docs d, lateral project_text(d.text, 'auto/v1', 300, 0, null) p").collect()}
     want = {r.doc_id: r for r in projection.project(docs, total=300).collect()}
-    assert {d: (r.visible, r.error_code) for d, r in got.items()} == {d: (r.visible, r.error_code) for d, r in want.items()}
+    assert {d: (r.visible, r.retained, r.omitted, r.error_code) for d, r in got.items()} == {d: (r.visible, r.retained, r.omitted, r.error_code) for d, r in want.items()}
 
 
 def test_fixtures(spark):
