@@ -27,10 +27,11 @@ from .common import lean, new_table_path, staged
 
 MARKS = {"user": ("[INST] ", " [/INST]"), "assistant": ("<s> ", " </s>"), "system": ("<<SYS>> ", " <</SYS>>")}
 OTHER = ("<<TURN ", ">> ", " <</TURN>>")
-#: Strings that must not stand in a text or a role's name as they are.
+#: Strings that must not stand in a text as they are.
 CONTROLS = ("[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "<<TURN", "<</TURN>>", ">>")
 LOSS_ROLE = "assistant"
 _CONTROL = re.compile("|".join([r"\\", *map(re.escape, CONTROLS)]))
+_ROLE = re.compile(r"[\\<>\[\]/]")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
 
@@ -38,6 +39,11 @@ def escape(text: str) -> str:
     return _CONTROL.sub(lambda m: "\\\\" if m[0] == "\\" else f"{m[0][0]}\\{m[0][1:]}", text)
 
 
+def escape_role(role: str) -> str:
+    """A role's name between marks: every character that a mark is made of is escaped by itself, so no mark is left, its end least of all."""
+    return _ROLE.sub(r"\\\g<0>", role)
+
+
 def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
@@ -48,7 +54,7 @@ def render_turn(role: str | None, text: str | None) -> tuple[str, int, int]:
     if role in MARKS:
         head, tail = MARKS[role]
     else:
-        head, tail = OTHER[0] + escape(role or "") + OTHER[1], OTHER[2]
+        head, tail = OTHER[0] + escape_role(role or "") + OTHER[1], OTHER[2]
     return head + body + tail, len(head), len(head) + len(body)
 
 

@@ -25,9 +25,14 @@ U64 = np.uint64
 # ---------------------------------------------------------------- shared folder
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset and Spark runs in one process (tests).
+
+    On a cluster executors wouldn't find each other's files in a folder of one machine, so it is refused.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="condensa-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         found = f"file://{folder}"
@@ -40,7 +45,10 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spa
 
 
 def lean(spark: SparkSession) -> SparkSession:
-    """Smaller Arrow batches for this session, unless it has its own; both the JVM and Python hold a batch per task."""
+    """Smaller Arrow batches for this session, unless it has its own; both the JVM and Python hold a batch per task.
+
+    They stay set: plans run when their rows are asked for, after the operator has returned. They change no result.
+    """
     for key, (default, own) in BATCH.items():
         if spark.conf.get(key, default) == default:
             spark.conf.set(key, own)
@@ -56,9 +64,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_table_path(spark, name)
     df.write.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_staged: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that this process has staged so far; results read from them must be written by then."""
+    while _staged:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 # ---------------------------------------------------------------- words and shingles in numpy
 
 _SEPARATOR = np.zeros(256, bool)

@@ -11,6 +11,8 @@ from .common import staged
 CYCLE = (3, 1, 2)
 BUDGET = 1.5
 MOST = 2
+#: Hex digits of the shuffle key that name a slice: 65,536 slices a source, each a task's worth even of a third of 100 TB.
+SLICE_DIGITS = 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -54,11 +56,11 @@ def _edge(copies: DataFrame, limit: int) -> tuple[int, tuple | None]:
         ahead, at = cut[0]["end"] - cut[0]["bin_size"], cut[0][level]
         first = at if level == "bin" else first
         copies = copies.where(F.col(level) == at)
-    line = Window.orderBy("finish", "turn", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.orderBy("finish", "turn", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
     held = copies.withColumn("end", F.lit(ahead) + F.sum("size").over(line)).where(F.col("end") <= limit)
-    last = held.agg(F.max(F.struct("finish", "turn", "doc_id")).alias("edge")).first()["edge"]
+    last = held.agg(F.max(F.struct("finish", "turn", "doc_id", "tie")).alias("edge")).first()["edge"]
     if last is None:  # the slice's first copy is too much: all before the slice is taken
-        return first, (at / 4096.0 / 4096.0, "", None)
+        return first, (at / 4096.0 / 4096.0, "", None, None)
     return first, tuple(last)
 
 
@@ -68,11 +70,11 @@ def mix(docs: DataFrame, budget: float = BUDGET, most: int = MOST, cycle: tuple
 
     Documents are shuffled by the md5 of their id. A document's copy in pass e (0 .. most - 1) has the virtual
     finish time (e x source_size + running tokens of its source) / target. All copies are ranked by finish time,
-    then shuffle key, then doc_id, and taken while their running total stays within the total budget. Running sums
+    then shuffle key, then doc_id, then a digest of the text, and taken while their running total stays within the total budget. Running sums
     have two levels: sums of slices, then inside a slice, so neither a hot source nor the global order is one task.
 
     size is the number of words (null text: 0); documents of size 0 add nothing and have taken 0. Rows that repeat
-    a doc_id and a source are mixed each on its own. Null ids are shuffled as the word "null". An empty table gives
+    a doc_id are mixed each on its own, in an order that their texts settle, so reruns agree; rows equal in all are alike. Null ids are shuffled as the word "null". An empty table gives
     an empty table.
     """
     row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if whole else []
@@ -80,13 +82,13 @@ def mix(docs: DataFrame, budget: float = BUDGET, most: int = MOST, cycle: tuple
         "doc_id", "source", *row,
         F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")).alias("of"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")).alias("turn"),
-    ).withColumn("slice", F.substring("turn", 1, 3))
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")).alias("turn"), F.xxhash64("text").alias("tie"),
+    ).withColumn("slice", F.substring("turn", 1, SLICE_DIGITS))
     slim = staged(sized.groupBy("source", "of", "slice").agg(F.sum("size").alias("slice_size")), "mix-slices")
     targets = source_targets(slim.groupBy("source", "of").agg(F.sum("slice_size").alias("source_size")), budget, most, cycle)
     before = Window.partitionBy("of").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     ahead = slim.select("of", "slice", F.coalesce(F.sum("slice_size").over(before), F.lit(0)).alias("ahead")).join(targets.drop("source"), "of")
-    inside = Window.partitionBy("of", "slice").orderBy("turn", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("of", "slice").orderBy("turn", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
     queued = sized.withColumn("run", F.sum("size").over(inside)).join(ahead, ["of", "slice"]).withColumn("run", F.col("ahead") + F.col("run")).drop("of", "slice", "ahead")
     queued = staged(queued, "mix-queued")
     limit = int((slim.agg(F.sum("slice_size")).first()[0] or 0) * budget)
@@ -96,7 +98,7 @@ def mix(docs: DataFrame, budget: float = BUDGET, most: int = MOST, cycle: tuple
     bin_of = lambda x: F.floor(x * 4096).cast("long")
     copies = (
         queued.where(live)
-        .select("doc_id", "turn", "size", F.explode(F.array(*[finish(e) for e in range(most)])).alias("finish"))
+        .select("doc_id", "turn", "tie", "size", F.explode(F.array(*[finish(e) for e in range(most)])).alias("finish"))
         .withColumn("bin", bin_of(F.col("finish")))
         .withColumn("fine", F.floor(F.col("finish") * (4096 * 4096)).cast("long"))
     )
@@ -105,10 +107,11 @@ def mix(docs: DataFrame, budget: float = BUDGET, most: int = MOST, cycle: tuple
     def taken(e: int):
         inside = bin_of(finish(e)) < at
         if edge is not None:
-            f, turn, doc_id = edge
-            tie = F.col("turn") < turn
-            tie |= (F.col("turn") == turn) & (F.col("doc_id").isNull() if doc_id is None else F.col("doc_id").isNull() | (F.col("doc_id") <= doc_id))
-            inside |= (bin_of(finish(e)) == at) & ((finish(e) < f) | ((finish(e) == f) & tie))
+            f, turn, doc_id, tie = edge
+            same = F.col("doc_id").eqNullSafe(F.lit(doc_id)) & (F.col("tie") <= tie if tie is not None else F.lit(False))
+            earlier = F.lit(False) if doc_id is None else F.col("doc_id").isNull() | (F.col("doc_id") < doc_id)
+            before = (F.col("turn") < turn) | ((F.col("turn") == turn) & (earlier | same))
+            inside |= (bin_of(finish(e)) == at) & ((finish(e) < f) | ((finish(e) == f) & before))
         return F.when(live & inside, 1).otherwise(0)
 
     number = sum((taken(e) for e in range(1, most)), taken(0))
@@ -116,6 +119,10 @@ def mix(docs: DataFrame, budget: float = BUDGET, most: int = MOST, cycle: tuple
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row as often as it is taken, with the columns of docs."""
+    """The mix itself: every row as often as it is taken, with the columns of docs.
+
+    Rows without words (null, empty or blank text) are taken never. Extra columns, whatever their names, come along.
+    Repeated rows, null ids and sources, ties and empty tables as in `mix`.
+    """
     taken = mix(docs, whole=True, **options).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -69,3 +69,19 @@ def test_ties_nulls_repeats_and_nothing(spark):
     got = {r.conv_id: tuple(r)[1:] for r in C.digests(spark, C.formatted(spark.createDataFrame(rows, SCHEMA))).collect()}
     assert got == {None: want([("user", "b"), ("user", "a")]), 5: want([("assistant", "first"), ("user", "x"), ("user", "x")])}
     assert C.digests(spark, C.formatted(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+@pytest.mark.parametrize("role", [None, "", " ", "tool", "\\", ">", ">>", ">> ", "<<TURN ", "a\\", "a\\>> b", *C.CONTROLS, *(f"{c} x" for c in C.CONTROLS), *(f"x{c}{c}" for c in C.CONTROLS)])
+def test_any_role_and_text_come_back(role):
+    for text in ("hi", "", *C.CONTROLS, "\\", "a >> b", ">> ", " <</TURN>>", *(f"\\{c}" for c in C.CONTROLS)):
+        formatted = C.render_turn(role, text)[0]
+        assert [(r, t) for r, t, _, _ in C.parse(formatted * 2)] == [(role or "", text)] * 2, (role, text)
+
+
+def test_roles_that_are_marks_and_very_long_texts(spark):
+    rows = [(1, 0, "<<SYS>> x", "hi"), (1, 1, "assistant", "word " * 200_000), (2, 0, "<<SYS>> x", "hi"), (2, 1, "[INST]", ">> "), (3, 0, "user", "</s>" * 20_000)]
+    got = {r.conv_id: r for r in C.digests(spark, C.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    for c in (1, 2, 3):
+        told = "".join(f"{r}\n{t}\n" for i, _, r, t in rows if i == c)
+        assert got[c].turns_sha256 == hashlib.sha256(told.encode()).hexdigest()
+    assert got[1].loss_chars == 1_000_000 and got[3].formatted_chars == len(C.render_turn("user", "</s>" * 20_000)[0])

@@ -154,3 +154,13 @@ def test_only_files_with_the_needed_properties_are_read_by_pieces(tmp_path, monk
     small, model = token_codes.WordTokens(path), Tokenizer.from_file(path)
     for text in ("the then the", "then other 12", "", "the ."):
         assert small(pa.array([text]))[0].tolist() == model.encode(text, add_special_tokens=False).ids
+
+
+def test_mix_of_rows_that_repeat_an_id_is_settled_by_their_texts(spark):
+    rng = random.Random(6)
+    rows = [(i % 7, " ".join(["w"] * rng.randint(1, 40)) + f" {i}", "en", "a" if i % 3 else "b") for i in range(120)] + [(None, f"x {i} " * 9, "en", "a") for i in range(20)]
+    key = ["doc_id", "size", "taken"]
+    first = sorted(map(str, mixing.mix(docs(spark, rows), whole=True).select("row.text", *key).collect()))
+    for order in (rows[::-1], sorted(rows, key=lambda r: r[1])):
+        assert sorted(map(str, mixing.mix(docs(spark, order).repartition(5), whole=True).select("row.text", *key).collect())) == first
+    assert mixing.mixed(docs(spark, rows)).count() > len(rows)
