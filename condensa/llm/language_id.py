@@ -1,5 +1,9 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax, with calibrated rejection.
 
+A score is the softmax at a temperature fitted on held-back texts cut to pieces of many lengths, so that it is about the
+share of right answers at that score. A text is rejected under the lowest score at which, among accepted pieces and as
+many pieces of windows drawn from nowhere, PRECISION are right: short texts of a known language pass, others don't.
+
 Subwords are the 3- and 4-byte windows of the lower-cased text whose second byte belongs to a word (a to z or any
 byte from 128); other bytes count as one kind of border. As both layers are linear, prediction folds them into one
 table of class scores per bucket: a text's score is the mean of its windows' rows plus the bias.
@@ -19,9 +23,11 @@ from .common import lean, slices, utf8
 
 BUCKETS = 1 << 16
 DIM = 12
-#: The bound of the training sample: documents a language, the first by md5 of their id.
+#: The bound of the training sample: documents a language, the first by md5 of id and text.
 SAMPLE = 300
 EPOCHS = 12
+#: What calibration holds to: the share of right answers among what is accepted, on pieces of so many windows.
+PRECISION, PIECES = 0.98, (6, 12, 25, 50, 100, 400)
 #: Up to so many chosen ids (of 32 characters) go to the scan of the texts; with more languages both sides are shuffled.
 BROADCAST_ROWS = 500_000
 #: Up to so many languages' counts are sent to the scan of the ids.
@@ -75,8 +81,7 @@ class Model:
 def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
     """Train on (lang, buckets, counts) rows: a fifth of each language is held back for the temperature and threshold.
 
-    The rejection threshold is the lowest score a held-back document with a right prediction gets, one half at most.
-    No rows give a model with the one language "und"; a language of one row trains and isn't held back.
+    Both are fitted on pieces of the held-back texts (`calibrated`). No rows give a model with the one language "und"; a language of one row trains and isn't held back.
     """
     langs = sorted({x[0] for x in samples})
     if not langs:
@@ -107,19 +112,49 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mod
             bias -= 0.001 * rate * p
             table[at] -= rate * np.outer(w, back)
     model = Model(langs, (table @ weight).astype(np.float32), bias)
-    z = np.array([model.table[at].T @ w + bias for _, at, w in held if len(at)]).reshape(-1, len(langs))
-    y = np.array([y for y, at, _ in held if len(at)], int)
-    if not len(y):
-        return model
+    return calibrated(model, [(y, at, n) for y, at, n in held if len(at)], np.random.default_rng([seed, 1]))
+
 
-    def soft(t):
+def calibrated(model: Model, held: list[tuple[int, np.ndarray, np.ndarray]], rng: np.random.Generator) -> Model:
+    """The model with temperature and threshold from (language, buckets, shares) of held-back texts; none leave it as it is.
+
+    The temperature has the least log loss on pieces of PIECES windows of each text. The threshold is the lowest score of
+    a piece at which PRECISION of what is accepted is right, pieces of random buckets counted as wrong; it is no
+    higher than the score of 199 of 200 right pieces of the longest kind, so that long texts aren't sacrificed to it.
+    """
+    if not held:
+        return model
+    score = lambda at: model.table[at].mean(0, dtype=np.float64) + model.bias
+    z, y, long_ = [], [], []
+    for lang, at, share in held:
+        for k in PIECES:
+            z.append(score(rng.choice(at, k, p=share / share.sum())))
+            y.append(lang)
+            long_.append(k == PIECES[-1])
+    z, y, long_ = np.array(z), np.array(y), np.array(long_)
+    noise = np.array([score(rng.integers(0, BUCKETS, k)) for k in PIECES for _ in held])
+
+    def soft(z, t):
         p = np.exp((z - z.max(1, keepdims=True)) / t)
         return p / p.sum(1, keepdims=True)
 
-    model.temperature = min((0.25, 0.5, 0.7, 1.0, 1.5, 2.0, 3.0, 5.0), key=lambda t: -np.log(np.maximum(soft(t)[np.arange(len(y)), y], 1e-12)).mean())
-    p = soft(model.temperature)
-    right = p.argmax(1) == y
-    model.threshold = float(min(0.5, p.max(1)[right].min() if right.any() else 0.0))
+    share = 1 / (len(y) + 2)  # of each target that goes to all languages alike: pieces that are all right don't prove certainty
+
+    def loss(t):
+        logs = np.log(np.maximum(soft(z, t), 1e-300))
+        return -((1 - share) * logs[np.arange(len(y)), y] + share * logs.mean(1)).mean()
+
+    model.temperature = float(min(np.geomspace(0.005, 5, 121), key=loss))
+    p = soft(z, model.temperature)
+    right, top = p.argmax(1) == y, p.max(1)
+    if not right.any():
+        return model
+    every, good = np.r_[top, soft(noise, model.temperature).max(1)], np.r_[right, np.zeros(len(noise), bool)]
+    order = np.argsort(-every, kind="stable")
+    precision = np.cumsum(good[order]) / np.arange(1, len(order) + 1)
+    enough = np.flatnonzero(precision >= PRECISION)
+    lowest = every[order][enough[-1]] if len(enough) else top[right].max()
+    model.threshold = float(min(lowest, np.quantile(top[right & long_], 0.005)) if (right & long_).any() else lowest)
     return model
 
 
@@ -135,20 +170,23 @@ def _counts(batches):
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on the documents with a lang: at most `sample` a language (a stated bound), first by md5 of doc_id, whole texts.
+    """Fit on the documents with a lang: at most `sample` a language (a stated bound), first by md5 of id and text, whole texts.
 
-    Ids are chosen without their texts; the chosen ids, bounded by the sample, go to the scan of the texts.
+    Digests are chosen without their texts; the chosen ones, bounded by the sample, go to the scan of the texts. Rows equal
+    in id, text and lang count once, however many there are; other rows that repeat an id, null too, each on its own.
+    Null texts have no windows. What comes to the driver is at most `sample` rows of counts a language.
     """
     lean(docs.sparkSession)
-    keyed = docs.where("lang is not null").select("lang", F.md5(F.col("doc_id").cast("string").cast("binary")).alias("turn"))
-    sizes = keyed.groupBy("lang").agg(F.count("*").alias("all"))
+    turn = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")).cast("binary"))
+    keyed = docs.where("lang is not null").select("lang", turn.alias("turn"))
+    sizes = keyed.groupBy("lang").agg(F.approx_count_distinct("turn").alias("all"))
     sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGS else sizes
     # Of a large language only the lowest md5s can be among the first: four times as many as wanted are ranked.
     low = F.conv(F.substring("turn", 1, 8), 16, 10).cast("double") <= F.lit(4.0 * sample * 2**32) / F.col("all")
     order = Window.partitionBy("lang").orderBy("turn")
-    chosen = keyed.join(sizes, "lang").where(low).withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample).select("turn").distinct()
+    chosen = keyed.join(sizes, "lang").where(low).select("lang", "turn").distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample).select("lang", "turn")
     chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
-    texts = docs.where("lang is not null").select(F.md5(F.col("doc_id").cast("string").cast("binary")).alias("turn"), "lang", "text").join(chosen, "turn", "left_semi")
+    texts = docs.where("lang is not null").select(turn.alias("turn"), "lang", "text").join(chosen, ["lang", "turn"], "left_semi").select("turn", "lang", "text").dropDuplicates(["lang", "turn"])
     rows = texts.mapInArrow(_counts, "turn string, lang string, at array<int>, n array<int>").toPandas().sort_values(["turn", "lang"], kind="stable")
     return fit([(r.lang, np.asarray(r.at, np.int32), np.asarray(r.n, float)) for r in rows.itertuples()])
 
@@ -172,7 +210,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows whose language is accepted, with the columns of docs; the texts pass through in batches, unshuffled."""
+    """The rows whose language is accepted, with the columns of docs; the texts pass through in batches, unshuffled.
+
+    Rows without a letter (null, empty or other texts) are never accepted. Repeated rows and ids are judged each by their
+    text; extra columns, whatever their names, come along; an empty table gives an empty table.
+    """
     model = lean(docs.sparkSession).sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -32,9 +32,9 @@ def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2)
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))  # a null id has no remainder
     model = language_id.train(docs.where(~held))
-    return language_id.identify(docs, model).select("doc_id", F.crc32(F.col("doc_id").cast("string").cast("binary")).__mod__(4).__eq__(2).alias("held_out"), "lang_pred", "score", "accepted")
+    return language_id.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,3 +164,36 @@ def test_mix_of_rows_that_repeat_an_id_is_settled_by_their_texts(spark):
     for order in (rows[::-1], sorted(rows, key=lambda r: r[1])):
         assert sorted(map(str, mixing.mix(docs(spark, order).repartition(5), whole=True).select("row.text", *key).collect())) == first
     assert mixing.mixed(docs(spark, rows)).count() > len(rows)
+
+
+def samples(rng, words, n, lengths):
+    return [(i, " ".join("".join(rng.choices(words[lang], k=rng.randint(1, 3))) for _ in range(rng.choice(lengths))), lang) for i in range(n) for lang in [rng.choice(list(words))]]
+
+
+SYLLABLES = {"xx": "the of and thing ation ing er wh sh ou".split(), "yy": "der die und keit schaft ung zu ich ein".split(), "zz": "ción mente los las ñez que ar o".split()}
+
+
+def test_language_scores_are_calibrated_and_unseen_languages_rejected(spark):
+    rng = random.Random(9)
+    model = language_id.train(docs(spark, samples(rng, SYLLABLES, 900, [1, 2, 5, 30, 100])), sample=200)
+    assert 0.005 < model.temperature < 5 and model.threshold > 1 / 3
+    test = samples(rng, SYLLABLES, 1500, [1, 1, 2, 3])
+    got = {r.doc_id: r for r in language_id.identify(docs(spark, test), model).collect()}
+    right, score = np.array([got[i].lang_pred == lang for i, _, lang in test]), np.array([got[i].score for i, _, _ in test])
+    bins = np.minimum((score * 5).astype(int), 4)
+    gap = sum(abs(score[bins == b].mean() - right[bins == b].mean()) * (bins == b).mean() for b in set(bins.tolist()))
+    assert gap < 0.08, gap
+    kept = np.array([got[i].accepted for i, _, _ in test])
+    assert right[kept].mean() >= 0.97 and kept[right].mean() > 0.95
+    unseen = {"pl": "wą szcz ję rzy dź łó ży mu tu".split(), "fi": "kää yö uu tta ssa lli äi jo ki".split(), "ru": "при ств ова ный ще ро ла".split()}
+    odd = samples(rng, unseen, 300, [20, 60])
+    refused = [not r.accepted for r in language_id.identify(docs(spark, odd), model).collect()]
+    assert np.mean(refused) > 0.9, np.mean(refused)
+
+
+def test_the_training_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    rng, sizes = random.Random(10), []
+    monkeypatch.setattr(language_id, "fit", lambda rows: sizes.append([x[0] for x in rows]) or language_id.Model(["xx"], np.zeros((language_id.BUCKETS, 1), np.float32), np.zeros(1)))
+    rows = [(7, f"the thing {i}", "xx") for i in range(500)] + [(None, f"of and {i}", "xx") for i in range(50)] + [(9, "die und", "yy")] * 400 + [(i, t, lang) for i, t, lang in samples(rng, SYLLABLES, 200, [3])]
+    language_id.train(docs(spark, rows + [(1, None, "xx"), (2, "", "yy")]), sample=40)
+    assert max(sizes[0].count(x) for x in ("xx", "yy", "zz")) <= 40 and sizes[0].count("yy") > 1
