@@ -7,8 +7,11 @@ probability Jaccard of the weighted sets. A second signature has all weights 1:
 the shingle sets, whatever repeats. Pairs that share a band of either are verified by that exact Jaccard, 0.8 or more.
 
 Hot groups: documents with equal shingle sets are one class before banding. The members of all buckets with the same
-smallest member form a group; a group is dealt into blocks, and every pair of blocks is compared on its own by matrix
-products. A pair of blocks gives the links of a spanning forest, not all its pairs, and loses no connection.
+smallest member, the pivot, form a group, dealt into blocks. Every member is first compared with the pivot alone: one
+that is alike hangs together with it, and needs no more. The others, which are few in a group of near copies, are then
+compared with all members, a pair of blocks at a time, by matrix products. Blocks give the links of a spanning forest,
+not all pairs, and no connection is lost: a pair of members that are both alike the pivot is connected through it, and
+of every other pair one is among the others.
 """
 
 from __future__ import annotations
@@ -99,6 +102,9 @@ def _sign(bands: int, per_band: int):
     return run
 
 
+_KEYS = "array<struct<u: long, i: int, j: int, side: int>>"
+
+
 def _keyed_sets(batches):
     """(u, i, j, side, doc_id, shingles) for every key of a document."""
     for batch in batches:
@@ -113,7 +119,7 @@ def _keyed_sets(batches):
 
 
 def _links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Links that hold together whatever Jaccard >= least joins, among all rows or, with both sides, across them.
+    """Links that hold together whatever Jaccard >= least joins across the two sides; with one row on a side, each such link.
 
     Intersections are matrix products over the shingles that occur more than once, so many columns at a time.
     """
@@ -126,7 +132,7 @@ def _links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, least: flo
     row, column = row[shared[column]], renamed[column[shared[column]]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() and not side.all() else (np.arange(n),) * 2
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     both = np.zeros((len(left), len(right)), np.float32)
     for start in range(0, int(shared.sum()), 4096):
         a, b = np.searchsorted(column, (start, start + 4096))
@@ -157,8 +163,9 @@ def _compare(least: float):
         key, ids, sets, side = None, [], [], []
 
         def done():
-            found = _links(np.array(ids), sets, np.array(side), least) if len(ids) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["u", "v"])
+            both = len(set(side)) == 2
+            found = _links(np.array(ids), sets, np.array(side), least) if both else []
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found), pa.int64()), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["k", "u", "v"])
 
         for batch in batches:
             names = list(zip(*(batch.column(c).to_pylist() for c in ("u", "i", "j"))))
@@ -193,19 +200,36 @@ def _grouped(docs: DataFrame, least: float, bands: int, per_band: int) -> DataFr
     buckets = reps.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).where("size > 1").drop("size")
     groups = reps.join(buckets, "band").select(F.col("pivot").alias("u"), F.col("rep").alias("v"), "n").distinct()
     groups = staged(groups, "minhash-groups")
-    # A group's members are dealt into blocks by hash; each pair of blocks is one unit of work of bounded size.
-    blocks = groups.groupBy("u").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    # A group's members are dealt into blocks by hash; a block, or a pair of blocks, is one unit of work of bounded size.
+    many = lambda: F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
+    blocks = groups.groupBy("u").agg(many().alias("blocks"))
     blocks = staged(blocks, "minhash-blocks")  # so that the members of a large group can be dealt to several tasks
-    placed = groups.join(blocks, "u").withColumn("b", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    key = lambda o: F.struct("u", F.least("b", o).alias("i"), F.greatest("b", o).alias("j"), (F.col("b") > o).cast("int").alias("side"))
-    keyed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).groupBy(F.col("v").alias("rep")).agg(F.collect_list(key(F.col("o"))).alias("keys"))
-    keyed = staged(keyed.join(twins, "rep").select("rep", "rep_id", "rep_digest", "keys"), "minhash-keyed")
-    few = (keyed.select(F.sum(F.size("keys") * 24 + 64)).first()[0] or 0) <= BROADCAST_BYTES
-    texts = docs.select(F.col("doc_id").cast("long"), _digest("text").alias("digest"), "text")
-    texts = texts.join(F.broadcast(keyed) if few else keyed, (F.col("doc_id") == F.col("rep_id")) & (F.col("digest") == F.col("rep_digest"))).select(F.col("rep").alias("doc_id"), "text", "keys")
-    sets = texts.mapInArrow(_keyed_sets, "u long, i int, j int, side int, doc_id long, shingles binary")
-    compared = sets.repartition("u", "i", "j").sortWithinPartitions("u", "i", "j").mapInArrow(_compare(least), "u long, v long")
-    known = components(staged(compared, "minhash-links"), "minhash-components")
+    placed = staged(groups.join(blocks, "u").withColumn("b", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")), "minhash-placed")
+    key = lambda i, j, side: F.struct("u", F.expr(i).cast("int").alias("i"), F.expr(j).cast("int").alias("j"), F.lit(side).alias("side"))
+
+    def compared(keys: DataFrame, name: str) -> DataFrame:
+        """(k, u, v): the links that the keyed documents (v, key) have with the other side of their keys' blocks, by group k."""
+        keyed = staged(keys.groupBy(F.col("v").alias("rep")).agg(F.collect_list("key").alias("keys")).join(twins, "rep").select("rep", "rep_id", "rep_digest", "keys"), f"minhash-{name}-keyed")
+        few = (keyed.select(F.sum(F.size("keys") * 24 + 64)).first()[0] or 0) <= BROADCAST_BYTES
+        texts = docs.select(F.col("doc_id").cast("long"), _digest("text").alias("digest"), "text")
+        texts = texts.join(F.broadcast(keyed) if few else keyed, (F.col("doc_id") == F.col("rep_id")) & (F.col("digest") == F.col("rep_digest"))).select(F.col("rep").alias("doc_id"), "text", "keys")
+        sets = texts.mapInArrow(_keyed_sets, "u long, i int, j int, side int, doc_id long, shingles binary")
+        return staged(sets.repartition("u", "i", "j").sortWithinPartitions("u", "i", "j").mapInArrow(_compare(least), "k long, u long, v long"), f"minhash-{name}-links")
+
+    others = placed.where("v <> u").select("v", key("b", "-1", 0).alias("key"))
+    pivots = blocks.select("u", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b")).select(F.col("u").alias("v"), key("b", "-1", 1).alias("key"))
+    direct = compared(others.union(pivots), "direct")
+    alike = direct.select(F.col("k").alias("u"), F.explode(F.array("u", "v")).alias("v")).distinct()
+    missed = placed.where("v <> u").join(alike, ["u", "v"], "left_anti")
+    missed = staged(missed, "minhash-missed")
+    parts = staged(missed.groupBy("u").agg(many().alias("parts"), F.first("blocks").alias("blocks")), "minhash-parts")
+    sided = missed.join(parts.drop("blocks"), "u").withColumn("p", F.pmod(F.xxhash64("v", F.lit(1)), F.col("parts")).cast("int"))
+    left = sided.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("v", key("p", "o", 0).alias("key"))
+    # The pivot has been compared with all.
+    right = placed.where("v <> u").join(parts.drop("blocks"), "u").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("v", key("o", "b", 1).alias("key"))
+    rest = compared(left.union(right), "rest")
+    links = direct.select("u", "v").union(rest.select("u", "v"))
+    known = components(links, "minhash-components")
     firsts = known.join(twins, known.node == twins.rep).groupBy("component").agg(F.min(F.struct("rep_id", "rep_digest")).alias("first"))
     firsts = staged(firsts, "minhash-firsts")
     known = known.join(firsts, "component").select("node", "first")
