@@ -3,8 +3,9 @@
 Suffixes are kept at content-selected positions only: the minimisers, of every WINDOW consecutive five-word grams the
 one with the smallest hash. The first window of a repeated passage of LEAST words chooses the same minimiser in
 all its occurrences, so at least REACH = LEAST - WINDOW + 1 of its words follow that suffix's start. Suffixes
-are sorted by their first REACH words and neighbours compared; a suffix that equals neither neighbour is dropped,
-which leaves the repeated parts of the corpus. There, matches are extended to the left, to every word whose window
+are sorted by the codes of their first REACH words, a byte each, then by a digest of those words, and each is compared
+with its neighbours: one that has REACH words in common with neither is dropped, which leaves the repeated parts of the
+corpus. (The order of codes is an order of words like any other; where two words share a code, the digest tells.) There, matches are extended to the left, to every word whose window
 chose that suffix, and to the right, to LEAST words: occurrences of a suffix with equal runs around it match as a
 whole; between those with different ones each run of LEAST words is compared by a 128-bit digest. Matches that follow each other
 join to the longest one. The first occurrence stays. Copies of whole texts are set aside first.
@@ -75,6 +76,7 @@ def _inverse(n: int) -> np.ndarray:
 
 
 def _suffixes(batches):
+    """Of every kept suffix the codes and a digest of its first REACH words, and its place."""
     for batch in batches:
         for part in slices(batch, "text"):
             _, _, _, _, rows, words = _words(part.column("text"))
@@ -82,7 +84,18 @@ def _suffixes(batches):
             place, size = row_places(rows)
             at = at[place[at] + REACH <= size[at]]
             key = _long_hash(words, REACH, 1)[at] if len(at) else np.zeros(0, U64)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("doc_id").take(pa.array(rows[at])), pa.array(place[at].astype(np.int32))], names=["key", "doc_id", "place"])
+            codes = (words >> U64(56)).astype(np.uint8)
+            order = np.lib.stride_tricks.sliding_window_view(codes, REACH)[at] if len(at) else np.zeros((0, REACH), np.uint8)
+            ends = np.arange(len(at) + 1, dtype=np.int32) * REACH
+            blobs = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(order))])
+            own = pa.array(rows[at])
+            yield pa.RecordBatch.from_arrays([blobs, pa.array(key.view(np.int64)), part.column("doc_id").take(own), part.column("t").take(own), pa.array(place[at].astype(np.int32))], names=["codes", "key", "doc_id", "t", "place"])
+
+
+def common(codes: np.ndarray) -> np.ndarray:
+    """How many words each suffix has in common with the one before it, by rows of codes."""
+    differ = codes[1:] != codes[:-1]
+    return np.where(differ.any(1), differ.argmax(1), codes.shape[1])
 
 
 def _neighbours(batches):
@@ -95,17 +108,19 @@ def _neighbours(batches):
         if batch.num_rows < 2:
             held = batch
             continue
-        key = batch.column("key").to_numpy()
-        same = key[1:] == key[:-1]
+        key, blobs = batch.column("key").to_numpy(), batch.column("codes")
+        start = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset]
+        codes = np.frombuffer(blobs.buffers()[2], np.uint8)[start : start + REACH * batch.num_rows].reshape(-1, REACH)
+        same = (common(codes) == REACH) & (key[1:] == key[:-1])
         keep = np.r_[first, same] | np.r_[same, False]
         if not first:  # what was held went through its left neighbour already
             keep[0] |= bool(carried)
         carried = bool(same[-1])
         held = batch.slice(batch.num_rows - 1)
         first = False
-        yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
+        yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1])).drop_columns(["codes"])
     if held is not None:
-        yield held
+        yield held.drop_columns(["codes"])
 
 
 def _placed(part: pa.RecordBatch):
@@ -142,7 +157,8 @@ def _groups(batches):
                 run = _long_hash(words, LEAST, salt)
                 kinds.append(mix(mix(mix(run[lo] ^ key) + run[hi] * U64(3)) + back * U64(64) + width).view(np.int64))
             cells = [key.view(np.int64), *kinds, (p - lo).astype(np.int32), (hi - lo).astype(np.int32), place[p].astype(np.int32), first[lo].astype(np.int32), last[hi + LEAST - 1].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(rows[p])), *map(pa.array, cells)], names=["doc_id", "key", "a", "b", "back", "width", "place", "start", "end"])
+            own = pa.array(rows[p])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(own), part.column("t").take(own), *map(pa.array, cells)], names=["doc_id", "t", "key", "a", "b", "back", "width", "place", "start", "end"])
 
 
 def _runs(batches):
@@ -153,13 +169,14 @@ def _runs(batches):
             if len(s):
                 a, b = (_long_hash(words, LEAST, salt)[s].view(np.int64) for salt in (2, 3))
                 cells = [a, b, place[s].astype(np.int32), first[s].astype(np.int32), last[s + LEAST - 1].astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(rows[s])), *map(pa.array, cells)], names=["doc_id", "a", "b", "place", "start", "end"])
+                own = pa.array(rows[s])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(own), part.column("t").take(own), *map(pa.array, cells)], names=["doc_id", "t", "a", "b", "place", "start", "end"])
 
 
 def _met(docs: DataFrame, places: DataFrame) -> DataFrame:
     """docs with the list column of `places`, which goes to the scan where it is small."""
-    held = places.select(F.sum(F.size("places") * 4 + 16)).first()[0] or 0
-    return docs.join(F.broadcast(places) if held <= BROADCAST_BYTES else places, "doc_id")
+    held = places.select(F.sum(F.size("places") * 4 + 24)).first()[0] or 0
+    return docs.join(F.broadcast(places) if held <= BROADCAST_BYTES else places, ["doc_id", "t"])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -167,48 +184,50 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     A passage is a longest stretch of words of a document every LEAST of which occurred before, in a document of
     smaller doc_id or earlier in the same one; first_doc_id is a document where its first LEAST words stand, first_start
-    the offset there. Texts of fewer than LEAST words, null ones too, have none. Rows that repeat a doc_id are one
-    document: what only they share is not repeated. Rows with a null doc_id take no part. An empty table gives an
-    empty table.
+    the offset there. Texts of fewer than LEAST words, null ones too, have none. Rows that repeat a doc_id with other
+    texts are documents of their own, in the order of a digest of their texts; rows equal in both are one document: what
+    only they share is not repeated. Rows with a null doc_id take no part. An empty table gives an empty table.
     """
     lean(docs.sparkSession)
-    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text")
     # Copies of a whole text are found by its md5; one of each group, the smallest doc_id, stands for all.
-    texts = staged(named.where("text is not null").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest")), "suffixes-texts")
+    texts = staged(named.where("text is not null").select("doc_id", "t", F.md5(F.col("text").cast("binary")).alias("digest")), "suffixes-texts")
     ones = texts.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = staged(texts.join(staged(ones, "suffixes-ones"), "digest").where("doc_id <> first_doc_id").select("first_doc_id", "doc_id").distinct(), "suffixes-copies")
-    few = copies.count() * 16 <= BROADCAST_BYTES
+    copies = staged(texts.join(staged(ones, "suffixes-ones"), "digest").where("doc_id <> first_doc_id").select("first_doc_id", "doc_id", "t").distinct(), "suffixes-copies")
+    few = copies.count() * 24 <= BROADCAST_BYTES
     one = F.broadcast(copies) if few else copies
     words, space = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), r"[\x20\x09-\x0D]+"
     head = F.length(F.regexp_replace("text", f"^{space}", ""))
     edge = F.length("text") - head
-    copied = named.join(one, "doc_id").select("doc_id", edge.cast("long").alias("start"), F.length(F.regexp_replace("text", f"{space}\\z", "")).cast("long").alias("end"), words.cast("long").alias("n_words"), "first_doc_id", edge.cast("long").alias("first_start"))
-    copied = copied.where(F.col("n_words") >= LEAST).distinct()
-    named = named.join(one, "doc_id", "left_anti")
+    copied = named.join(one, ["doc_id", "t"]).select("doc_id", "t", edge.cast("long").alias("start"), F.length(F.regexp_replace("text", f"{space}\\z", "")).cast("long").alias("end"), words.cast("long").alias("n_words"), "first_doc_id", edge.cast("long").alias("first_start"))
+    copied = copied.where(F.col("n_words") >= LEAST).distinct().drop("t")
+    named = named.join(one, ["doc_id", "t"], "left_anti")
 
-    suffixes = staged(named.mapInArrow(_suffixes, "key long, doc_id long, place int"), "suffixes")
-    ordered = suffixes.repartitionByRange("key", "doc_id", "place").sortWithinPartitions("key", "doc_id", "place")
-    alive = ordered.mapInArrow(_neighbours, "key long, doc_id long, place int").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    suffixes = staged(named.mapInArrow(_suffixes, "codes binary, key long, doc_id long, t long, place int"), "suffixes")
+    ordered = suffixes.repartitionByRange("codes", "key", "doc_id", "t", "place").sortWithinPartitions("codes", "key", "doc_id", "t", "place")
+    alive = ordered.mapInArrow(_neighbours, "key long, doc_id long, t long, place int").groupBy("doc_id", "t").agg(F.collect_set("place").alias("places"))
     alive = staged(alive, "suffixes-alive")
-    groups = staged(_met(named, alive).mapInArrow(_groups, "doc_id long, key long, a long, b long, back int, width int, place int, start int, end int"), "suffixes-groups")
+    groups = staged(_met(named, alive).mapInArrow(_groups, "doc_id long, t long, key long, a long, b long, back int, width int, place int, start int, end int"), "suffixes-groups")
     # Occurrences of a suffix with equal runs around it are one variant: all but the first are matches of the first.
     # Where a suffix has several variants, the runs of their first occurrences are compared one by one.
-    variants = groups.groupBy("key", "a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place", "start")).alias("first"))
+    earliest = F.min(F.struct("doc_id", "t", "place", "start")).alias("first")
+    told = [F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "t", "place", "start")]
+    later = "doc_id <> first_doc_id or t <> first_t or place <> first_place"
+    variants = groups.groupBy("key", "a", "b").agg(F.count("*").alias("n"), earliest)
     variants = staged(variants, "suffixes-variants")
-    firsts = variants.where("n > 1").select("key", "a", "b", F.col("first.doc_id").alias("first_doc_id"), F.col("first.place").alias("first_place"), F.col("first.start").alias("first_start"))
-    whole = groups.join(staged(firsts, "suffixes-firsts"), ["key", "a", "b"]).where("doc_id <> first_doc_id or place <> first_place")
-    whole = whole.select("doc_id", (F.col("place") - F.col("back")).alias("place"), (F.col("width") + LEAST).alias("n"), "start", "end", "first_doc_id", "first_start")
+    firsts = variants.where("n > 1").select("key", "a", "b", *told)
+    whole = groups.join(staged(firsts, "suffixes-firsts"), ["key", "a", "b"]).where(later)
+    whole = whole.select("doc_id", "t", (F.col("place") - F.col("back")).alias("place"), (F.col("width") + LEAST).alias("n"), "start", "end", "first_doc_id", "first_start")
 
     several = staged(variants.groupBy("key").agg(F.count("*").alias("v")).where("v > 1").select("key"), "suffixes-several")
-    reps = variants.join(several, "key").select(F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place"))
-    open_ = staged(reps.groupBy("doc_id").agg(F.collect_set("place").alias("places")), "suffixes-open")
-    runs = staged(_met(named, open_).mapInArrow(_runs, "doc_id long, a long, b long, place int, start int, end int"), "suffixes-runs")
-    first = runs.groupBy("a", "b").agg(F.min(F.struct("doc_id", "place", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("a", "b", F.col("first.doc_id").alias("first_doc_id"), F.col("first.place").alias("first_place"), F.col("first.start").alias("first_start"))
+    reps = variants.join(several, "key").select(F.col("first.doc_id").alias("doc_id"), F.col("first.t").alias("t"), F.col("first.place").alias("place"))
+    open_ = staged(reps.groupBy("doc_id", "t").agg(F.collect_set("place").alias("places")), "suffixes-open")
+    runs = staged(_met(named, open_).mapInArrow(_runs, "doc_id long, t long, a long, b long, place int, start int, end int"), "suffixes-runs")
+    first = runs.groupBy("a", "b").agg(earliest, F.count("*").alias("n")).where("n > 1").select("a", "b", *told)
     first = staged(first, "suffixes-first")  # a join of two plain exchanges is one whose hot runs Spark can split
-    again = runs.join(first, ["a", "b"]).where("doc_id <> first_doc_id or place <> first_place").select("doc_id", "place", F.lit(LEAST).alias("n"), "start", "end", "first_doc_id", "first_start")
+    again = runs.join(first, ["a", "b"]).where(later).select("doc_id", "t", "place", F.lit(LEAST).alias("n"), "start", "end", "first_doc_id", "first_start")
     row = F.struct("place", "n", "start", "end", "first_doc_id", "first_start")
-    found = whole.union(again).groupBy("doc_id").agg(F.sort_array(F.collect_set(row)).alias("runs"))
+    found = whole.union(again).groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(row)).alias("runs"))
     return copied.union(found.mapInArrow(_join, "doc_id long, start long, end long, n_words long, first_doc_id long, first_start long"))
 
 
