@@ -11,6 +11,8 @@ are scored in full. What is retrieved is verified by the overlap of five-word sh
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,7 +39,10 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def split_answer(text: str) -> tuple[str, str]:
-    """(question, answer): the answer is the last line, else the last sentence, else there is none."""
+    """(question, answer): the answer is the last line, else the last sentence, else there is none.
+
+    The default of the parameter `split`: a benchmark of another layout brings its own; an empty answer asks nothing.
+    """
     body = text.strip()
     head, mark, tail = body.rpartition("\n")
     if not mark:
@@ -45,10 +50,6 @@ def split_answer(text: str) -> tuple[str, str]:
     return (head, tail) if mark and head.strip() and tail.strip() else (body, "")
 
 
-
-
-
-
 def _counted(batches):
     """Of each batch: (term, items that hold it), and under no term the items with words, their words and the most of one."""
     for batch in batches:
@@ -84,7 +85,7 @@ class Statistics:
 class Index:
     """Inverted index of (item_id, text) rows of a benchmark: impacts by term, block maxima, and the items' shingles."""
 
-    def __init__(self, items: list[tuple[object, str]], whole: Statistics):
+    def __init__(self, items: list[tuple[object, str]], whole: Statistics, split: Callable[[str], tuple[str, str]] = split_answer):
         texts = [t or "" for _, t in items]
         words, rows = _words(pa.array(texts, pa.string()))
         n = np.bincount(rows, minlength=len(items))
@@ -130,7 +131,7 @@ class Index:
             k = min(WORDS, len(w))
             self.grams.append((k, np.unique(gram_hashes(w, k)[: len(w) - k + 1])))
             parts = []
-            for part in split_answer(texts[i]):
+            for part in split(texts[i]):
                 w, _ = _words(pa.array([part]))
                 parts.append((min(WORDS, len(w)), np.unique(gram_hashes(w, min(WORDS, len(w)))[: len(w) - min(WORDS, len(w)) + 1])) if len(w) else None)
             self.parts.append(parts)
@@ -205,19 +206,19 @@ class Index:
         return float(np.isin(wanted, gram_hashes(words, k)[: max(0, len(words) - k + 1)]).mean())
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, split: Callable[[str], tuple[str, str]] = split_answer) -> DataFrame:
     """(doc_id, item_id, score, overlap, question_overlap, answer_overlap) of every document and item that overlap.
 
     An item overlaps where five-word shingles of one passage hold 0.8 of the item's, or 0.8 of the question's and
-    half of the answer's (items of fewer words: all of them in a row). Items and texts that are null, empty or
+    half of the answer's, which `split` tells apart (items of fewer words: all of them in a row). Items and texts that are null, empty or
     without letters and digits match nothing. Rows that repeat an item or a document are each searched. The
     benchmark is read INDEX_ITEMS items at a time, in item order, and each index is broadcast: its size is bounded
     whatever the benchmark's. The cut changes no result: statistics and windows are those of the whole benchmark.
     """
-    return _matches(docs.select(F.col("doc_id").cast("long"), "text"), benchmark)
+    return _matches(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, split)
 
 
-def _matches(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _matches(rows: DataFrame, benchmark: DataFrame, split: Callable[[str], tuple[str, str]] = split_answer) -> DataFrame:
     """What `contaminated` gives, for rows of (any key, text)."""
     spark = lean(rows.sparkSession)
     name, key = rows.schema[0].name, rows.schema[0].dataType
@@ -226,7 +227,7 @@ def _matches(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = f"{name} {key.simpleString()}, item_id {kind.simpleString()}, score double, overlap double, question_overlap double, answer_overlap double"
 
     def found(items):
-        index = spark.sparkContext.broadcast(Index(items, whole))
+        index = spark.sparkContext.broadcast(Index(items, whole, split))
 
         def run(batches):
             for batch in batches:
@@ -251,10 +252,14 @@ def _matches(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows whose text overlaps no item, with the columns of docs; ids, repeated or null, play no part."""
+def decontaminated(docs: DataFrame, benchmark: DataFrame, split: Callable[[str], tuple[str, str]] = split_answer) -> DataFrame:
+    """The rows whose text overlaps no item, with the columns of docs; ids, repeated or null, play no part.
+
+    Null and empty texts overlap nothing and stay. Repeated rows go or stay together. Empty tables on either side take
+    nothing away.
+    """
     digest = lambda c: F.md5(F.col(c).cast("binary"))
-    gone = _matches(docs.select(digest("text").alias("digest"), "text"), benchmark).select(F.col("digest").alias("gone")).distinct()
+    gone = _matches(docs.select(digest("text").alias("digest"), "text"), benchmark, split).select(F.col("digest").alias("gone")).distinct()
     gone = staged(gone, "decontaminate-texts")
     few = gone.count() * 64 <= BROADCAST_BYTES
     rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # any names will do

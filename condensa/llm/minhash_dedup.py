@@ -7,9 +7,10 @@ probability Jaccard of the weighted sets. A second signature has all weights 1:
 the shingle sets, whatever repeats. Pairs that share a band of either are verified by that exact Jaccard, 0.8 or more.
 
 Hot groups: documents with equal shingle sets are one class before banding. The members of all buckets with the same
-smallest member, the pivot, form a group, dealt into blocks. Every member is first compared with the pivot alone: one
-that is alike hangs together with it, and needs no more. The others, which are few in a group of near copies, are then
-compared with all members, a pair of blocks at a time, by matrix products. Blocks give the links of a spanning forest,
+smallest member, the pivot, form a group, dealt into blocks. A group of one block is compared as it is. In a larger one
+every member is first compared with the pivot alone: one that is alike hangs together with it, and needs no more. The
+others, which are few in a group of near copies, are then compared with all members, a pair of blocks at a time, by
+matrix products. Blocks give the links of a spanning forest,
 not all pairs, and no connection is lost: a pair of members that are both alike the pivot is connected through it, and
 of every other pair one is among the others.
 """
@@ -119,7 +120,9 @@ def _keyed_sets(batches):
 
 
 def _links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Links that hold together whatever Jaccard >= least joins across the two sides; with one row on a side, each such link.
+    """Links that hold together whatever Jaccard >= least joins, across the two sides where there are two, else among all.
+
+    With one row on a side each such link is given.
 
     Intersections are matrix products over the shingles that occur more than once, so many columns at a time.
     """
@@ -132,7 +135,7 @@ def _links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, least: flo
     row, column = row[shared[column]], renamed[column[shared[column]]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() and not side.all() else (np.arange(n),) * 2
     both = np.zeros((len(left), len(right)), np.float32)
     for start in range(0, int(shared.sum()), 4096):
         a, b = np.searchsorted(column, (start, start + 4096))
@@ -163,8 +166,7 @@ def _compare(least: float):
         key, ids, sets, side = None, [], [], []
 
         def done():
-            both = len(set(side)) == 2
-            found = _links(np.array(ids), sets, np.array(side), least) if both else []
+            found = _links(np.array(ids), sets, np.array(side), least)
             return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found), pa.int64()), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["k", "u", "v"])
 
         for batch in batches:
@@ -216,17 +218,19 @@ def _grouped(docs: DataFrame, least: float, bands: int, per_band: int) -> DataFr
         sets = texts.mapInArrow(_keyed_sets, "u long, i int, j int, side int, doc_id long, shingles binary")
         return staged(sets.repartition("u", "i", "j").sortWithinPartitions("u", "i", "j").mapInArrow(_compare(least), "k long, u long, v long"), f"minhash-{name}-links")
 
-    others = placed.where("v <> u").select("v", key("b", "-1", 0).alias("key"))
-    pivots = blocks.select("u", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b")).select(F.col("u").alias("v"), key("b", "-1", 1).alias("key"))
-    direct = compared(others.union(pivots), "direct")
+    small = placed.where("blocks = 1").select("v", key("0", "0", 0).alias("key"))
+    large = placed.where("blocks > 1 and v <> u")
+    others = large.select("v", key("b", "-1", 0).alias("key"))
+    pivots = blocks.where("blocks > 1").select("u", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b")).select(F.col("u").alias("v"), key("b", "-1", 1).alias("key"))
+    direct = compared(small.union(others).union(pivots), "direct")
     alike = direct.select(F.col("k").alias("u"), F.explode(F.array("u", "v")).alias("v")).distinct()
-    missed = placed.where("v <> u").join(alike, ["u", "v"], "left_anti")
+    missed = large.join(alike, ["u", "v"], "left_anti")
     missed = staged(missed, "minhash-missed")
     parts = staged(missed.groupBy("u").agg(many().alias("parts"), F.first("blocks").alias("blocks")), "minhash-parts")
     sided = missed.join(parts.drop("blocks"), "u").withColumn("p", F.pmod(F.xxhash64("v", F.lit(1)), F.col("parts")).cast("int"))
     left = sided.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("v", key("p", "o", 0).alias("key"))
     # The pivot has been compared with all.
-    right = placed.where("v <> u").join(parts.drop("blocks"), "u").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("v", key("o", "b", 1).alias("key"))
+    right = large.join(parts.drop("blocks"), "u").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("v", key("o", "b", 1).alias("key"))
     rest = compared(left.union(right), "rest")
     links = direct.select("u", "v").union(rest.select("u", "v"))
     known = components(links, "minhash-components")

@@ -79,3 +79,12 @@ def test_empty_sides(spark):
     assert D.contaminated(none, items).count() == 0
     assert D.contaminated(some, spark.createDataFrame([], ITEMS)).count() == 0
     assert [tuple(r)[:2] for r in D.contaminated(some, items).collect()] == [(1, 1)]
+
+
+def test_another_layout_brings_its_own_split(spark):
+    question, answer = " ".join(f"q{i}" for i in range(30)), " ".join(f"a{i}" for i in range(12))
+    bench = spark.createDataFrame([(1, f"A: {answer} Q: {question}")], "item_id long, text string")
+    rows = docs(spark, [(1, f"x y {question} z"), (2, f"{question} then {answer} end"), (3, "nothing at all")])
+    turned = lambda t: tuple(reversed(t.removeprefix("A: ").split(" Q: ")))
+    assert [r.doc_id for r in D.contaminated(rows, bench, turned).collect()] == [2]
+    assert sorted(r.doc_id for r in D.decontaminated(rows, bench, lambda t: (turned(t)[0], "")).collect()) == [3]

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from llm.helpers import DOCS, docs
 
 from condensa.llm import minhash_dedup as M
@@ -104,3 +105,32 @@ def test_signatures_do_not_depend_on_the_batch():
         h, r, n = M.shingle_sets(pa.array([t], pa.string()))
         assert np.array_equal(whole[i], M.prob_minhash(h, 1 + np.log(n), r, 1, m)[0])
         assert len(h) == len(grams(t))
+
+
+@pytest.mark.parametrize("block", [3, 20])
+def test_groups_of_many_blocks_lose_no_link(spark, monkeypatch, block):
+    """Members that miss their pivot are alike only to other members: chains, and a pivot on the edge of its group."""
+    monkeypatch.setattr(M, "BLOCK_ROWS", block)
+    rng = random.Random(block)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(i, varied(rng, base, rng.randint(0, 3))) for i in range(60)]
+    long_ = [f"c{i}" for i in range(400)]
+    rows += [(1000 + i, " ".join(long_[k * 5 : 150 + k * 5])) for i, k in enumerate(rng.sample(range(40), 40))]
+    got = {r.doc_id: r.component_id for r in M.near_duplicates(docs(spark, rows)).collect()}
+    assert got == brute(rows) and len({got[1000 + i] for i in range(40)}) == 1
+
+
+def test_recall_of_pairs_near_the_threshold(spark):
+    """400 pairs with a Jaccard of 0.8 to 0.9, the hardest: each is in two rows, so a class of two is a pair that was found."""
+    rng, rows, near = random.Random(21), [], []
+    while len(near) < 400:
+        k = len(rows)
+        base = [f"p{k}w{rng.randrange(10**6)}" for _ in range(rng.choice([60, 150, 300]))]
+        other = varied(rng, base, rng.randint(1, 6))
+        a, b = grams(" ".join(base)), grams(other)
+        if 0.8 <= len(a & b) / len(a | b) < 0.9:
+            near.append(k)
+            rows += [(k, " ".join(base)), (k + 1, other)]
+    got = {r.doc_id: r.component_id for r in M.near_duplicates(docs(spark, rows)).collect()}
+    found = sum(got[k + 1] == k for k in near)
+    assert found >= 399, found
