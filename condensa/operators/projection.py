@@ -88,6 +88,23 @@ def project(
     return docs.select(F.col(key).alias("key"), F.col(text).alias("source"), about.alias("focus")).mapInArrow(run, f"`{key}` {kind}, {RESULT}")
 
 
+def repeated_runs(docs: DataFrame, shape: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, start, end, lines): the runs of repeated ordinary lines that a note could stand for, before any is chosen.
+
+    Templates are learned line by line, so each document is one call of the kernel; documents go in Arrow batches.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows = [(k, *r) for k, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in kernel.runs_of(source.encode("utf-8", "surrogatepass"), shape)]
+            cells = list(zip(*rows)) if rows else [[]] * 4
+            kinds = [batch.schema.types[0], pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds)], names=[key, "start", "end", "lines"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"`{key}` {kind}, start long, end long, lines long")
+
+
 def exact(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents that fit the budget, as they are: a filter, with the length pushed next to the scan."""
     size = F.octet_length(text).cast("long")

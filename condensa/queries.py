@@ -350,6 +350,14 @@ project_focus = _projected("project_focus", total=2048, focus=FOCUS)
 project_selection = _projected("project_selection", total=2048, selector={"pattern": (PATTERN, 1, 2, 8)})
 
 
+@query(f"""with {formed(LOGS)}, told as (select doc_id, line_no, start, "end", {SEVERITY} is null and line_no > 0 and line_no < max(line_no) over (partition by doc_id) quiet from formed),
+    islands as (select *, line_no - row_number() over (partition by doc_id order by line_no) k from told where quiet)
+    select doc_id, min(start) start, max("end") "end", count(*) lines from islands group by doc_id, k having count(*) >= 3""")
+def repeated_runs(spark, sf_dir):
+    """All log lines are of one template (date, time and number are masked), so ordinary ones between others are runs."""
+    return projection.repeated_runs(logs(spark, sf_dir), "terminal-log")
+
+
 @query()
 def template_runs(spark, sf_dir):
     out = projection.project(logs(spark, sf_dir), profile="terminal-log/v1", total=2048)

@@ -205,3 +205,63 @@ def test_selected_regions():
     pattern = lambda p, *x: K.select_pattern(source, p, *x)
     assert [pattern(b"charlie", k, k) for k in (0, 1, 9)] == [[(12, 20)], [(6, 26)], [(0, 31)]]
     assert [pattern(b"a\n", 0, 0), pattern(b"a\n", 2, 2), pattern(b"a\n", 0, 0, 1), pattern(b"bravo\ncharlie", 0, 0)] == [[(0, 6), (20, 26)], [(0, 31)], [(0, 6)], [(6, 20)]]
+
+
+def slow_runs(lines, ordinary):
+    """The rule for repeated lines spelled out: for each line all templates there are, oldest first."""
+    import re
+
+    templates, flags = [], []
+    for line in lines:
+        words = ["*" if re.search("[0-9]", w) else f"={w}" for w in re.split("[ \t\n\f\r]+", line) if w][:32]
+        match = None
+        for t in templates:
+            if words and len(t[0]) == len(words) and t[1] == words[0] and 2 * sum(a == b for a, b in zip(t[0], words)) >= len(words):
+                match = t
+                break
+        if match:
+            match[0] = [a if a == b else "*" for a, b in zip(match[0], words)]
+        elif words and sum(t[1] == words[0] and len(t[0]) == len(words) for t in templates) < 64 and len(templates) < 4096:
+            templates.append([words, words[0]])
+        flags.append(match is not None)
+    quiet = [f and o and 0 < i < len(lines) - 1 for i, (f, o) in enumerate(zip(flags, ordinary))]
+    runs, i = [], 0
+    while i < len(lines):
+        j = i
+        while j < len(lines) and quiet[j]:
+            j += 1
+        if j - i >= 3:
+            runs.append((i, j))
+        i = max(j, i + 1)
+    return runs
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_repeated_lines_equal_the_rule_spelled_out(seed):
+    rng = random.Random(seed)
+    text = logs(rng, rng.randint(0, 400))
+    spans = K.line_spans(text.encode())
+    lines = [text.encode()[a:b].decode() for a, b in spans]
+    ordinary = [rng.random() < 0.9 for _ in lines]
+    assert K.collapsed_runs(spans, lines, ordinary) == [(spans[i][0], spans[j - 1][1], j - i) for i, j in slow_runs(lines, ordinary)]
+    assert K.collapsed_runs([(i, i + 1) for i in range(50_001)], ["a 1\n"] * 50_001, [True] * 50_001) == []
+
+
+def test_shapes_give_up_what_says_least():
+    trace = "KeyError: quota\n    at readQuota (/srv/app/quota.js:3:15)\n" + "".join(f"    at tick (node:internal/timers:5{i}:7)\n" for i in range(14)) + "    at main (/srv/app/main.js:8:3)\n"
+    out = K.project(trace.encode(), "stack-trace/v1", 135)
+    assert "KeyError" in out["visible"] and "readQuota" in out["visible"] and "at tick" not in out["visible"] and "[excerpt: 14 repeated lines omitted]" in out["visible"]
+    diff = "diff --git a/m b/m\n--- a/m\n+++ b/m\n@@ -1,50 +1,50 @@\n" + "".join(f" same line {i:02}\n" for i in range(50)) + "+    total = limit()\n-    total = 0\n"
+    out = K.project(diff.encode(), "unified-diff/v1", 200)
+    assert all(x in out["visible"] for x in ("@@ -1,50", "+    total", "-    total")) and "same line 25" not in out["visible"] and not out["aggregates"]
+    whole = '{\n  "version": 2,\n  "note": "' + "very long " * 30 + '",\n  "rows": [\n' + "".join(f'    {{ "id": "r{i:02}" }},\n' for i in range(40)) + '  ],\n  "state": "broken"\n}\n'
+    out = K.project(whole.encode(), "api-json/v1", 160)
+    assert '"version"' in out["visible"] and '"state"' in out["visible"] and "very long" not in out["visible"]
+
+
+def test_a_focus_finds_a_buried_line_by_detection_too():
+    body = lambda a, b: "".join(f"    let item_{i:03} = step(item_{i:03});\n" for i in range(a, b))
+    source = ("use crate::store::Ledger;\n\npub fn settle(tries: u64) -> u64 {\n" + body(0, 180) + "    let QUOTA_LIMIT = tries.min(3);\n" + body(180, 360) + "}\n").encode()
+    plain, focused = K.project(source, total=240), K.project(source, total=240, focus="where is the quota limit set")
+    assert "QUOTA_LIMIT" not in plain["visible"] and "QUOTA_LIMIT = tries.min(3)" in focused["visible"] and focused["visible_count"] <= 240
+    assert K.project(source, total=240, focus="zebra crossing")["visible"] == plain["visible"]
