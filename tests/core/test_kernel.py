@@ -249,7 +249,7 @@ def test_repeated_lines_equal_the_rule_spelled_out(seed):
 
 def test_shapes_give_up_what_says_least():
     trace = "KeyError: quota\n    at readQuota (/srv/app/quota.js:3:15)\n" + "".join(f"    at tick (node:internal/timers:5{i}:7)\n" for i in range(14)) + "    at main (/srv/app/main.js:8:3)\n"
-    out = K.project(trace.encode(), "stack-trace/v1", 135)
+    out = K.project(trace.encode(), "stack-trace/v1", 131)
     assert "KeyError" in out["visible"] and "readQuota" in out["visible"] and "at tick" not in out["visible"] and "[excerpt: 14 repeated lines omitted]" in out["visible"]
     diff = "diff --git a/m b/m\n--- a/m\n+++ b/m\n@@ -1,50 +1,50 @@\n" + "".join(f" same line {i:02}\n" for i in range(50)) + "+    total = limit()\n-    total = 0\n"
     out = K.project(diff.encode(), "unified-diff/v1", 200)
