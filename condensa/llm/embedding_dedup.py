@@ -5,10 +5,11 @@ distance d apart, so its projections differ by a normal of deviation d and fall
 width WINDOW x d with known probability. The least count of collisions that keeps the wanted recall of such pairs
 follows from the binomial law; pairs that pass it are verified by their cosine in double precision.
 
-Vectors are sorted by the first projection and cut into blocks; only blocks within FAR x d of each other on it can
-hold a link. A pair of blocks counts its collisions in memory, and gives link counts per vector and a spanning forest
-of its links, never its pairs. Work grows with the square of the number of distinct vectors, as collisions do: a
-random pair falls into a window with a fixed probability, whatever the sort order.
+Vectors are cut into blocks along the first projection; only blocks within FAR x d of each other on it can hold a
+link. A pair of blocks counts its collisions in memory, all projections' windows of all its vectors at once, and gives
+link counts per vector and a spanning forest of its links, never its pairs. Work grows with the square of the number of
+distinct vectors, as collisions do: a random pair falls into a window with a fixed probability, whatever the sort order,
+so sorting each projection and walking its windows would meet the same pairs one by one.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ SIMILARITY = 0.95
 PROJECTIONS, WINDOW, FAR = 24, 2.0, 5.0
 RECALL = 1 - 1e-5
 BLOCK, TILE = 2048, 512
+#: Slots of the first projection to a unit of it.
+SLOTS = 512
 
 
 def directions(dim: int, m: int = PROJECTIONS) -> np.ndarray:
@@ -177,13 +180,16 @@ def near_duplicates(vectors: DataFrame, least: float = SIMILARITY) -> DataFrame:
     usable = read.where("key is not null and vec_id is not null")
     classes = usable.groupBy("key", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("place").alias("place"), F.first("blob").alias("blob"))
     classes = staged(classes, "vectors-classes")
-    # Rank on the first projection in two levels, bins and inside a bin; BLOCK ranks are a block.
-    binned = classes.withColumn("slot", F.floor(F.col("place") * 512))
-    sums = binned.groupBy("dim", "slot").agg(F.count("*").alias("n"))
-    before = Window.orderBy("dim", "slot").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("dim", "slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("dim", "slot").orderBy("place", "rep")) - 1 + F.col("base")
-    ranked = binned.join(sums, ["dim", "slot"]).withColumn("block", F.floor(rank / BLOCK))
+    # Blocks along the first projection: small slots of it are joined in order, a large one is dealt out by hash (its
+    # vectors lie within one slot's width whatever their order), so no slot is sorted or held by one task.
+    binned = classes.withColumn("slot", F.floor(F.col("place") * SLOTS))
+    sums = staged(binned.groupBy("dim", "slot").agg(F.count("*").alias("n")), "vectors-slots")
+    before = Window.partitionBy("dim").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    few = F.col("n") <= BLOCK // 2
+    ahead = F.coalesce(F.sum(F.when(few, F.col("n")).otherwise(0)).over(before), F.lit(0))
+    sums = sums.select("dim", "slot", few.alias("few"), F.floor(ahead / BLOCK).alias("shared"), F.ceil(F.col("n") / BLOCK).alias("parts"))
+    own = (F.col("slot") + (1 << 20)) * (1 << 20) + F.pmod(F.xxhash64("rep"), F.col("parts"))
+    ranked = binned.join(sums, ["dim", "slot"]).withColumn("block", F.when(F.col("few"), F.col("shared") * 2).otherwise(own * 2 + 1))
     gathered = ranked.groupBy("dim", "block").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.collect_list(F.struct("rep", "copies", "blob")).alias("members"))
     blocks = gathered.mapInArrow(_pack, "dim int, block long, low double, high double, ids binary, copies binary, vectors binary")
     blocks = staged(blocks.withColumn("block", F.col("block") * (1 << 20) + F.col("dim")), "vectors-blocks")

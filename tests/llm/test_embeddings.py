@@ -71,3 +71,13 @@ def test_pairs_at_the_threshold_pass_the_count():
     assert E.least_count() >= 16
     other = np.abs((a - a[::-1]) @ E.directions(64)) <= E.WINDOW * math.sqrt(0.1)
     assert (other.sum(1) >= E.least_count()).mean() < 0.01
+
+
+def test_one_tight_group_of_near_vectors_is_dealt_out(spark, monkeypatch):
+    """Vectors that differ by a millionth share one slot of the projection; blocks stay bounded and every link is counted."""
+    monkeypatch.setattr(E, "BLOCK", 32)
+    rng = np.random.default_rng(3)
+    base, n = rng.normal(size=16), 300
+    rows = [(i, (base + rng.normal(size=16) * 1e-6).tolist()) for i in range(n)] + [(1000 + i, rng.normal(size=16).tolist()) for i in range(60)]
+    got = {r.vec_id: r for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[i].n_links == n - 1 and got[i].component_id == 0 for i in range(n)) and sum(r.kept for r in got.values()) >= 50
