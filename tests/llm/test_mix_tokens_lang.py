@@ -197,3 +197,18 @@ def test_the_training_sample_is_bounded_whatever_repeats(spark, monkeypatch):
     rows = [(7, f"the thing {i}", "xx") for i in range(500)] + [(None, f"of and {i}", "xx") for i in range(50)] + [(9, "die und", "yy")] * 400 + [(i, t, lang) for i, t, lang in samples(rng, SYLLABLES, 200, [3])]
     language_id.train(docs(spark, rows + [(1, None, "xx"), (2, "", "yy")]), sample=40)
     assert max(sizes[0].count(x) for x in ("xx", "yy", "zz")) <= 40 and sizes[0].count("yy") > 1
+
+
+def test_held_out_documents_are_told_right(spark):
+    """The query on the synthetic documents: all held-out documents with letters and a label, by the label they have."""
+    from condensa.llm import queries
+
+    got = {r.doc_id: r for r in queries.op4_language_id(spark, "/root/testdata/sf0.01").collect()}
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect()
+    assert len(got) == len(rows)
+    held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert {r.doc_id for r in held} == {d for d, r in got.items() if r.held_out}
+    told = [r for r in held if r.lang and any(c.isalpha() for c in r.text or "")]
+    assert np.mean([got[r.doc_id].lang_pred == r.lang for r in told]) > 0.98
+    assert all(got[r.doc_id].lang_pred == "und" and got[r.doc_id].score == 0 for r in rows if not any(c.isalpha() for c in r.text or ""))
+    assert np.mean([got[r.doc_id].accepted for r in told]) > 0.98
