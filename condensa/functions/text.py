@@ -72,3 +72,9 @@ def focus_terms(c: Column) -> Column:
     """Distinct words of two characters or more, ASCII letters in lower case, the first sixteen."""
     words = F.filter(F.split(c, r"[^\p{L}\p{N}\p{M}_]+"), lambda w: F.char_length(w) >= 2)
     return F.slice(F.array_distinct(F.transform(words, lambda w: F.translate(w, P.UPPER, P.LOWER))), 1, 16)
+
+
+def template_key(c: Column, most: int = 32) -> Column:
+    """The first words of a line between ASCII white space, `*` for those with a digit: what lines of one template share."""
+    words = F.slice(F.filter(F.split(c, "[ \\t\\n\\f\\r]+"), lambda w: w != ""), 1, most)
+    return F.transform(words, lambda w: F.when(w.rlike("[0-9]"), "*").otherwise(w))

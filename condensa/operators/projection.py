@@ -122,3 +122,9 @@ def prefix(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text")
 def policies(spark) -> DataFrame:
     """The closed policy table, twenty rows: profile, shape (null: detect), applied_profile."""
     return spark.createDataFrame([(k, v, f"{v}/v1" if v else None) for k, v in P.PROFILES.items()], "profile string, shape string, applied_profile string")
+
+
+def with_policy(spark, requests: DataFrame) -> DataFrame:
+    """Requests (profile, ...) with the shape of their policy (null: detect) and error_code invalid_request where there is none."""
+    known = policies(spark).select("profile", "shape", F.lit(True).alias("_known"))
+    return requests.join(F.broadcast(known), "profile", "left").withColumn("error_code", F.when(F.col("_known").isNull(), "invalid_request")).drop("_known")

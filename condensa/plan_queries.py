@@ -277,30 +277,49 @@ def path_summaries(spark, sf_dir):
 
 # ---------------------------------------------------------------- projection
 
-_LINES = r"""cut as (select doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') l from documents where text is not null),
-    sized as materialized (select doc_id, text, l, list_transform(l, lambda x: strlen(x)) z, len(l) n, strlen(text) w from cut)"""
-_PREFIX = f"(select left(text, (select max(k) from range(0, {LIMIT} + 1) t(k) where strlen(left(text, k)) <= {LIMIT})))"
-
-
-@query(f"""with recursive {_LINES}, grown as (
-    select doc_id, case when z[1] <= {LIMIT} then 1 else 0 end i, case when n > 1 and (case when z[1] <= {LIMIT} then z[1] else 0 end) + z[n] <= {LIMIT} then n - 1 else n end j,
-        (case when z[1] <= {LIMIT} then z[1] else 0 end + case when n > 1 and (case when z[1] <= {LIMIT} then z[1] else 0 end) + z[n] <= {LIMIT} then z[n] else 0 end)::bigint total,
-        z[1] <= {LIMIT} f, n > 1 and (case when z[1] <= {LIMIT} then z[1] else 0 end) + z[n] <= {LIMIT} b, 0 turn from sized where w > {LIMIT}
+def _head_tail(lines: str, limit: int) -> str:
+    """SQL for what is kept of texts whose shape prefers none of their lines: the first and the last where they fit, then one
+    line after the first, one before the last, in turn, until neither fits; where neither end fits, the longest prefix.
+
+    `lines` is SQL of (doc_id, text, l), l the lines with their ends; kept(doc_id, w, kept) follows.
+    """
+    prefix = f"(select left(text, (select max(k) from range(0, {limit} + 1) t(k) where strlen(left(text, k)) <= {limit})))"
+    return f"""sized as materialized (select doc_id, text, l, list_transform(l, lambda x: strlen(x)) z, len(l) n, strlen(text) w from ({lines})),
+    grown as (
+    select doc_id, case when z[1] <= {limit} then 1 else 0 end i, case when n > 1 and (case when z[1] <= {limit} then z[1] else 0 end) + z[n] <= {limit} then n - 1 else n end j,
+        (case when z[1] <= {limit} then z[1] else 0 end + case when n > 1 and (case when z[1] <= {limit} then z[1] else 0 end) + z[n] <= {limit} then z[n] else 0 end)::bigint total,
+        z[1] <= {limit} f, n > 1 and (case when z[1] <= {limit} then z[1] else 0 end) + z[n] <= {limit} b, 0 turn from sized where w > {limit}
     union all
-    select doc_id, case when turn = 0 and f and total + z[i + 1] <= {LIMIT} then i + 1 else i end, case when turn = 1 and b and total + z[j] <= {LIMIT} then j - 1 else j end,
-        total + case when turn = 0 and f and total + z[i + 1] <= {LIMIT} then z[i + 1] when turn = 1 and b and total + z[j] <= {LIMIT} then z[j] else 0 end,
-        case when turn = 0 then f and total + z[i + 1] <= {LIMIT} else f end, case when turn = 1 then b and total + z[j] <= {LIMIT} else b end, 1 - turn
+    select doc_id, case when turn = 0 and f and total + z[i + 1] <= {limit} then i + 1 else i end, case when turn = 1 and b and total + z[j] <= {limit} then j - 1 else j end,
+        total + case when turn = 0 and f and total + z[i + 1] <= {limit} then z[i + 1] when turn = 1 and b and total + z[j] <= {limit} then z[j] else 0 end,
+        case when turn = 0 then f and total + z[i + 1] <= {limit} else f end, case when turn = 1 then b and total + z[j] <= {limit} else b end, 1 - turn
     from grown join sized using (doc_id) where f or b),
     ended as (select doc_id, i, j from grown where not f and not b qualify row_number() over (partition by doc_id order by i - j desc) = 1),
-    told as (select s.doc_id, w, text, n, coalesce(array_to_string(l[1:i], '') || array_to_string(l[j + 1:n], ''), '') kept from sized s left join ended using (doc_id) where w > {LIMIT})
-    select doc_id, 'exact' fidelity, w::bigint original_count, w::bigint visible_count, text visible from sized where w <= {LIMIT}
-    union all select doc_id, 'extractive', w, strlen(case when kept = '' then {_PREFIX} else kept end), case when kept = '' then {_PREFIX} else kept end from told""")
+    told as (select s.doc_id, w, text, coalesce(array_to_string(l[1:i], '') || array_to_string(l[j + 1:n], ''), '') part from sized s left join ended using (doc_id)),
+    kept as (select doc_id, w, case when w <= {limit} then text when part <> '' then part else {prefix} end kept from told)"""
+
+
+_WHOLE = r"select doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') l from documents where text is not null"
+_TOLD = f"case when w <= {LIMIT} then 'exact' else 'extractive' end fidelity"
+
+
+@query(f"with recursive {_head_tail(_WHOLE, LIMIT)} select doc_id, {_TOLD}, w::bigint original_count, strlen(kept) visible_count, kept visible from kept")
 def project_head_tail(spark, sf_dir):
     """Documents hold no line that the shape prefers, so first and last line and what grows from them are the whole projection."""
     out = projection.project(table(spark, sf_dir, "documents").where("text is not null"), profile="api-json/v1", total=LIMIT)
     return out.select("doc_id", "fidelity", "original_count", "visible_count", "visible")
 
 
+_PART = r"""select doc_id, array_to_string(regexp_extract_all(text, '[^\n]*\n|[^\n]+')[2:9], '') as text, regexp_extract_all(text, '[^\n]*\n|[^\n]+')[2:9] l from documents where len(regexp_extract_all(text, '[^\n]*\n|[^\n]+')) > 1"""
+
+
+@query(f"with recursive {_head_tail(_PART, 600)} select d.doc_id, 'extractive' fidelity, strlen(d.text) original_count, strlen(coalesce(kept, '')) visible_count, coalesce(kept, '') visible from documents d left join kept using (doc_id) where d.text is not null")
+def project_lines_checked(spark, sf_dir):
+    """A selection of lines 2 to 9, projected: the same rule over the selected region, in a budget of the selection's own."""
+    out = projection.project(table(spark, sf_dir, "documents").where("text is not null"), profile="json/v1", total=700, reserved=100, selector={"lines": (2, 8)})
+    return out.select("doc_id", "fidelity", "original_count", "visible_count", "visible")
+
+
 def _source_slices(text, spans, runs, label: str = kernel.LABEL):
     """A projection's text put together from its source: slices, and the note of each gap that is one collapsed run."""
     raw = text.cast("binary")
@@ -356,11 +375,24 @@ _checked("project_log_checked", 700, "terminal-log")
 _checked("project_lint_checked", 1400, "typecheck-lint")
 
 
-@query()
+@query(f"with recursive {_head_tail(_WHOLE, LIMIT)} select doc_id, {_TOLD}, 'api-json/v1' applied_profile, w::bigint original_count, strlen(kept) visible_count, kept visible, null::varchar error_code from kept union all select doc_id, null, null, null, null, null, 'invalid_request' from documents where text is null")
 def project_text_lateral(spark, sf_dir):
     sql.register(spark)
     table(spark, sf_dir, "documents").select("doc_id", "text").createOrReplaceTempView("_condensa_documents")
-    return spark.sql(f"select d.doc_id, p.* from _condensa_documents d, lateral project_text(d.text, 'plain-text/v1', {LIMIT}, 0, null) p")
+    return spark.sql(f"select d.doc_id, p.fidelity, p.applied_profile, p.original_count, p.visible_count, p.visible, p.error_code from _condensa_documents d, lateral project_text(d.text, 'json/v1', {LIMIT}, 0, null) p")
+
+
+# Twenty profiles and what they apply, as they are documented; the last is none.
+_PROFILES = [(f"{x}/v1", x) for x in rendered.KINDS] + [
+    ("auto/v1", ""), ("plain-text/v1", "terminal-log"), ("build-log/v1", "build-output"), ("test-log/v1", "test-output"), ("diagnostic/v1", "typecheck-lint"), ("diff/v1", "unified-diff"), ("json/v1", "api-json"),
+    ("source-code/v1", "source-file"), ("unicode/v1", "terminal-log"), ("binary/v1", "terminal-log"), ("untrusted-text/v1", "terminal-log"), ("none/v1", "terminal-log"), ("nope/v1", None),
+]
+
+
+@query(f"select o_orderkey, nullif({_in_turn([p[1] for p in _PROFILES], 'o_orderkey')}, '') shape, case when {_in_turn([p[1] for p in _PROFILES], 'o_orderkey')} is null then 'invalid_request' end error_code from orders")
+def policy_lookup(spark, sf_dir):
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", _turn([p[0] for p in _PROFILES], F.col("o_orderkey")).alias("profile"))
+    return projection.with_policy(spark, asked).select("o_orderkey", "shape", "error_code")
 
 
 # ---------------------------------------------------------------- envelopes

@@ -77,3 +77,12 @@ def test_text_helpers(spark):
 def test_canonical_base64(spark):
     r = spark.createDataFrame([("YQ==", "YR==", "!")], "a string, b string, c string").select(*(T.base64_canonical(F.col(c)) for c in "abc")).first()
     assert [None if x is None else bytes(x) for x in r] == [b"a", None, None]
+
+
+def test_lossy_text_equals_python(spark):
+    rng = random.Random(7)
+    raws = [bytes(rng.choices([0x41, 0xC3, 0xA9, 0xE2, 0x82, 0xAC, 0xF0, 0x9F, 0x80, 0xFF, 0xED, 0xA0, 0x0A], k=rng.randint(0, 12))) for _ in range(500)]
+    got = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(raws)], "i int, b binary").select("i", F.make_valid_utf8(F.col("b").cast("string")).alias("x"), T.valid_utf8(F.col("b")).alias("ok")).collect()
+    for r in got:
+        assert r.x == raws[r.i].decode("utf-8", "replace"), raws[r.i]
+        assert r.ok == (raws[r.i].decode("utf-8", "ignore").encode() == raws[r.i])
