@@ -7,7 +7,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import patterns as P
 from ..functions.predicates import Line
 from ..functions.text import section_depth
 

@@ -9,8 +9,8 @@ from .functions import patterns as P
 from .functions import text as T
 from .functions.predicates import Line, PyLine  # noqa: F401
 from .operators import evaluation, focus, kernel, lines, projection, retrieval, shape, spans, store
-from .plans import acquisition, requests, sql
-from .sources import files
+from .plans import acquisition, requests
+from .sources import files, rendered
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 from .streaming import intent
 
@@ -133,12 +133,14 @@ def json_skeleton_lines(spark, sf_dir):
 def _flagged(flag: str, expression: str) -> str:
     pages = "(select page_id doc_id, html as text from pages)"
     return f"""with a as (with {formed('documents')} select 'document' kind, doc_id, line_no, {expression} f from formed), b as (with {formed(pages)} select 'page' kind, doc_id, line_no, {expression} f from formed)
-        select kind, doc_id, line_no::int line_no from (select * from a union all select * from b) where f"""
+        , c as (with {formed(rendered.DOCUMENTS_SQL)} select 'tool' kind, doc_id, line_no, {expression} f from formed)
+        select kind, doc_id, line_no::int line_no from (select * from a union all select * from b union all select * from c) where f"""
 
 
 def _both(spark, sf_dir, flag) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
-    every = documents(spark, sf_dir).withColumn("kind", F.lit("document")).union(pages.withColumn("kind", F.lit("page")))
+    tools = rendered.documents(table(spark, sf_dir, "lineitem"))
+    every = documents(spark, sf_dir).withColumn("kind", F.lit("document")).union(pages.withColumn("kind", F.lit("page"))).union(tools.withColumn("kind", F.lit("tool")))
     rows = every.select("kind", "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(P.LINE), F.lit(0))).alias("line_no", "line"))  # no offsets, no shuffle
     return rows.where(flag(Line(F.col("line")))).select("kind", "doc_id", "line_no")
 
