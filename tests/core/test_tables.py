@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import time
 
 import pytest
 from core.test_kernel import logs
@@ -373,8 +374,12 @@ def test_intent_stream(spark, tmp_path):
     rows = [("s", 1, " find bugs "), ("s", 2, None), ("t", 1, None), ("s", 3, " ")]
     schema = "session string, ts long, prompt string"
     spark.createDataFrame(rows, schema).write.json(str(tmp_path / "in"))
-    q = intent.stream(spark.readStream.schema(schema).json(str(tmp_path / "in"))).writeStream.format("memory").queryName("intents").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).outputMode("append").start()
-    q.awaitTermination(120)
+    q = intent.stream(spark.readStream.schema(schema).json(str(tmp_path / "in"))).writeStream.format("memory").queryName("intents").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
+    for _ in range(120):  # state that expires keeps the query busy for ever, so its rows are waited for
+        if spark.table("intents").count() >= 2:
+            break
+        time.sleep(0.5)
+    q.stop()
     got = {(r.session, r.ts): r.intent for r in spark.table("intents").collect()}
     assert got[("s", 2)] == "find bugs" and got[("t", 1)] is None
 
