@@ -79,7 +79,7 @@ ORACLES = {
         again as (select *, unit - row_number() over (partition by doc_id order by unit) run from firsts where doc_id <> f.d or unit <> f.u),
         weighed as (select *, sum(greatest(len(w), ("end" - "start") // 8)) over (partition by doc_id, run) run_weight from again)
         select doc_id, unit::int unit, "start"::int "start", "end"::int "end", len(w)::int n_words, run_weight::bigint run_weight, f.d first_doc_id, f.u::int first_unit
-        from weighed where run_weight >= 30""",
+        from weighed where run_weight >= 35""",
     "op2_embedding_dedup": """
         with recursive v as (
           select vec_id, embedding::double[] e from embeddings

@@ -23,7 +23,7 @@ from .common import lean, staged
 #: `repeated_units` leaves shorter units alone: a few words meet by chance.
 LEAST_WORDS = 5
 #: `repeated_runs` removes runs of this weight or more.
-LEAST_RUN = 30
+LEAST_RUN = 35
 #: A unit weighs its words, or one for so many code points where that is more: text without spaces counts too.
 WORD_CHARS = 8
 #: White space of a unit, as its words are told apart.
