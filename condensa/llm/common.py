@@ -41,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Rows and bytes of an Arrow batch where the session has Spark's defaults: whole texts make large rows.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
 
 
 def lean(spark: SparkSession) -> SparkSession:
@@ -193,7 +193,7 @@ def give_back() -> None:
         _malloc_trim(0)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 19):
     """Cut a batch so that each part holds about `limit` bytes of one column, or one longer row."""
     _, offsets = utf8(batch.column(column)) if batch.num_rows else (None, np.zeros(1, np.int64))
     at = 0

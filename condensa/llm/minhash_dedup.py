@@ -77,7 +77,7 @@ def _sliced_sets(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def _sign(bands: int, per_band: int):
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 n = part.num_rows
                 found, rows, times = _sliced_sets(part)
                 size = np.bincount(rows, minlength=n)

@@ -86,8 +86,13 @@ def mix(docs: DataFrame, budget: float = BUDGET, most: int = MOST, cycle: tuple
     ).withColumn("slice", F.substring("turn", 1, SLICE_DIGITS))
     slim = staged(sized.groupBy("source", "of", "slice").agg(F.sum("size").alias("slice_size")), "mix-slices")
     targets = source_targets(slim.groupBy("source", "of").agg(F.sum("slice_size").alias("source_size")), budget, most, cycle)
-    before = Window.partitionBy("of").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = slim.select("of", "slice", F.coalesce(F.sum("slice_size").over(before), F.lit(0)).alias("ahead")).join(targets.drop("source"), "of")
+    # What is ahead of a slice: the coarser slices before its own, then the slices before it there; few rows a window.
+    coarse = slim.groupBy("of", F.substring("slice", 1, SLICE_DIGITS // 2).alias("coarse")).agg(F.sum("slice_size").alias("coarse_size"))
+    earlier = lambda key, order: Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    coarse = coarse.select("of", "coarse", F.coalesce(F.sum("coarse_size").over(earlier(["of"], "coarse")), F.lit(0)).alias("base")).join(targets.drop("source"), "of")
+    inner = F.coalesce(F.sum("slice_size").over(earlier(["of", "coarse"], "slice")), F.lit(0))
+    ahead = slim.withColumn("coarse", F.substring("slice", 1, SLICE_DIGITS // 2)).select("of", "coarse", "slice", inner.alias("inner")).join(coarse, ["of", "coarse"])
+    ahead = ahead.withColumn("ahead", F.col("base") + F.col("inner")).drop("coarse", "base", "inner")
     inside = Window.partitionBy("of", "slice").orderBy("turn", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
     queued = sized.withColumn("run", F.sum("size").over(inside)).join(ahead, ["of", "slice"]).withColumn("run", F.col("ahead") + F.col("run")).drop("of", "slice", "ahead")
     queued = staged(queued, "mix-queued")

@@ -271,7 +271,7 @@ def _encode(tokenizer: str, end_id: int, whole: bool):
             ids = np.concatenate(held)
             return pa.RecordBatch.from_pydict({"number": [number], "doc_ids": [docs], "n_tokens": [sizes], "n_ids": [len(ids)], "payload": [encode_ids(ids)]}, schema)
 
-        for batch in (part for whole in batches for part in slices(whole, "text", 3 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, "text", 2 << 20)):
             names = batch.column("doc_id").to_pylist()
             ids, ends = tokens(batch.column("text"))
             for doc, a, b in zip(names, np.r_[0, ends[:-1]].tolist(), ends.tolist()):
