@@ -231,8 +231,9 @@ def _grouped(docs: DataFrame, least: float, bands: int, per_band: int) -> DataFr
     left = sided.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("v", key("p", "o", 0).alias("key"))
     # The pivot has been compared with all.
     right = large.join(parts.drop("blocks"), "u").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("v", key("o", "b", 1).alias("key"))
-    rest = compared(left.union(right), "rest")
-    links = direct.select("u", "v").union(rest.select("u", "v"))
+    links = direct.select("u", "v")
+    if not missed.isEmpty():  # else the texts need no second scan
+        links = links.union(compared(left.union(right), "rest").select("u", "v"))
     known = components(links, "minhash-components")
     firsts = known.join(twins, known.node == twins.rep).groupBy("component").agg(F.min(F.struct("rep_id", "rep_digest")).alias("first"))
     firsts = staged(firsts, "minhash-firsts")
