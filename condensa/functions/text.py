@@ -78,3 +78,18 @@ def template_key(c: Column, most: int = 32) -> Column:
     """The first words of a line between ASCII white space, `*` for those with a digit: what lines of one template share."""
     words = F.slice(F.filter(F.split(c, "[ \\t\\n\\f\\r]+"), lambda w: w != ""), 1, most)
     return F.transform(words, lambda w: F.when(w.rlike("[0-9]"), "*").otherwise(w))
+
+
+_QUOTE = "'\"'\"'"
+_ARGUMENT = f"'[^']*(?:{_QUOTE}[^']*)*'"
+
+
+def shell_quote(c: Column) -> Column:
+    """A word in single quotes; a quote inside it is closed, quoted and opened again."""
+    return F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit(_QUOTE)), F.lit("'"))
+
+
+def shell_words(c: Column) -> Column:
+    """The words of a command line that is exactly quoted words with one space between; null for any other."""
+    words = F.transform(F.regexp_extract_all(c, F.lit(_ARGUMENT), F.lit(0)), lambda w: F.replace(F.substr(w, F.lit(2), F.length(w) - 2), F.lit(_QUOTE), F.lit("'")))
+    return F.when(c == "", F.array().cast("array<string>")).when(c.rlike(f"^{_ARGUMENT}(?: {_ARGUMENT})*\\z"), words)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import line_queries as lines_
 from .operators import evaluation, kernel, projection, store
-from .plans import acquisition, codes, config, envelope, hooks, requests, sql
+from .plans import acquisition, codes, config, envelope, hooks, requests, rpc, sql
 from .registry import query, table
 from .sources import corpus, rendered
 
@@ -233,6 +233,53 @@ def hook_feedback(spark, sf_dir):
     return out
 
 
+#: Message, kind, id, method, params, error code.
+MESSAGES = [
+    ('{"jsonrpc":"2.0","id":@,"method":"tools/call","params":{"name":"read"}}', "request", "@", "tools/call", '{"name":"read"}', None),
+    ('{"jsonrpc":"2.0","id":"a@","method":"tools/list"}', "request", '"a@"', "tools/list", None, None),
+    ('{"jsonrpc":"2.0","method":"tools/list"}', "silent", None, None, None, None), ('{"jsonrpc":"2.0","id":null,"method":"tools/list"}', "silent", None, None, None, None),
+    ('{"jsonrpc":"2.0","id":7,"method":"notifications/initialized"}', "silent", None, None, None, None), ('{"jsonrpc":"2.0","method":"notifications/cancelled","params":{}}', "silent", None, None, None, None),
+    ("{broken @", "error", "null", None, None, "-32700"), ("[1]", "error", "null", None, None, "-32700"), ('{"id":1,"method":"x"}', "error", "null", None, None, "-32700"), ('{"jsonrpc":"2.0","id":1}', "error", "null", None, None, "-32700"),
+    ('{"jsonrpc":"1.0","id":@,"method":"x"}', "error", "@", None, None, "-32600"), ('{"jsonrpc":"2.0","id":@,"method":""}', "error", "@", None, None, "-32600"), ('{"jsonrpc":"2.0","id":[1],"method":"x"}', "error", "null", None, None, "-32600"),
+    ('{"jsonrpc":"2.0","id":true,"method":"x"}', "error", "null", None, None, "-32600"),
+]
+
+
+def _message_sql(column: int) -> str:
+    return f"replace({_in_turn([m[column] for m in MESSAGES], 'event_id')}, '@', event_id::varchar)"
+
+
+@query(f"select event_id, {_message_sql(1)} kind, {_message_sql(2)} id, {_message_sql(3)} as method, {_message_sql(4)} params, {_message_sql(5)}::int error_code from events")
+def rpc_messages(spark, sf_dir):
+    k = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select("event_id", F.replace(_turn([m[0] for m in MESSAGES], k), F.lit("@"), k.cast("string")).alias("value"))
+    return rpc.messages(rows, keep=("event_id",)).select("event_id", "kind", "id", "method", "params", "error_code")
+
+
+#: Command line (@ is the row's key) and its words, by line ends; null for one that isn't in the strict form.
+COMMANDS = [
+    ("'a@'", "a@"), ("'a' 'b @'", "a\nb @"), ("''", ""), ("'it'\"'\"'s @'", "it's @"), ("''\"'\"'' 'x'", "'\nx"), ("a@", None), ("'a'  'b'", None), ("'a' ", None), ("'a''b'", None), ("'a", None), ('"a"', None), (" 'a'", None), ("'a b' '\"'", 'a b\n"'),
+]
+
+
+@query(f"select event_id, replace({_in_turn([c[1] for c in COMMANDS], 'event_id')}, '@', event_id::varchar) words from events")
+def shell_commands(spark, sf_dir):
+    from .functions.text import shell_words
+
+    k = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select("event_id", F.replace(_turn([c[0] for c in COMMANDS], k), F.lit("@"), k.cast("string")).alias("line"))
+    return rows.select("event_id", F.array_join(shell_words(F.col("line")), "\n").alias("words"))
+
+
+@query("select doc_id, text is not null round_trip from documents")
+def shell_quoting(spark, sf_dir):
+    from .functions.text import shell_quote, shell_words
+
+    line = F.concat(shell_quote(F.col("text")), F.lit(" "), shell_quote(F.lit("it's")))
+    words = shell_words(line)
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce((F.size(words) == 2) & (words[0] == F.col("text")) & (words[1] == "it's"), F.lit(False)).alias("round_trip"))
+
+
 # ---------------------------------------------------------------- acquisitions
 
 def _claims(variant, complete=True, partial=False, truncated=False, root=None, path=None, process=None) -> str:

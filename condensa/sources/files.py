@@ -114,3 +114,11 @@ def event_diffs(events: DataFrame) -> DataFrame:
     )
     ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", line.alias("line"))))
     return events.groupBy("user_id").agg(ordered.alias("x")).select("user_id", F.array_join(F.transform("x", lambda e: e["line"]), "").alias("text"))
+
+
+def read_bounded(stream, limit: int = MOST_BYTES) -> bytes:
+    """All of a binary stream (standard input, a socket's file) if it is no longer than `limit`; a byte more is read at most."""
+    data = stream.read(limit + 1)
+    if len(data) > limit:
+        raise Confined("input_too_large")
+    return data

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from condensa import plan_queries
 from condensa.operators import evaluation, focus, kernel, lines, projection, retrieval, shape, spans, store
-from condensa.plans import acquisition, codes, hooks, requests, sql
+from condensa.plans import acquisition, codes, hooks, requests, rpc, sql
 from condensa.sources import corpus, files, process
 from condensa.sources.store import Store, StoreError
 from condensa.streaming import intent
@@ -279,6 +279,20 @@ def test_files_are_read_beneath_their_root_and_checked_after(spark, tmp_path, mo
         inner.open("f.txt")  # another directory of that name
 
 
+def test_streams_are_read_up_to_a_bound():
+    import io
+
+    assert files.read_bounded(io.BytesIO(b"abc"), 3) == b"abc"
+    with pytest.raises(files.Confined, match="input_too_large"):
+        files.read_bounded(io.BytesIO(b"abcd"), 3)
+
+
+def test_an_oversized_message_spoils_only_itself(spark):
+    rows = ['{"jsonrpc":"2.0","id":1,"method":"' + "x" * (1 << 20) + '"}', '{"jsonrpc":"2.0","id":2,"method":"y"}', None]
+    got = [(r.kind, r.id, r.error_code) for r in rpc.messages(spark.createDataFrame(list(enumerate(rows)), "i int, value string"), keep=("i",)).orderBy("i").collect()]
+    assert got == [("error", "null", -32600), ("request", "2", None), ("error", "null", -32700)]
+
+
 def test_processes(spark):
     r = process.observe(spark, ["/bin/sh", "-c", "printf out; sleep 0.2; printf err >&2; exit 3"]).first()
     assert (bytes(r.source), r.status, r.exit_code) == (b"outerr", "complete", 3)
