@@ -670,3 +670,35 @@ def bounded_messages(spark, sf_dir):
     from .functions.text import bounded_chars
 
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", bounded_chars(F.col("text"), envelope.MESSAGE_CHARS).alias("message"))
+
+
+@query("""with said as (select conv_id, turn * 10000 + conv_id % 7 ts, trim(text, ' ' || chr(10)) body from conversations where role = 'user'),
+    last as (select conv_id, max(ts) ts, arg_max(left(body, (select max(k) from range(0, 257) t(k) where strlen(left(body, k)) <= 256)), ts) intent from said where body <> '' group by 1)
+    select conv_id, intent, ts from last where 45000 - ts <= 43200""")
+def session_intent_latest(spark, sf_dir):
+    from .streaming import intent
+
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("at", (F.col("turn") * 10000 + F.col("conv_id") % 7).cast("long"))
+    return intent.latest(rows, "conv_id", "at", F.col("text"), 45000)
+
+
+@query("""select doc_id id, ['absent_fact', 'unknown_class', 'repeated_fact', 'unknown_budget'][(doc_id % 5)::bigint] problem from documents where doc_id % 5 <> 0 and text is not null""")
+def fixture_validation(spark, sf_dir):
+    """Fixtures of the documents, of each five one sound: its facts stand in its text, its budget is known."""
+    k = F.col("doc_id") % 5
+    fact = lambda i, c, n: F.struct(F.lit(i).alias("id"), F.lit(c).alias("class"), n.alias("needle"))
+    head, none = F.substring("text", 1, 5), F.lit("\u0001 never there")
+    facts = F.when(k == 1, F.array(fact("f", "P0", head), fact("g", "P1", none))).when(k == 2, F.array(fact("f", "P7", head))).when(k == 3, F.array(fact("f", "P0", head), fact("f", "P1", head))).otherwise(F.array(fact("f", "P0", head)))
+    rows = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.col("text").alias("source"), facts.alias("facts"), F.when(k == 4, "none").otherwise("bytes-2048").alias("budget"), F.array(F.lit("bytes-2048")).alias("budgets"))
+    return corpus.invalid(rows)
+
+
+@query("""select doc_id, case doc_id % 4 when 0 then sha256(text) when 1 then sha256(text) when 2 then sha256(left('ab' || repeat('xyz', 40), (2 + doc_id % 50)::int)) end sha from documents where text is not null""")
+def payloads(spark, sf_dir):
+    """Payloads as text, as base64, as padding, and base64 that isn't canonical (nothing)."""
+    k, text, no = F.col("doc_id") % 4, F.col("text"), F.lit(None).cast("string")
+    told = F.struct(
+        F.when(k == 0, "utf8").when(k == 2, "padded").otherwise("base64").alias("kind"), F.when(k == 0, text).when(k == 2, "ab").alias("text"), F.when(k == 1, F.base64(text.cast("binary"))).when(k == 3, F.concat(F.base64(F.lit("a").cast("binary")), F.lit("x"))).otherwise(no).alias("base64"),
+        F.when(k == 2, "xyz").alias("fill"), F.when(k == 2, 2 + F.col("doc_id") % 50).cast("long").alias("length"),
+    )
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2(corpus.materialised(told), 256).alias("sha"))

@@ -31,6 +31,16 @@ def as_of(rows: DataFrame, session: str, ts: str, prompt: Column, ttl: int = TTL
     return rows.withColumn("intent", F.last(bounded(prompt), ignorenulls=True).over(reach))
 
 
+def latest(prompts: DataFrame, session: str, ts: str, prompt: Column, now: int, ttl: int = TTL_SECONDS) -> DataFrame:
+    """(session, intent, ts): what each session said last that isn't blank, unless that is older than `ttl`.
+
+    The record of a session is one row whatever its prompts; partial aggregates meet in the shuffle. Expired records go.
+    """
+    said = prompts.select(session, F.col(ts).alias("ts"), bounded(prompt).alias("intent")).where("intent is not null")
+    last = said.groupBy(session).agg(F.max(F.struct("ts", "intent")).alias("last")).select(session, "last.intent", "last.ts")
+    return last.where(F.lit(now) - F.col("ts") <= ttl)
+
+
 class Intent(StatefulProcessor):
     """Per session: prompts set the state, tool events are emitted with it; the state expires by itself."""
 
