@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, html_extract, language_id, minhash_dedup, mixing, substring_dedup, suffix_dedup, token_codes
+from . import chat_format, decontaminate, embedding_dedup, html_extract, importance, language_id, minhash_dedup, mixing, secrets, substring_dedup, suffix_dedup, token_codes, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +64,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_embedding_dedup, op3_token_codes, op4_language_id, op5_chat_format, op6_suffix_dedup, op7_mixing, op8_html_extraction, op9_minhash_dedup, op10_decontamination)}
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.secrets(table(spark, sf_dir, "documents")))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_embedding_dedup, op3_token_codes, op4_language_id, op5_chat_format, op6_suffix_dedup, op7_mixing, op8_html_extraction, op9_minhash_dedup, op10_decontamination, op11_secret_scans, op12_importance_resampling, op13_embedding_whitening)}
 
 ORACLES = {
     "op1_substring_dedup": r"""
@@ -113,4 +125,66 @@ ORACLES = {
         picked as (select doc_id, sum(size)::bigint taken from summed
                    where run <= floor(1.5 * (select sum(size) from sized)) group by doc_id)
         select q.doc_id, size, source_size, target, coalesce(taken, 0)::bigint taken from queued q left join picked p using (doc_id)""",
+    "op11_secret_scans": r"""
+        with docs as (select row_number() over () no, doc_id, coalesce(text, '') text from documents),
+        kinds(kind, name, tile) as (values
+          (0, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+          (1, 'access', 'AKIA[A-Z0-9]+'),
+          (2, 'hex', '[0-9a-f]+'),
+          (3, 'login', '(?:[Uu][Ss][Ee][Rr](?:_?[Nn][Aa][Mm][Ee]|_?[Ii][Dd])?|[Ll][Oo][Gg][Ii][Nn]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt]|[Cc][Ll][Ii][Ee][Nn][Tt]_?[Ii][Dd]|[Aa][Cc][Cc][Ee][Ss][Ss]_?[Kk][Ee][Yy](?:_?[Ii][Dd])?|[Kk][Ee][Yy]_?[Ii][Dd])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9@._+/=-]{3,}'),
+          (4, 'email', '[A-Za-z0-9._%+@-]+'),
+          (5, 'opaque', '[A-Za-z0-9+/_-]{20,}'),
+          (6, 'endpoint', '[A-Za-z]+(?:://[^\x00-\x20"''<>]+)?'),
+          (7, 'blank', '\n[\x20\t\r]*\n')),
+        cut as (select no, kind, name, tile, regexp_extract_all(text, '(?s)(?:' || tile || ')|.') l from docs, kinds where regexp_matches(text, tile)),
+        tiles as (select no, kind, name, tile, unnest(l) piece, generate_subscripts(l, 1) place from cut),
+        placed as (select *, sum(len(piece)) over (partition by no, kind order by place) "end" from tiles),
+        spans as (
+          select no, kind, name, "end" - len(piece) "start", "end" from placed
+          where len(piece) > 1 and case kind
+            when 0 then len(regexp_extract(piece, '^(?:[A-Za-z]+_?[A-Za-z]+)["'']?\x20*[:=]\x20*["'']?(.+)$', 1)) >= 6 when 1 then len(piece) >= 20 when 2 then len(piece) >= 24
+            when 4 then regexp_full_match(piece, '[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]+')
+            when 5 then regexp_matches(piece, '[a-z]') and regexp_matches(piece, '[A-Z]') and regexp_matches(piece, '[0-9]')
+            when 6 then regexp_matches(piece, '^[A-Za-z]{1,16}://') else true end),
+        scoped as (select s.*, (select count(*) from spans b where b.no = s.no and b.kind = 7 and b."start" <= s."start") scope from spans s),
+        pairs as (
+          select x.no, x.kind, x."start", x."end", y.kind other,
+                 case when (y."start", y.kind, y."end") < (x."start", x.kind, x."end") then x."start" - y."end" else y."start" - x."end" end away
+          from scoped x join scoped y on x.no = y.no and x.scope = y.scope and (x.kind, x."start") <> (y.kind, y."start") where x.kind between 3 and 6 and y.kind < 6),
+        told as (
+          select no, kind, "start", "end", bool_or(other in (1, 3, 4) and away <= 400) identified, bool_or(other in (0, 2, 5) and away <= 400) secret,
+                 bool_or(other in (0, 1, 2) and away <= -1) covered from pairs group by all),
+        linked as (select no, kind, "start", "end" from told where not covered and case when kind in (3, 4) then secret when kind = 5 then identified else identified and secret end),
+        kept as (
+          select no, kind, "start", "end" from spans where kind < 3 union all select * from linked),
+        named as (select no, kind, "start", name || ':' || "start" || ':' || "end" t from kept join kinds using (kind)),
+        summed as (
+          select no, count(*) filter (kind = 0) n_assign, count(*) filter (kind = 1) n_access, count(*) filter (kind = 2) n_hex,
+                 string_agg(t, ',' order by "start", kind) filter (kind < 3) base, string_agg(t, ',' order by "start", kind) spans from named group by no)
+        select doc_id, coalesce(n_assign, 0)::bigint n_assign, coalesce(n_access, 0)::bigint n_access, coalesce(n_hex, 0)::bigint n_hex,
+               sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans from docs left join summed using (no)""",
+    "op12_importance_resampling": r"""
+        with crc_table as (
+          select list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) t),
+        words as (select doc_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+        docs as (select doc_id, coalesce(w, []) w, row_number() over () no from words),
+        goals as (select unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) f from benchmark),
+        pieces as (select no, unnest(w) f from docs),
+        known as (select distinct f from (select f from pieces union all select f from goals)),
+        hashed as (
+          select f, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length(encode(f))), lambda i: ('0x' || substr(hex(f), 2 * i::int + 1, 2))::bigint)),
+                    lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 10000 bucket from known, crc_table),
+        sources as (select bucket, count(*) s from pieces join hashed using (f) group by bucket),
+        targets as (select bucket, count(*) t from goals join hashed using (f) group by bucket),
+        gains as (
+          select f, floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select coalesce(sum(s), 0) from sources) + 10000)::double
+                 / ((coalesce(s, 0) + 1)::double * ((select coalesce(sum(t), 0) from targets) + 10000)::double)))::bigint gain
+          from hashed left join sources using (bucket) left join targets using (bucket)),
+        sums as (select no, sum(gain) total from pieces join gains using (f) group by no),
+        weighed as (
+          select doc_id, len(w)::bigint n_features, case when len(w) > 0 then floor(total / len(w)) else 0 end::bigint weight,
+                 ('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, 'null')), 1, 8))::bigint h from docs left join sums using (no)),
+        scores as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint score from weighed),
+        placed as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id) place, count(*) filter (n_features >= 20) over () n from scores)
+        select doc_id, n_features, weight, score, case when n_features >= 20 and place <= (10 * n) // 100 then place end::bigint rank from placed""",
 }
