@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,46 +49,92 @@ def project(
     to the kernel in Arrow batches: no shuffle.
     """
 
+    spec = {"profile": profile, "total": total, "reserved": reserved, "unit": unit, "selector": selector}
+
     def run(batches):
         count = token_counter(ranks_path) if unit == "tokens" else None
         for batch in batches:
-            rows = []
-            for source, about in zip(batch.column("source").to_pylist(), batch.column("focus").to_pylist()):
-                rows.append(_one(source, about, count))
-            cols = list(zip(*rows)) if rows else [[]] * 10
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), _SPAN, _SPAN, pa.list_(pa.string()), _RUN, pa.string()]
-            names = [f.split(" ")[0] for f in RESULT.replace("struct<start: long, end: long>", "s").replace("struct<start: long, end: long, lines: long>", "s").split(", ")]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[key, *names])
-
-    def _one(source, about, count):
-        if source is None:
-            return (*[None] * 9, "invalid_request")
-        source = source.encode("utf-8", "surrogatepass") if isinstance(source, str) else source
-        try:
-            if unit == "tokens" and count is None:
-                raise kernel.Refused("token_profile_unsupported")
-            if len(source) > 10 * 1024 * 1024:
-                raise kernel.Refused("input_too_large")
-            if selector:
-                if "lines" in selector:
-                    regions = kernel.select_lines(source, *selector["lines"])
-                else:
-                    what, *rest = selector["pattern"]
-                    regions = kernel.select_pattern(source, what.encode(), *rest)
-                out = kernel.project_selection(source, regions, profile, total, reserved, about, count)
-            else:
-                out = kernel.project(source, profile, total, reserved, about, count, label=label)
-        except kernel.Refused as refused:
-            return (*[None] * 9, str(refused))
-        spans = lambda xs: [{"start": a, "end": b} for a, b in xs]
-        runs = [{"start": a, "end": b, "lines": n} for a, b, n in out["aggregates"]]
-        return out["fidelity"], f"{out['shape']}/v1", out["original_count"], out["visible_count"], out["visible"], spans(out["retained"]), spans(out["omitted"]), out["fact_ids"], runs, None
+            rows = [_one(source, spec | {"focus": about}, count, label) for source, about in zip(batch.column("source").to_pylist(), batch.column("focus").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *_columns(rows)], names=[key, *_NAMES])
 
     about = focus if isinstance(focus, Column) else F.lit(focus).cast("string")
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).alias("source"), about.alias("focus")).mapInArrow(run, f"`{key}` {kind}, {RESULT}")
 
 
+def _one(source, spec: dict, count, label: str = kernel.LABEL) -> tuple:
+    """The columns of RESULT for one source under a spec: profile, total, reserved, unit, focus, selector."""
+    if source is None:
+        return (*[None] * 9, "invalid_request")
+    source = source.encode("utf-8", "surrogatepass") if isinstance(source, str) else source
+    rule = spec["profile"], spec["total"], spec["reserved"], spec["focus"], count
+    try:
+        if spec["unit"] == "tokens" and count is None:
+            raise kernel.Refused("token_profile_unsupported")
+        if len(source) > 10 * 1024 * 1024:
+            raise kernel.Refused("input_too_large")
+        if selector := spec["selector"]:
+            if "lines" in selector:
+                regions = kernel.select_lines(source, *selector["lines"])
+            else:
+                what, *rest = selector["pattern"]
+                regions = kernel.select_pattern(source, what.encode() if isinstance(what, str) else what, *rest)
+            out = kernel.project_selection(source, regions, *rule)
+        else:
+            out = kernel.project(source, *rule, label=label)
+    except kernel.Refused as refused:
+        return (*[None] * 9, str(refused))
+    spans = lambda xs: [{"start": a, "end": b} for a, b in xs]
+    runs = [{"start": a, "end": b, "lines": n} for a, b, n in out["aggregates"]]
+    return out["fidelity"], f"{out['shape']}/v1", out["original_count"], out["visible_count"], out["visible"], spans(out["retained"]), spans(out["omitted"]), out["fact_ids"], runs, None
+
+
+_NAMES = [f.split(" ")[0] for f in RESULT.replace("struct<start: long, end: long>", "s").replace("struct<start: long, end: long, lines: long>", "s").split(", ")]
+
+
+def _columns(rows: list[tuple]) -> list[pa.Array]:
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), _SPAN, _SPAN, pa.list_(pa.string()), _RUN, pa.string()]
+    return [pa.array(c, k) for c, k in zip(list(zip(*rows)) if rows else [[]] * 10, kinds)]
+
+
+#: What a row asks for: `refused` is the code of a request that was refused before, so that it comes out with the others.
+SPEC = (
+    "refused: string, profile: string, unit: string, total: long, reserved: long, focus: string, "
+    "selector: struct<kind: string, start_line: long, line_count: long, pattern: binary, before_lines: long, after_lines: long, max_matches: long>"
+)
+
+
+def project_each(blocks: DataFrame, ranks_path: str | None = None) -> DataFrame:
+    """A row for each spec of every block (source: binary or string, specs: array of structs that hold spec, of SPEC, and
+    whatever else comes along): the struct's other fields and the columns of RESULT.
+
+    Profile, budget, unit, focus and selector are the row's own. A source is read once for all specs of its block. A
+    null source gives invalid_request to the specs that aren't refused already; a block without specs gives no rows.
+    """
+    item = blocks.schema["specs"].dataType.elementType
+    kept = [f for f in item.fields if f.name != "spec"]
+
+    def selector(told: dict | None) -> dict | None:
+        if told is None:
+            return None
+        names = ("start_line", "line_count") if told["kind"] == "lines" else ("pattern", "before_lines", "after_lines", "max_matches")
+        return {told["kind"]: tuple(told[n] for n in names)}
+
+    def run(batches):
+        count = token_counter(ranks_path)
+        for batch in batches:
+            told = batch.column("specs")
+            flat, rows = told.flatten(), []
+            of = pa.compute.list_parent_indices(told).to_pylist()
+            sources = batch.column("source").to_pylist()
+            for i, spec in zip(of, flat.field("spec").to_pylist()):
+                rows.append((*[None] * 9, spec["refused"]) if spec["refused"] else _one(sources[i], spec | {"selector": selector(spec["selector"])}, count))
+            yield pa.RecordBatch.from_arrays([*(flat.field(f.name) for f in kept), *_columns(rows)], names=[*(f.name for f in kept), *_NAMES])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return blocks.select("source", "specs").mapInArrow(run, f"{schema}, {RESULT}")
+
+
 def repeated_runs(docs: DataFrame, shape: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, start, end, lines): the runs of repeated ordinary lines that a note could stand for, before any is chosen.
 

@@ -158,7 +158,7 @@ RECEIPT = (
 SCHEMAS, POLICIES = (envelope.RECEIPT_SCHEMA, "receipt/v1"), (envelope.POLICY_VERSION, "preservation/v1")
 
 
-def receipt(projected: dict[str, Column], artifact: Column, request_id: Column, profile: Column, claims: Column, unit: str = "bytes", focused: Column | None = None) -> Column:
+def receipt(projected: dict[str, Column], artifact: Column, request_id: Column, profile: Column, claims: Column, unit: Column | str = "bytes", focused: Column | None = None) -> Column:
     """The receipt of a projection (columns fidelity, applied_profile, original_count, visible_count, retained, omitted, fact_ids, aggregates)."""
     runs = F.transform(projected["aggregates"], lambda x: F.struct(F.struct(x["start"], x["end"]).alias("span"), x["lines"].alias("lines")))
     kept = F.struct(
@@ -167,7 +167,7 @@ def receipt(projected: dict[str, Column], artifact: Column, request_id: Column,
     )
     return F.struct(
         F.lit(SCHEMAS[0]).alias("schema_version"), request_id.alias("request_id"), artifact["source_sha256"].alias("source_sha256"), artifact.alias("artifact"), F.lit(envelope.PROJECTION_VERSION).alias("projection_version"),
-        F.lit(POLICIES[0]).alias("policy_version"), F.lit(requests.TOKEN_PROFILE if unit == "tokens" else None).cast("string").alias("token_profile"), projected["original_count"].alias("original_count"),
+        F.lit(POLICIES[0]).alias("policy_version"), F.when(F.lit(unit) == "tokens", requests.TOKEN_PROFILE).alias("token_profile"), projected["original_count"].alias("original_count"),
         projected["visible_count"].alias("visible_count"), F.lit(unit).alias("count_unit"), projected["fidelity"].alias("fidelity"), projected["retained"].alias("retained_spans"), projected["omitted"].alias("omitted_spans"),
         kept.alias("preservation"), claims.alias("acquisition"),
     )

@@ -6,12 +6,14 @@ states what each variant must come to.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import line_queries as lines_
 from .operators import evaluation, kernel, projection, store
-from .plans import acquisition, codes, config, envelope, hooks, requests, rpc, sql
+from .plans import acquisition, codes, config, envelope, handling, hooks, requests, rpc, sql
 from .registry import query, table
 from .sources import corpus, rendered
 
@@ -702,3 +704,77 @@ def payloads(spark, sf_dir):
         F.when(k == 2, "xyz").alias("fill"), F.when(k == 2, 2 + F.col("doc_id") % 50).cast("long").alias("length"),
     )
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2(corpus.materialised(told), 256).alias("sha"))
+
+
+# ---------------------------------------------------------------- requests that run
+
+_HELD = '"source":{"kind":"artifact","artifact":{"schema_version":"@schema","id":"@id","source_sha256":"@sha","source_bytes":@bytes,"created_at":@made,"expires_at":@until}@more}'
+
+
+def _asks(total: int = LIMIT, reserved: int = 0, schema: str = "artifact/v3", more: str = "", source: str = _HELD, made: str = "@made", **options) -> str:
+    budget = options.pop("budget", f'"budget":{{"unit":"bytes","total_visible_limit":{total},"reserved_envelope":{reserved}}}')
+    return _request(source.replace("@schema", schema).replace("@more", more).replace("@made", made), budget=budget, profile='"api-json/v1"', **{"more": options.pop("extra", ""), **options})
+
+
+#: Request line (~ the row's key, @ what is said of the artifact), the code it fails with whatever the artifact, and which text it shows.
+ASKED = [
+    (_asks(), None, "whole"), (_asks(), None, "whole"), (_asks(), None, "whole"), (_asks(extra=',"focus":"qqzzqq zzxxyyq"'), None, "whole"), (_asks(16 << 20), None, "all"),
+    (_asks(source='"source":{"kind":"inline","bytes":"@text"}'), None, "inline"), (_asks(100, 100), "budget_unsatisfiable", "late"), (_asks(version='"v1"'), "schema_unsupported", ""),
+    (_asks(source='"source":{"kind":"socket"}'), "source_unsupported", ""), (_asks(budget='"budget":{"unit":"tokens","total_visible_limit":9,"reserved_envelope":0,"token_profile":"other"}'), "token_profile_unsupported", ""),
+    (_asks(schema="artifact/v1"), "artifact_schema_unsupported", ""), (_asks(source='"source":{"kind":"file","root_id":"repo","relative_path":"YQ==","binary_policy":"accept"}'), "unsafe_root", ""), (_asks(made="7"), "artifact_corrupt", "late"),
+    (_asks(600, more=',"selector":{"kind":"lines","start_line":2,"line_count":8}'), None, "lines"), (_asks(extra=',"surprise":1'), "invalid_request", ""), ('{"contract_version":"v3"', "invalid_request", ""),
+    (_asks(more=',"selector":{"kind":"lines","start_line":0,"line_count":8}'), "invalid_request", ""),
+]
+#: Every third order asks for this document, the others for one each.
+_OF = "case when o_orderkey % 3 = 0 then 7 else o_custkey % (select count(*) from documents) end"
+_STORED = f"""stored as (select doc_id, text, substr(sha256(doc_id::varchar || ':' || sha256(text)), 1, 32) id, strlen(text) w, sha256(text) sha, ({NOW} - 200000 + doc_id * 777 % 800000)::bigint expires_at,
+    case when doc_id % 17 = 11 then case when doc_id % 2 = 0 then 'artifact_expired' else 'artifact_unknown' end when doc_id % 19 = 13 then 'artifact_schema_unsupported'
+    when {NOW} - 200000 + doc_id * 777 % 800000 <= {NOW} then 'artifact_expired' when doc_id % 13 = 6 then 'artifact_corrupt' end unfit, doc_id % 11 = 5 part from documents where text is not null)"""
+
+
+def _stored(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    named = store.digested(docs).withColumnRenamed("doc_id", "of")
+    raw = F.col("text").cast("binary")
+    return docs.join(named, F.col("doc_id") == F.col("of")).select(
+        "doc_id", "text", "id", "source_sha256", "source_bytes", F.lit(NOW - 400_000).cast("long").alias("created_at"), (F.lit(NOW) - 200_000 + F.col("doc_id") * 777 % 800_000).cast("long").alias("expires_at"),
+        F.when(F.col("doc_id") % 19 == 13, 9).otherwise(3).alias("schema_version"), F.when(F.col("doc_id") % 11 == 5, "partial").otherwise("complete").alias("state"),
+        F.when(F.col("doc_id") % 13 == 6, F.concat(raw, F.lit(b"!"))).otherwise(raw).alias("source"),
+    )
+
+
+def _asked(spark, sf_dir, stored: DataFrame) -> DataFrame:
+    number = table(spark, sf_dir, "documents").count()
+    key = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.when(key % 3 == 0, 7).otherwise(F.col("o_custkey") % number).alias("doc_id"), _turn([a[0] for a in ASKED], key).alias("line"))
+    met = orders.join(stored.select("doc_id", "id", "source_sha256", "source_bytes", "created_at", "expires_at", F.base64("text").alias("raw")), "doc_id")
+    line = F.replace("line", F.lit("~"), key.cast("string"))
+    for sign, column in (("@id", "id"), ("@sha", "source_sha256"), ("@bytes", "source_bytes"), ("@made", "created_at"), ("@until", "expires_at"), ("@text", "raw")):
+        line = F.replace(line, F.lit(sign), F.regexp_replace(F.col(column).cast("string"), "[\r\n]", ""))
+    return met.select("o_orderkey", line.alias("value"))
+
+
+_PARTS = re.sub(r"\b(sized|grown|ended|told|kept)\b", r"\g<1>_part", _head_tail(_PART, 600))
+
+
+@query(f"""with recursive {_head_tail(_WHOLE, LIMIT)}, {_PARTS}, {_STORED},
+    asked as (select o_orderkey, {_in_turn([a[1] for a in ASKED], 'o_orderkey')} fixed, {_in_turn([a[2] for a in ASKED], 'o_orderkey')} shows, {_OF} doc_id from orders),
+    known as (select *, case when shows = '' then fixed when shows = 'inline' then null else coalesce(unfit, case when fixed = 'artifact_corrupt' then fixed end, case when part then 'acquisition_failed' end, case when w > 0 then fixed end) end code
+              from asked join stored using (doc_id)),
+    shown as (select k.*, case shows when 'all' then text when 'lines' then coalesce(p.kept_part, '') when 'late' then '' else h.kept end visible from known k left join kept h using (doc_id) left join kept_part p using (doc_id))
+    select o_orderkey, case when fixed = 'invalid_request' and shows = '' and o_orderkey % {len(ASKED)} = {len(ASKED) - 2} then null else 'r' || o_orderkey end request_id, code error_code,
+        case when code is null then 0 when code = 'budget_unsatisfiable' then 3 when code in ('artifact_unknown', 'artifact_expired', 'artifact_corrupt', 'artifact_schema_unsupported') then 4 when code = 'acquisition_failed' then 6 else 2 end exit_code,
+        case when code is null or code = 'budget_unsatisfiable' then case when shows = 'inline' then substr(sha256('r' || o_orderkey || ':' || sha), 1, 32) else id end end artifact_id,
+        case when code is null then case when shows <> 'lines' and visible = text then 'exact' else 'extractive' end end fidelity, case when code is null then w end::bigint original_count,
+        case when code is null then strlen(visible) end::bigint visible_count, case when code is null then visible end visible, case when code is null then true end receipt_sound,
+        case when code is null then case when shows = 'inline' then 'inline' else 'artifact' end end source_variant, code is null and shows <> 'inline' replays from shown""")
+def handled_requests(spark, sf_dir):
+    """Requests of every kind, a third of them for one artifact, run against stored documents some of which are expired, corrupt, partial or gone."""
+    stored = _stored(spark, sf_dir)
+    gone = F.col("doc_id") % 17 == 11
+    dead = stored.where(gone & (F.col("doc_id") % 2 == 0)).select("id", F.lit(NOW + 1).alias("purge_at"))
+    out = handling.handled(_asked(spark, sf_dir, stored), stored.where(~gone), dead, NOW, key="o_orderkey")
+    r = F.from_json("receipt", store.RECEIPT)
+    sound = F.when(F.col("receipt").isNotNull(), store.receipt_sound(r, F.col("artifact")))
+    told = lambda path: F.get_json_object("envelope", path)
+    return out.select("o_orderkey", "request_id", "error_code", "exit_code", F.col("artifact.id").alias("artifact_id"), "fidelity", "original_count", "visible_count", "visible", sound.alias("receipt_sound"), told("$.source.variant").alias("source_variant"), F.coalesce(r["acquisition"]["variant"] == "artifact", F.lit(False)).alias("replays"))

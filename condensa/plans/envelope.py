@@ -39,7 +39,7 @@ def recovery(fidelity: Column, artifact_id: Column) -> Column:
     return F.when((fidelity == "extractive") & artifact_id.isNotNull(), F.format_string(RECOVERY, artifact_id))
 
 
-def projection(result: dict[str, Column], artifact: Column, source_sha256: Column, unit: str = "bytes", token_profile: str | None = None, acquisition: Column | None = None) -> Column:
+def projection(result: dict[str, Column], artifact: Column, source_sha256: Column, unit: Column | str = "bytes", token_profile: Column | str | None = None, acquisition: Column | None = None) -> Column:
     """A projection: visible text, artifact, accounting (`omitted` is a count, left out where the projection is exact),
     receipt, source (with `acquisition`), recovery (where it serves). `result` has fidelity, original_count, visible_count, visible."""
     omitted = saturating_sub(result["original_count"], result["visible_count"])
