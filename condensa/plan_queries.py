@@ -6,6 +6,7 @@ states what each variant must come to.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame
@@ -145,21 +146,29 @@ def request_validation(spark, sf_dir):
 PROCESSES = [(7, 1, 1, None, None), (0, 1, 1, None, "invalid_request"), (4097, 1, 1, None, "invalid_request"), (7, 4096, 1, 100, None), (7, 4097, 1, 100, "resource_exhausted"), (7, 2, 524285, 5000, "resource_exhausted"), (6, 2, 524285, 5000, None), (7, 1, 1, 99, "invalid_request"), (7, 1, 1, 300001, "invalid_request")]
 
 
-@query("select * from (values " + ", ".join(f"({i}, {_text(p[4])})" for i, p in enumerate(PROCESSES)) + ") t(i, failure)")
+@query(f"select s_suppkey, {_in_turn([p[4] for p in PROCESSES], 's_suppkey')} failure from supplier")
 def process_validation(spark, sf_dir):
-    rows = spark.createDataFrame([(i, *p[:4]) for i, p in enumerate(PROCESSES)], "i int, e int, n int, size int, timeout long")
-    executable, one = F.repeat(F.lit("x"), F.col("e")).cast("binary"), F.repeat(F.lit("é"), F.col("size")).cast("binary")
-    argv = F.array_repeat(F.substring(F.col("one"), 1, 1 << 30), F.col("n"))
-    return rows.withColumn("one", F.substr(one, F.lit(1), F.col("size"))).select("i", requests.process_failure(executable, argv, F.col("timeout")).alias("failure"))
+    """Suppliers take processes of every size in turn."""
+    variants = F.array(*(F.struct(*(F.lit(x).cast("long").alias(n) for n, x in zip(("e", "n", "size", "timeout"), p))) for p in PROCESSES))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.element_at(variants, (F.col("s_suppkey") % len(PROCESSES) + 1).cast("int")).alias("p")).select("s_suppkey", "p.*")
+    executable, one = F.repeat(F.lit("x"), F.col("e").cast("int")).cast("binary"), F.repeat(F.lit("é"), F.col("size").cast("int")).cast("binary")
+    argv = F.array_repeat(F.substring(F.col("one"), 1, 1 << 30), F.col("n").cast("int"))
+    return rows.withColumn("one", F.substr(one, F.lit(1), F.col("size").cast("int"))).select("s_suppkey", requests.process_failure(executable, argv, F.col("timeout")).alias("failure"))
 
 
-@query("select * from (values " + ", ".join(f"({_text(k)}, {v})" for k, v in (
+#: What a request ends with, by hand: code (empty: none) and the command's exit code.
+ENDS = [
     ("invalid_request", 2), ("schema_unsupported", 2), ("source_unsupported", 2), ("token_profile_unsupported", 2), ("input_too_large", 2), ("resource_exhausted", 2), ("unsafe_root", 2), ("budget_unsatisfiable", 3),
     ("artifact_unknown", 4), ("artifact_expired", 4), ("artifact_corrupt", 4), ("artifact_schema_unsupported", 4), ("permission_denied", 5), ("store_full", 5), ("store_busy", 5), ("commit_failed", 5),
-    ("acquisition_failed", 6), ("invariant_breach", 70), ("", 0))) + ") t(code, exit_code)")
+    ("acquisition_failed", 6), ("invariant_breach", 70), ("", 0)
+]
+
+
+@query(f"select o_orderkey, {_in_turn([e[0] for e in ENDS], 'o_orderkey')} code, {_in_turn([str(e[1]) for e in ENDS], 'o_orderkey')}::int exit_code from orders")
 def failure_exit_codes(spark, sf_dir):
-    known = spark.createDataFrame([(c,) for c in [*codes.EXIT_CODES, ""]], "code string")
-    return known.select("code", codes.exit_code(F.when(F.col("code") != "", F.col("code"))).alias("exit_code"))
+    """Orders end in every way in turn."""
+    told = table(spark, sf_dir, "orders").select("o_orderkey", _turn([e[0] for e in ENDS], F.col("o_orderkey")).alias("code"))
+    return told.select("o_orderkey", "code", codes.exit_code(F.when(F.col("code") != "", F.col("code"))).alias("exit_code"))
 
 
 CONFIGS = [
@@ -169,9 +178,11 @@ CONFIGS = [
 ]
 
 
-@query("select * from (values " + ", ".join(f"({i}, {_text(c[1])})" for i, c in enumerate(CONFIGS)) + ") t(i, failure)")
+@query(f"select c_custkey, {_in_turn([c[1] for c in CONFIGS], 'c_custkey')} failure from customer")
 def config_validation(spark, sf_dir):
-    return spark.createDataFrame([(i, config.problem(**{"store_path": "/srv/store/db"} | c)) for i, (c, _) in enumerate(CONFIGS)], "i int, failure string")
+    """Customers bring every configuration in turn, as JSON."""
+    told = _turn([json.dumps({"store_path": "/srv/store/db"} | c) for c, _ in CONFIGS], F.col("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey", config.failure(F.from_json(told, config.CONFIG)).alias("failure"))
 
 
 # ---------------------------------------------------------------- hooks

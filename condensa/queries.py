@@ -214,9 +214,15 @@ def detect_shape(spark, sf_dir):
     return shape.detect(_kinds(spark, sf_dir))
 
 
-@query("select * from (values " + ", ".join(f"({lit(k)}, {lit(v) if v else 'null'}, {lit(v + '/v1') if v else 'null'})" for k, v in P.PROFILES.items()) + ") t(profile, shape, applied_profile)")
+_PROFILES_SQL = "(values " + ", ".join(f"({i}, {lit(k)}, {lit(v) if v else 'null'}, {lit(v + '/v1') if v else 'null'})" for i, (k, v) in enumerate(P.PROFILES.items())) + ") t(i, profile, shape, applied_profile)"
+
+
+@query(f"select profile, shape, applied_profile, count(o_orderkey) requests from {_PROFILES_SQL} left join orders on o_custkey % {len(P.PROFILES)} = i group by 1, 2, 3")
 def policies(spark, sf_dir):
-    return projection.policies(spark)
+    """The policy table with what orders ask of each profile, in turn of their customers."""
+    known = F.array(*map(F.lit, P.PROFILES))
+    asked = _orders(spark, sf_dir).select(F.element_at(known, (F.col("o_custkey") % len(P.PROFILES) + 1).cast("int")).alias("profile")).groupBy("profile").agg(F.count("*").alias("requests"))
+    return projection.policies(spark).join(asked, "profile", "left").fillna(0, ["requests"])
 
 
 # ---------------------------------------------------------------- focus, candidates
