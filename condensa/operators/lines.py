@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import Line
-from ..functions.text import section_depth
+from . import scans
+
+#: Lines that a text's sections may offer together: each offers its first lines, as many as are left to it.
+MOST_SECTION_LINES = 256
 
 
 def _cut(batches):
@@ -17,7 +20,8 @@ def _cut(batches):
         texts = batch.column(1)
         _, ends, data = texts.buffers()
         n = len(texts)
-        offsets = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+        wide = pa.types.is_large_string(texts.type)
+        offsets = np.frombuffer(ends, np.int64 if wide else np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
         body = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if n and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
         first = offsets - offsets[0]
         cuts = np.union1d(np.flatnonzero(body == 10) + 1, first[1:])
@@ -26,7 +30,7 @@ def _cut(batches):
         start = np.r_[0, cuts[:-1]] if len(cuts) else cuts
         begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(cuts) else cuts
         number = np.arange(len(cuts)) - np.repeat(begin, np.diff(np.append(begin, len(cuts)))) if len(cuts) else cuts
-        line = pa.Array.from_buffers(pa.string(), len(cuts), [None, pa.py_buffer(np.r_[0, cuts].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(body))])
+        line = pa.Array.from_buffers(texts.type, len(cuts), [None, pa.py_buffer(np.r_[0, cuts].astype(np.int64 if wide else np.int32)), pa.py_buffer(np.ascontiguousarray(body))])
         cells = [batch.column(0).take(pa.array(row)), pa.array(number.astype(np.int32)), line, pa.array(start - first[row]), pa.array(cuts - first[row])]
         yield pa.RecordBatch.from_arrays(cells, names=[batch.schema.names[0], "line_no", "line", "start", "end"])
 
@@ -47,23 +51,29 @@ def first_last(spans: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def section_ranks(spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Adds opens, section (0 before the first), rank (0 on an opener, 1 on a line that precedes any)."""
-    order = Window.partitionBy(key).orderBy("line_no")
-    out = spans.withColumn("opens", Line(F.col("line")).opens_section)
-    out = out.withColumn("section", F.sum(F.col("opens").cast("long")).over(order))
-    place = F.row_number().over(Window.partitionBy(key, "section").orderBy("line_no"))
-    return out.withColumn("rank", (place - (F.col("section") > 0).cast("int")).cast("long"))
+    """Adds opens, section (0 before the first), rank (0 on an opener, 1 on a line that precedes any) to rows as `lines` gives
+    them, without their text and without a shuffle."""
+    return scans.scanned(spans, {"_opens": Line(F.col("line")).opens_section}, lambda s, opens: _sections(s, opens), "opens boolean, section long, rank long")
+
+
+def _sections(documents: scans.Segments, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    section = documents.running(opens.astype(np.int64))
+    place = scans.Segments(opens | (documents.place == 0)).place
+    return opens, section, place + (section == 0)
 
 
 def admitted(spans: DataFrame, preferred: Column, matched: Column, distributes: bool = False, most: int = 256, key: str = "doc_id") -> DataFrame:
-    """Candidate lines: the first `most` preferred ones (within their section's depth) and the first `most` that match."""
-    order = Window.partitionBy(key).orderBy("line_no")
-    out = spans
-    deep = F.lit(True)
-    if distributes:
-        out = section_ranks(out, key)
-        out = out.withColumn("depth", section_depth(F.sum(F.col("opens").cast("long")).over(Window.partitionBy(key))))
-        deep = F.col("rank") <= F.col("depth")
-    out = out.withColumn("by_kind", (preferred & deep).cast("int")).withColumn("by_focus", matched.cast("int"))
-    counts = lambda c: F.sum(c).over(order)
-    return out.withColumn("by_kind", (F.col("by_kind") == 1) & (counts("by_kind") <= most)).withColumn("by_focus", (F.col("by_focus") == 1) & (counts("by_focus") <= most)).where("by_kind or by_focus")
+    """Candidate lines: the first `most` preferred ones (within their section's depth) and the first `most` that match.
+
+    Rows as `lines` gives them; they come without their text, with by_kind and by_focus, and without a shuffle.
+    """
+    flags = {"_preferred": preferred, "_matched": matched} | ({"_opens": Line(F.col("line")).opens_section} if distributes else {})
+
+    def work(documents: scans.Segments, by_kind, by_focus, *opens):
+        if opens:
+            _, _, rank = _sections(documents, opens[0])
+            by_kind = by_kind & (rank <= np.maximum(MOST_SECTION_LINES // np.maximum(documents.total(opens[0]), 1), 1))
+        first = lambda x: x & (documents.running(x.astype(np.int64)) <= most)
+        return first(by_kind), first(by_focus)
+
+    return scans.scanned(spans, {n: F.coalesce(c, F.lit(False)) for n, c in flags.items()}, work, "by_kind boolean, by_focus boolean").where("by_kind or by_focus")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
 from .spans import merge
 
 
@@ -14,11 +15,22 @@ def by_lines(spans: DataFrame, first: int, number: int, key: str = "doc_id") ->
     return held.groupBy(key).agg(F.min("start").alias("start"), F.max("end").alias("end"))
 
 
+def by_text(docs: DataFrame, pattern: str, before: int = 2, after: int = 2, most: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, start, end) around the first `most` matches of any literal, also one across lines; regions that meet are one.
+
+    Whole texts in Arrow batches, no shuffle. Rows that share a key are searched each on its own. A null or empty text
+    has no regions; an empty literal is refused.
+    """
+    if not pattern:
+        raise ValueError("a pattern is wanted")
+    return scans.regions(docs, pattern, before, after, most, key, text)
+
+
 def by_pattern(spans: DataFrame, pattern: str, before: int = 2, after: int = 2, most: int = 8, key: str = "doc_id") -> DataFrame:
     """(key, start, end) around the first `most` matches of a literal without line ends; regions that meet are one.
 
     A line's matches are counted without a regular expression; context is a range of line numbers, found by windows
-    over the document rather than a join. Patterns with line ends go through the kernel (project_selection).
+    over the document rather than a join. Patterns with line ends want the texts: `by_text`.
     """
     if "\n" in pattern or not pattern:
         raise ValueError("a pattern of one line is wanted")

@@ -294,6 +294,26 @@ _ISLANDS = """fresh as (select *, coalesce((start > max("end") over (partition b
     near as (select distinct a.doc_id, a.line_no, a.start, a."end" from capped a join capped b on a.doc_id = b.doc_id and a.line_no between b.line_no - 1 and b.line_no + 2 where b.hit),
     {_ISLANDS.format('near')} select * from merged""")
 def select_pattern(spark, sf_dir):
+    return retrieval.by_text(documents(spark, sf_dir), PATTERN, 1, 2, 8)
+
+
+ACROSS = ".\nT"
+
+
+@query(f"""with {lines_of('documents')}, pieces_ as (select doc_id, list_transform(string_split(text, '.' || chr(10) || 'T'), lambda x: strlen(x)) z, strlen(text) size from documents),
+    hits as (select doc_id, size, k, list_sum(z[1:k]) + (k - 1) * 3 place from pieces_, range(1, 9) t(k) where k < len(z)),
+    numbered as (select doc_id, list(start order by line_no) starts from lines group by doc_id),
+    placed as (select doc_id, size, starts, len(list_filter(starts, lambda x: x <= place)) - 1 low, len(list_filter(starts, lambda x: x < place + 3)) high from hits join numbered using (doc_id)),
+    near as (select doc_id, starts[greatest(low - 1, 0)::bigint + 1] start, coalesce(starts[high + 2 + 1], size) "end" from placed),
+    {_ISLANDS.format('near')} select doc_id, start::bigint start, "end"::bigint "end" from merged""")
+def select_across_lines(spark, sf_dir):
+    """A literal that ends one line and begins the next, with a line before and two after."""
+    return retrieval.by_text(documents(spark, sf_dir), ACROSS, 1, 2, 8)
+
+
+@query(ORACLES["select_pattern"])
+def select_pattern_lines(spark, sf_dir):
+    """The same rule over a table of lines, by windows."""
     return retrieval.by_pattern(lines.lines(documents(spark, sf_dir)), PATTERN, 1, 2, 8)
 
 
