@@ -19,7 +19,7 @@ def vocabulary() -> str:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_runs(table(spark, sf_dir, "documents"))
+    return substring_dedup.repeated_runs(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from llm.helpers import DOCS, docs
 from pyspark.sql import functions as F
 
-from condensa.llm import chat_format, decontaminate, embedding_dedup, html_extract, language_id, minhash_dedup, mixing, substring_dedup, suffix_dedup, token_codes
+from condensa.llm import chat_format, decontaminate, embedding_dedup, html_extract, importance, language_id, minhash_dedup, mixing, secrets, substring_dedup, suffix_dedup, token_codes, whitening
 
 CLASH = ("n", "u", "v", "of", "row", "rep", "key", "band", "bands", "size", "turn", "part", "place", "places", "start", "end", "digest", "first", "slice", "target", "taken", "run", "node", "component", "gone", "score", "host", "wrapper", "template", "turns", "path", "block", "blob", "dim", "c0", "keys", "copies", "row number", "a.b")
 
@@ -42,6 +42,10 @@ def bench(spark):
 
 OVER_DOCS = {
     "lines": lambda s, d: substring_dedup.repeated_units(d),
+    "runs": lambda s, d: substring_dedup.repeated_runs(d, least_run=1),
+    "left": lambda s, d: substring_dedup.without_repeats(d, least_run=1),
+    "secrets": lambda s, d: secrets.secrets(d),
+    "draw": lambda s, d: importance.resample(d, bench(s)),
     "cut": lambda s, d: substring_dedup.removed(d, substring_dedup.repeated_units(d)),
     "tokens": lambda s, d: token_codes.encode_table(d, vocabulary()).select("doc_id", "n_tokens", "ids_crc32"),
     "language": lambda s, d: language_id.identify(d, language_id.train(d)),
@@ -76,6 +80,7 @@ def test_stages_keep_all_columns(spark, name):
 def test_other_tables(spark):
     vectors = spark.createDataFrame([(1, [1.0, 2.0], 0), (2, [1.0, 2.0], None), (None, None, None), (3, [0.0, None], 1)], "vec_id long, embedding array<float>, label int")
     assert rows(embedding_dedup.near_duplicates(clashing(vectors))) == rows(embedding_dedup.near_duplicates(vectors))
+    assert rows(whitening.whiten(clashing(vectors))) == rows(whitening.whiten(vectors))
     pages = spark.createDataFrame([(1, "http://a.b/c", "<article><p>x</p></article>"), (None, None, None), (2, "http://a.b/d", "")], "page_id long, url string, html string")
     assert rows(html_extract.extract(clashing(pages))) == rows(html_extract.extract(pages))
     talks = spark.createDataFrame([(1, 0, "user", "x"), (1, 1, None, None), (None, None, None, None)], "conv_id long, turn long, role string, text string")

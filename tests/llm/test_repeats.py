@@ -162,6 +162,25 @@ def test_runs_are_of_one_row_whatever_its_id(spark):
     assert {r.doc_id for r in got} == {None, 5} and all(r.run_weight >= 30 for r in got)
 
 
+def test_rows_equal_in_all_are_repeats_of_each_other(spark):
+    w, own = " ".join(f"w{i}" for i in range(60)), " ".join(f"o{i}" for i in range(60)) + "."
+    for id_ in (1, None):
+        rows = [(id_, w), (id_, w), (id_, own), (9, own + " " + w)]
+        got = L.repeated_runs(docs(spark, rows)).collect()
+        assert sorted((r.doc_id is None or r.doc_id, r.n_words) for r in got) == sorted([(id_ is None or id_, 60), (9, 60), (9, 60)])
+        left = L.without_repeats(docs(spark, rows)).collect()
+        assert sorted(r.text for r in left) == sorted(["", w, own, ""]) and sum(r.doc_id == id_ for r in left) == 3
+    cut = L.removed(docs(spark, [(1, "a"), (5, w), (5, own)]), L.repeated_runs(docs(spark, [(1, w), (5, w), (5, own)]))).collect()
+    assert sorted(r.text for r in cut) == sorted(["a", "", own])  # the other text of the same id stays
+
+
+@pytest.mark.parametrize("kind", ["line", "paragraph", "segment"])
+def test_every_repeat_comes_with_its_weight(spark, kind):
+    line = "ten words that are all there is of these documents"
+    got = L.repeated_runs(docs(spark, [(1, line), (2, line), (3, None), (4, "")]), kind, 1).collect()
+    assert [(r.doc_id, r.n_words, r.run_weight) for r in got] == [(2, 10, 10)]
+
+
 def test_texts_that_share_an_id_are_searched_each_by_itself(spark):
     shared, own = " ".join(f"s{i}" for i in range(60)), " ".join(f"o{i}" for i in range(80))
     rows = [(1, shared), (5, shared), (5, own), (5, ""), (5, own + " x y " + shared), (6, own), (7, None), (7, own)]
