@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.text import byte_prefix
 from . import kernel
+from .scans import spread
 
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _RUN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lines", pa.int64())]))
@@ -46,7 +47,7 @@ def project(
     `text` is a string or binary column (null: error_code invalid_request). `focus` is a string for all rows or a
     column. `selector` is {"lines": (first, number)} or {"pattern": (text, before, after, most)}. Token budgets need
     the vocabulary's ranks file; without one every row is refused with token_profile_unsupported. Whole documents go
-    to the kernel in Arrow batches: no shuffle.
+    to the kernel in Arrow batches; only a table of fewer splits than cores is dealt anew.
     """
 
     spec = {"profile": profile, "total": total, "reserved": reserved, "unit": unit, "selector": selector}
@@ -59,7 +60,7 @@ def project(
 
     about = focus if isinstance(focus, Column) else F.lit(focus).cast("string")
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("source"), about.alias("focus")).mapInArrow(run, f"`{key}` {kind}, {RESULT}")
+    return spread(docs.select(F.col(key).alias("key"), F.col(text).alias("source"), about.alias("focus"))).mapInArrow(run, f"`{key}` {kind}, {RESULT}")
 
 
 def _one(source, spec: dict, count, label: str = kernel.LABEL) -> tuple:

@@ -13,6 +13,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+#: Tables of fewer bytes a core have fewer splits than cores.
+SPREAD_BYTES = 16 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows as they are, or dealt to all cores where the table is so small that its splits would leave most of them idle.
+
+    For work that costs far more than moving the rows; what is moved is bounded by SPREAD_BYTES a core. Rows stay the same.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if 0 < size < cores * SPREAD_BYTES else rows
+
+
 def whole_documents(batches, at: str = "line_no"):
     """The same rows in batches that end where a document ends."""
     held: list[pa.RecordBatch] = []

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.predicates import Line, ascii_lower, trim_start
 from ..functions.text import byte_prefix
+from .scans import spread
 
 FEATURES = ("lines", "json_structural", "hunk_headers", "diff_headers", "diff_changes", "frames", "project_frames", "exceptions", "tests", "diagnostics", "errors", "path_headers", "progress", "code")
 
@@ -18,7 +19,7 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     The prefix is cut before anything is exploded, so a long document costs no more than its prefix; counts are
     combined before the shuffle.
     """
-    head = docs.where(F.col(text).isNotNull()).select(key, byte_prefix(F.col(text), P.PREFIX_BYTES).alias("head"))
+    head = spread(docs.where(F.col(text).isNotNull()).select(key, byte_prefix(F.col(text), P.PREFIX_BYTES).alias("head")))
     rows = F.slice(F.regexp_extract_all("head", F.lit(P.LINE), F.lit(0)), 1, P.PREFIX_LINES)
     opens = F.substring(trim_start(F.col("head")), 1, 1).isin("{", "[")
     each = head.select(key, opens.alias("opens_json"), F.col("head").startswith("#!").alias("shebang"), F.explode_outer(rows).alias("line"))

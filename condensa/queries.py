@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import patterns as P
 from .functions import text as T
 from .functions.predicates import Line, PyLine  # noqa: F401
-from .operators import evaluation, focus, kernel, lines, projection, retrieval, shape, spans, store
+from .operators import evaluation, focus, kernel, lines, projection, retrieval, scans, shape, spans, store
 from .plans import acquisition, requests
 from .sources import files, rendered
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
@@ -173,7 +173,7 @@ def _kinds(spark, sf_dir) -> DataFrame:
 @query(f"with {formed(_KINDS)}, told as (" + " union all ".join(f"select doc_id, '{s}' shape, {class_sql(s)} class from formed" for s in SHAPES) + ") select doc_id, shape, class::int class, count(*) n from told group by 1, 2, 3")
 def line_classes(spark, sf_dir):
     """Every rule once a line; a row a document and its counters meet in the shuffle, not lines."""
-    each = _kinds(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(P.LINE), F.lit(0))).alias("line"))
+    each = scans.spread(_kinds(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(P.LINE), F.lit(0))).alias("line"))
     x = Line(F.col("line"))
     each = each.select("doc_id", "line", x.raw.alias("raw"), x.trimmed.alias("trimmed"), x.text.alias("text"))
     x.raw, x.trimmed, x.text = F.col("raw"), F.col("trimmed"), F.col("text")
