@@ -289,15 +289,17 @@ def _encode(tokenizer: str, end_id: int, whole: bool):
 
 
 def write_codes(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, whole: bool = False) -> None:
-    """Write the ids of every text to `path`, in ascending doc_id order (nulls first, ties in any order).
+    """Write the ids of every text to `path`, in ascending doc_id order (nulls first), rows of one id by their text's hash.
 
-    A null or empty text has the end id alone. Rows that repeat a doc_id are written each. An empty table writes
-    a table without shards. Memory: one batch and one shard a task.
+    A null or empty text has the end id alone. Rows that repeat a doc_id, or have none, are written each, at places that
+    their texts settle; rows equal in both are alike. Ranges cut through the rows of one id, so a hot id isn't one task.
+    An empty table writes a table without shards. Memory: one batch and one shard a task.
     """
     lean(docs.sparkSession)
     run, schema = _encode(tokenizer, end_id, whole)
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, schema).withColumn("part", F.spark_partition_id()).write.parquet(path)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ordered.select("doc_id", "text").mapInArrow(run, schema).withColumn("part", F.spark_partition_id()).write.parquet(path)
 
 
 def _decode(batches):
@@ -313,7 +315,11 @@ def _decode(batches):
 
 
 def read_codes(spark: SparkSession, path: str) -> DataFrame:
-    """Read the files back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 per document."""
+    """Read the files back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of every row that was written.
+
+    A null text was written as an empty one and comes back as its end id; repeated rows and null ids come back each; a table
+    without shards gives no rows.
+    """
     shards = spark.read.parquet(path)
     sizes = shards.select("part", "number", "n_ids")  # payloads stay unread
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("ids")).select("part", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))

@@ -61,6 +61,24 @@ def test_codes_round_trip_and_random_access(ids):
         assert codes.slice(i, min(len(ids), i + 700)).tolist() == ids[i : i + 700]
 
 
+def test_rows_of_one_id_have_places_that_their_texts_settle(spark, monkeypatch):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_codes, "SHARD_IDS", 50)
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(9)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, " ".join(rng.choices("alpha beta gamma delta".split(), k=rng.randint(0, 9)))) for i in range(150)] + [(None, None), (7, None)]
+    model, want, at = Tokenizer.from_file(path), [], 0
+    placed = docs(spark, rows).select("doc_id", F.xxhash64("text").alias("tie"), "text").collect()
+    for r in sorted(placed, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.tie)):
+        ids = model.encode(r.text or "", add_special_tokens=False).ids + [2]
+        want.append((r.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    for given in (rows, rows[::-1]):
+        assert sorted(map(tuple, token_codes.encode_table(docs(spark, given), path).collect()), key=lambda r: r[1]) == want
+
+
 TEXTS = ["The then, it's WE'LL 2024!", None, "", " \n ", "a<|endoftext|>b <|startoftext|>", "É́tion dans ñ\x1cx Σας ΟΔΟΣ İ y", "word " * 3000, "re've 're  ''s\t\tx\r\ny", "日本語 テキスト 🙂🙂", "x" * 5000]
 
 
