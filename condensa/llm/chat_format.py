@@ -198,7 +198,11 @@ def write_tree(conversations: DataFrame, path: str) -> None:
 
 
 def read_conversations(spark: SparkSession, path: str) -> DataFrame:
-    """Read the tables back: conv_id, n_turns, formatted, loss (intervals of `formatted` under the mask)."""
+    """Read the tables back: conv_id, n_turns, formatted, loss (intervals of `formatted` under the mask).
+
+    Null texts were written as empty ones, and rows of a null conv_id as one conversation with that id; repeated conversations
+    come back each. Tables without conversations give no rows.
+    """
     paths = spark.read.parquet(f"{path}/paths")
     pieces = paths.select("part", "number", "conv_id", "n_turns", F.posexplode("pieces").alias("k", "p")).select("part", "number", "conv_id", "n_turns", "k", "p.*")
     segments = spark.read.parquet(f"{path}/segments").withColumnRenamed("start", "segment").select("segment", "text", "loss")
@@ -225,14 +229,17 @@ def _digest_rows(batches):
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """What the written conversations say, by digest: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """What the written conversations say, by digest: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    A row a conversation, of a null conv_id too; no conversations give no rows.
+    """
     return read_conversations(spark, path).select("conv_id", "formatted", "loss").mapInArrow(
         _digest_rows, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )
 
 
 def formatted(conversations: DataFrame) -> str:
-    """Write the tree to a new place in the shared folder; the path."""
+    """Write the tree to a new place in the shared folder; the path. Nulls, ties, repeats and empty tables as in `write_tree`."""
     path = new_table_path(conversations.sparkSession, "chat")
     write_tree(conversations, path)
     return path
