@@ -29,7 +29,10 @@ def term_hits(docs: DataFrame, focus: str, key: str = "doc_id", text: str = "tex
 
 
 def ranked(spans: DataFrame, focus: str, key: str = "doc_id") -> DataFrame:
-    """Adds telling (mask of the terms in some but at most a quarter of the lines) and score (how many of them a line holds)."""
+    """Adds telling (mask of the terms in some but at most a quarter of the lines) and score (how many of them a line holds).
+
+    The rule on any table of lines, by windows; for texts as they are `scored` gives the same without a shuffle.
+    """
     out, whole = masks(spans, focus), Window.partitionBy(key)
     lines = F.count("*").over(whole)
     bits = []

@@ -711,7 +711,7 @@ def payloads(spark, sf_dir):
     """Payloads as text, as base64, as padding, and base64 that isn't canonical (nothing)."""
     k, text, no = F.col("doc_id") % 4, F.col("text"), F.lit(None).cast("string")
     told = F.struct(
-        F.when(k == 0, "utf8").when(k == 2, "padded").otherwise("base64").alias("kind"), F.when(k == 0, text).when(k == 2, "ab").alias("text"), F.when(k == 1, F.base64(text.cast("binary"))).when(k == 3, F.concat(F.base64(F.lit("a").cast("binary")), F.lit("x"))).otherwise(no).alias("base64"),
+        F.when(k == 0, "utf8").when(k == 2, "padded").otherwise("base64").alias("kind"), F.when(k == 0, text).when(k == 2, "ab").alias("text"), F.when(k == 1, F.replace(F.base64(text.cast("binary")), F.lit("\r\n"), F.lit(""))).when(k == 3, F.concat(F.base64(F.lit("a").cast("binary")), F.lit("x"))).otherwise(no).alias("base64"),
         F.when(k == 2, "xyz").alias("fill"), F.when(k == 2, 2 + F.col("doc_id") % 50).cast("long").alias("length"),
     )
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2(corpus.materialised(told), 256).alias("sha"))

@@ -573,6 +573,20 @@ def secret_scan(spark, sf_dir):
     return evaluation.secret_scan(documents(spark, sf_dir))
 
 
+_CAPTURED = "select doc_id, replace(replace(text, ' the ', case when doc_id % 2 = 0 then ' /home/dev/a ' else ' /Users/ann.b/a ' end), ' and ', ' dev@example.invalid ') t from documents where text is not null"
+
+
+@query(f"""with c as ({_CAPTURED}), found as (
+    select doc_id, 'home-path' rule, unnest(regexp_extract_all(t, '/(?:home|Users)/([A-Za-z0-9._-]+)', 1)) x from c
+    union all select doc_id, 'email', unnest(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{{2,}}')) from c)
+    select distinct doc_id, rule from found where x not in ('dev', 'dev@example.invalid')""")
+def identity_scan(spark, sf_dir):
+    """Who captured a text: home folders and addresses but the neutral ones, which half of the texts are given."""
+    home = F.when(F.col("doc_id") % 2 == 0, " /home/dev/a ").otherwise(" /Users/ann.b/a ")
+    text = F.replace(F.replace("text", F.lit(" the "), home), F.lit(" and "), F.lit(" dev@example.invalid "))
+    return evaluation.secret_scan(documents(spark, sf_dir).where("text is not null").select("doc_id", text.alias("text")), rules=evaluation.IDENTITIES)
+
+
 @query(f"""with c as (select quality, count(*) n, count(*) filter (where toxic = 1) s from labels group by 1), p as (select quality, n, s, s::double / n p, {evaluation.Z * evaluation.Z!r}::double zz from c)
     select quality, n, s, greatest((p + zz / (n * 2) - {evaluation.Z!r} * sqrt((p * (1.0 - p) + zz / (n * 4)) / n)) / (1.0 + zz / n), 0)::double low,
     least((p + zz / (n * 2) + {evaluation.Z!r} * sqrt((p * (1.0 - p) + zz / (n * 4)) / n)) / (1.0 + zz / n), 1)::double high from p""")

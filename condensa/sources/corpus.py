@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import base64_canonical
+
 # ---- Fixed values ----------------------------------------------------------------------------------------------
 FIXTURE_BYTES = 256 << 10
+#: What may not stand beside the user's name.
+NAME_CHARS = "[A-Za-z0-9_-]"
 ADDRESS = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 # ----------------------------------------------------------------------------------------------------------------
 
@@ -16,12 +20,11 @@ PAYLOAD = "struct<kind: string, text: string, base64: string, fill: string, leng
 def materialised(payload: Column) -> Column:
     """Bytes of a payload: utf8 text, canonical base64, or text padded with a fill up to a length; null if malformed."""
     text = payload["text"].cast("binary")
-    raw = F.try_to_binary(payload["base64"], F.lit("base64"))
     fill, missing = payload["fill"], payload["length"] - F.octet_length(payload["text"])
     padded = F.concat(text, F.substring(F.repeat(fill, (F.ceil(missing / F.greatest(F.octet_length(fill), F.lit(1)))).cast("int")).cast("binary"), F.lit(1), missing.cast("int")))
     return (
         F.when(payload["kind"] == "utf8", text)
-        .when(payload["kind"] == "base64", F.when(F.base64(raw) == payload["base64"], raw))
+        .when(payload["kind"] == "base64", base64_canonical(payload["base64"]))
         .when((payload["kind"] == "padded") & (missing >= 0) & (F.octet_length(fill) > 0), padded)
     )
 
@@ -83,7 +86,7 @@ def normalised(text: Column, places: dict[str, str], author: tuple[str, str] | N
         text = F.replace(text, F.lit(author[0]), F.lit(author[1]))
     if user and user[0]:
         literal = "".join(c if c.isalnum() or c == "_" else f"\\{c}" for c in user[0])
-        text = F.regexp_replace(text, rf"(?<![A-Za-z0-9_-]){literal}(?![A-Za-z0-9_-])", user[1])
+        text = F.regexp_replace(text, f"(?<!{NAME_CHARS}){literal}(?!{NAME_CHARS})", user[1])
     return text
 
 
