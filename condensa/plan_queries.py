@@ -685,9 +685,12 @@ def bounded_messages(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", bounded_chars(F.col("text"), envelope.MESSAGE_CHARS).alias("message"))
 
 
-@query("""with said as (select conv_id, turn * 10000 + conv_id % 7 ts, trim(text, ' ' || chr(10)) body from conversations where role = 'user'),
+_LATEST = """with said as (select conv_id, turn * 10000 + conv_id % 7 ts, trim(text, ' ' || chr(10)) body from conversations where role = 'user'),
     last as (select conv_id, max(ts) ts, arg_max(left(body, (select max(k) from range(0, 257) t(k) where strlen(left(body, k)) <= 256)), ts) intent from said where body <> '' group by 1)
-    select conv_id, intent, ts from last where 45000 - ts <= 43200""")
+    select conv_id, intent, ts from last where 45000 - ts <= 43200"""
+
+
+@query(_LATEST)
 def session_intent_latest(spark, sf_dir):
     from .streaming import intent
 
@@ -695,6 +698,14 @@ def session_intent_latest(spark, sf_dir):
     return intent.latest(rows, "conv_id", "at", F.col("text"), 45000)
 
 
+@query(f"select sha256(conv_id::varchar) digest, intent, ts from ({_LATEST})")
+def session_records(spark, sf_dir):
+    from .streaming import intent
+
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").cast("string").alias("conv_id"), (F.col("turn") * 10000 + F.col("conv_id") % 7).cast("long").alias("at"), "text")
+    return intent.records(rows, "conv_id", "at", F.col("text"), 45000)
+
+
 @query("""select doc_id id, ['absent_fact', 'unknown_class', 'repeated_fact', 'unknown_budget'][(doc_id % 5)::bigint] problem from documents where doc_id % 5 <> 0 and text is not null""")
 def fixture_validation(spark, sf_dir):
     """Fixtures of the documents, of each five one sound: its facts stand in its text, its budget is known."""

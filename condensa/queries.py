@@ -526,6 +526,13 @@ def session_intent_asof(spark, sf_dir):
     return intent.as_of(rows, "conv_id", "ts", F.when(F.col("role") == "user", F.col("text"))).select("conv_id", "turn", "intent")
 
 
+@query(ORACLES["session_intent_asof"])
+def session_intent_sliced(spark, sf_dir):
+    """The same lookup with each session split by time."""
+    rows = table(spark, sf_dir, "conversations").withColumn("ts", (F.col("turn") * 10000 + F.col("conv_id") % 7).cast("long"))
+    return intent.as_of_sliced(rows, "conv_id", "ts", F.when(F.col("role") == "user", F.col("text"))).select("conv_id", "turn", "intent")
+
+
 @query("""select event_id, case when event_id % 3 = 0 then event_type when event_id % 3 = 1 then concat_ws(' ', event_type, user_id::varchar) end focus from events""")
 def derived_focus(spark, sf_dir):
     e = table(spark, sf_dir, "events")

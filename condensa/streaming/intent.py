@@ -31,6 +31,37 @@ def as_of(rows: DataFrame, session: str, ts: str, prompt: Column, ttl: int = TTL
     return rows.withColumn("intent", F.last(bounded(prompt), ignorenulls=True).over(reach))
 
 
+def as_of_sliced(rows: DataFrame, session: str, ts: str, prompt: Column, ttl: int = TTL_SECONDS, seconds: int = 3600) -> DataFrame:
+    """`as_of` with the work of one session split by time: slices of so many seconds, and what each carries into the next.
+
+    Rows are put in order inside their slice only; a slice hands on its last prompt, so the one order that spans a session
+    is of a row a slice. Of prompts of one instant the greatest counts, so reruns agree. Rows without a session or a time
+    have no intent; columns that start with _ are the operator's own.
+    """
+    said = bounded(prompt)
+    told = F.when(said.isNotNull(), F.struct(F.col(ts).alias("ts"), said.alias("intent")))
+    cut = rows.withColumn("_slice", F.floor(F.col(ts) / seconds)).withColumn("_said", told)
+    inside = Window.partitionBy(session, "_slice").orderBy(F.col(ts)).rangeBetween(Window.unboundedPreceding, 0)
+    every = cut.groupBy(F.col(session).alias("_session"), "_slice").agg(F.max("_said").alias("_last"))  # a row a slice
+    before = Window.partitionBy("_session").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.select("_session", F.col("_slice").alias("_at"), F.max("_last").over(before).alias("_carried")).where("_carried is not null")
+    met = cut.withColumn("_own", F.max("_said").over(inside)).join(carried, (F.col(session) == F.col("_session")) & (F.col("_slice") == F.col("_at")), "left")
+    known = F.coalesce("_own", "_carried")
+    fresh = F.col(session).isNotNull() & (F.col(ts) - known["ts"] <= ttl)
+    return met.withColumn("intent", F.when(fresh, known["intent"])).select(*rows.columns, "intent")
+
+
+def session_digest(session: Column) -> Column:
+    """What names a session's record: sha256 in hex, so nothing of the host's text reaches a path; null for none."""
+    return F.sha2(session.cast("binary"), 256)
+
+
+def records(prompts: DataFrame, session: str, ts: str, prompt: Column, now: int, ttl: int = TTL_SECONDS) -> DataFrame:
+    """(digest, intent, ts): the records of `latest` under the digests of their sessions; sessions without a name have none."""
+    known = latest(prompts.where(F.col(session).isNotNull()), session, ts, prompt, now, ttl)
+    return known.select(session_digest(F.col(session)).alias("digest"), "intent", "ts")
+
+
 def latest(prompts: DataFrame, session: str, ts: str, prompt: Column, now: int, ttl: int = TTL_SECONDS) -> DataFrame:
     """(session, intent, ts): what each session said last that isn't blank, unless that is older than `ttl`.
 
