@@ -274,3 +274,12 @@ def test_every_synthetic_page_equals_another_reading(spark):
         golden.feed(r.html or "")
         golden.close()
         assert got[r.page_id] == "\n".join(t for t in (" ".join(x.split()) for x in golden.parts) if t), r.page_id
+
+
+def test_long_streams_are_parsed_like_short_ones():
+    expression, unit = [["+", ["a", ["?", ["b"]]]], "b"], ["a", "b", "a"]
+    for turns in (2, 300_000):
+        tokens = unit * turns + ["b"]
+        assert H.parse(expression, tokens) == [0, 1, 0] * turns + [2]
+        assert H.parse(expression, [*tokens, "a"]) is None
+    assert H.parse([["?", [f"t{i}"]] for i in range(3000)] + [["+", ["a"]], "a"], ["t7", *["a"] * 2000]) == [7, *[3000] * 1999, 3001]
