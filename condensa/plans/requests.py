@@ -69,16 +69,25 @@ def _kind(value: Column, path: str) -> Column:
     return F.regexp_extract(F.schema_of_variant(F.try_variant_get(value, path, "variant")), "^[A-Z]+", 0)
 
 
-def _shaped(text: Column, value: Column, path: str, fields: tuple[dict, dict]) -> Column:
-    """Whether the object at a path has every required key, none that isn't known, and values of the right kinds."""
+def _keys(value: Column, path: str) -> Column:
+    """What the object at a path holds, as "key:KIND"; null where there is no object. Worked out once for all rules of the place."""
+    held = F.map_entries(F.try_variant_get(value, path, "map<string, variant>"))
+    return F.transform(held, lambda e: F.concat(e["key"], F.lit(":"), F.regexp_extract(F.schema_of_variant(e["value"]), "^[A-Z]+", 0)))
+
+
+def _shaped(keys: Column, fields: tuple[dict, dict]) -> Column:
+    """Whether an object (by `_keys`) has every required key, none that isn't known, and values of the right kinds."""
     required, optional = fields
-    keys = F.json_object_keys(text if path == "$" else F.get_json_object(text, path))
-    ok = _yes(F.size(F.array_except(keys, F.array(*map(F.lit, [*required, *optional])))) == 0)
-    for name, kind in required.items():
-        ok &= _yes(_kind(value, f"{path}.{name}") == kind)
-    for name, kind in optional.items():
-        ok &= F.coalesce(_kind(value, f"{path}.{name}").isin(kind, "VOID", ""), F.lit(True))
-    return ok
+    needed = [f"{name}:{kind}" for name, kind in required.items()]
+    known = [*needed, *(f"{name}:{k}" for name, kind in optional.items() for k in (kind, "VOID"))]
+    ok = F.size(F.array_except(keys, F.array(*map(F.lit, known)))) == 0
+    if needed:
+        ok &= F.size(F.array_intersect(keys, F.array(*map(F.lit, needed)))) == len(needed)
+    return _yes(ok)
+
+
+#: Places whose keys are checked.
+_PLACES = ("$", "$.budget", "$.retention", "$.source", "$.source.artifact", "$.source.selector")
 
 
 def decoded(lines: DataFrame, column: str = "value", keep: tuple = ()) -> DataFrame:
@@ -88,24 +97,29 @@ def decoded(lines: DataFrame, column: str = "value", keep: tuple = ()) -> DataFr
     schema_unsupported, source_unsupported, invalid_request (unknown, repeated or missing key, or a value of the wrong
     kind: numbers are whole and not negative, bytes are canonical base64).
     """
-    rows = lines.select(*keep, F.col(column).alias("_text"), F.try_parse_json(column).alias("_v"), F.from_json(column, REQUEST).alias("request"))
-    text, value, request = F.col("_text"), F.col("_v"), F.col("request")
-    said = lambda path: F.when(_kind(value, path) == "STRING", F.get_json_object(text, path))
-    version, kind, id_ = said("$.contract_version"), said("$.source.kind"), said("$.request_id")
+    # Generated rows, as no filter on what is told of a request is pushed below them: each line is parsed once.
+    parsed = F.struct(F.try_parse_json("_text").alias("_v"), F.from_json("_text", REQUEST).alias("request"))
+    value, request = F.col("_v"), F.col("request")
+    rows = lines.select(*keep, F.col(column).alias("_text")).select(*keep, "_text", F.inline(F.array(parsed)))
+    said = lambda path: F.when(_kind(value, path) == "STRING", F.try_variant_get(value, path, "string"))
+    told = F.struct(*(_keys(value, p).alias(f"_at{i}") for i, p in enumerate(_PLACES)), *(said(p).alias(n) for n, p in (("_version", "$.contract_version"), ("_kind", "$.source.kind"), ("_id", "$.request_id"), ("_selector", "$.source.selector.kind"))))
+    rows = rows.select(*keep, "_text", "_v", "request", F.inline(F.array(told)))
+    keys = {p: F.col(f"_at{i}") for i, p in enumerate(_PLACES)}
+    version, kind, id_ = F.col("_version"), F.col("_kind"), F.col("_id")
     object_ = _yes(F.schema_of_variant(value).startswith("OBJECT"))
     absent = lambda path, *kinds: F.coalesce(_kind(value, path).isin(*kinds, "VOID", ""), F.lit(True))
     probed = absent("$.contract_version", "STRING") & absent("$.source", "OBJECT") & absent("$.source.kind", "STRING")
     named = F.when(F.octet_length(id_).between(1, IDENTIFIER_BYTES), id_)
     source, selector = request["source"], request["source"]["selector"]
-    strict = _shaped(text, value, "$", FIELDS["$"]) & _shaped(text, value, "$.budget", FIELDS["$.budget"])
-    strict &= absent("$.retention") | _shaped(text, value, "$.retention", FIELDS["$.retention"])
+    strict = _shaped(keys["$"], FIELDS["$"]) & _shaped(keys["$.budget"], FIELDS["$.budget"])
+    strict &= absent("$.retention") | _shaped(keys["$.retention"], FIELDS["$.retention"])
     of_kind = F.lit(False)
     for k, fields in SOURCE_FIELDS.items():
-        of_kind |= _yes(kind == k) & _shaped(text, value, "$.source", fields)
-    strict &= of_kind & (_yes(kind != "artifact") | _shaped(text, value, "$.source.artifact", FIELDS["$.source.artifact"]))
+        of_kind |= _yes(kind == k) & _shaped(keys["$.source"], fields)
+    strict &= of_kind & (_yes(kind != "artifact") | _shaped(keys["$.source.artifact"], FIELDS["$.source.artifact"]))
     selected = F.lit(False)
     for k, fields in SELECTOR_FIELDS.items():
-        selected |= _yes(said("$.source.selector.kind") == k) & _shaped(text, value, "$.source.selector", fields)
+        selected |= _yes(F.col("_selector") == k) & _shaped(keys["$.source.selector"], fields)
     strict &= absent("$.source.selector") | selected
     for c in (*(source[c] for c in ("bytes", "relative_path", "executable", "cwd_relative_path")), selector["pattern"]):
         strict &= c.isNull() | base64_canonical(c).isNotNull()
@@ -116,7 +130,7 @@ def decoded(lines: DataFrame, column: str = "value", keep: tuple = ()) -> DataFr
     for n in numbers:
         strict &= F.coalesce(n >= 0, F.lit(True))
     failure = (
-        F.when(F.octet_length(text) > LINE_BYTES, "input_too_large")
+        F.when(F.octet_length("_text") > LINE_BYTES, "input_too_large")
         .when(~object_ | ~absent("$.request_id", "STRING") | ~probed, "invalid_request")
         .when(_yes(~version.isin(*VERSIONS)), "schema_unsupported")
         .when(_yes(~kind.isin(*KINDS)), "source_unsupported")
