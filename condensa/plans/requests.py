@@ -148,20 +148,24 @@ def selector_failure(selector: Column) -> Column:
     return F.when(selector.isNotNull() & ~_yes(F.when(selector["kind"] == "lines", lines).otherwise(found)), "invalid_request")
 
 
+def _nul(x: Column) -> Column:
+    """Whether binary holds a zero byte."""
+    return F.contains(x, F.lit(b"\0"))
+
+
 def process_failure(executable: Column, argv: Column, timeout_ms: Column) -> Column:
     """What is wrong with a process's bounds, else null; `executable` and the items of `argv` are binary."""
     size = F.octet_length(executable) + F.aggregate(argv, F.lit(0), lambda a, x: a + F.octet_length(x))
-    nul = lambda x: F.hex(x).rlike("^(?:..)*00")
     return (
         F.when((F.size(argv) > ARGUMENTS) | (size > ARGUMENT_BYTES), "resource_exhausted")
-        .when(~F.octet_length(executable).between(1, EXECUTABLE_BYTES) | nul(executable) | F.exists(argv, nul), "invalid_request")
+        .when(~F.octet_length(executable).between(1, EXECUTABLE_BYTES) | _nul(executable) | F.exists(argv, _nul), "invalid_request")
         .when(~F.coalesce(timeout_ms, F.lit(DEFAULT_TIMEOUT_MS)).between(*TIMEOUT_MS), "invalid_request")
     )
 
 
 def _source_failure(source: Column, version: Column, roots: tuple, profiles: tuple) -> Column:
     path = lambda c: F.coalesce(base64_canonical(source[c]), F.lit(b""))
-    bad_path = lambda c: (F.octet_length(path(c)) > PATH_BYTES) | F.hex(path(c)).rlike("^(?:..)*00")
+    bad_path = lambda c: (F.octet_length(path(c)) > PATH_BYTES) | _nul(path(c))
     known = lambda c: _yes(source[c].isin(*roots)) if roots else F.lit(False)
     profile = source["environment_profile"]
     argv = F.transform(source["argv"], lambda x: base64_canonical(x))

@@ -22,3 +22,7 @@ def planned(frame):
 
 def test_requests_are_parsed_once(spark):
     assert planned(QUERIES["request_validation"](spark, SF)).count("from_json") == 1
+
+
+def test_small_rows_that_become_large_are_dealt(spark):
+    assert QUERIES["process_validation"](spark, SF).rdd.getNumPartitions() > 1
