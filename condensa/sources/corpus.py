@@ -14,6 +14,8 @@ NAME_CHARS = "[A-Za-z0-9_-]"
 ADDRESS = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 # ----------------------------------------------------------------------------------------------------------------
 
+#: ADDRESS, tried only where a run of its first characters begins (or goes on behind the address before), each run once.
+_ADDRESS = rf"(?:\G|(?<![A-Za-z0-9._%+-])){ADDRESS.replace(']+@', ']++@', 1)}"
 PAYLOAD = "struct<kind: string, text: string, base64: string, fill: string, length: long>"
 
 
@@ -81,12 +83,12 @@ def normalised(text: Column, places: dict[str, str], author: tuple[str, str] | N
     """Text without who and where it was captured: places (longest first) as literals, then addresses, the author's name, and the user as a word of its own."""
     for known in sorted((p for p in places if p), key=len, reverse=True):
         text = F.replace(text, F.lit(known), F.lit(places[known]))
-    text = F.regexp_replace(text, ADDRESS, address)
+    text = F.when(text.contains("@"), F.regexp_replace(text, _ADDRESS, address)).otherwise(text)
     if author and author[0]:
         text = F.replace(text, F.lit(author[0]), F.lit(author[1]))
     if user and user[0]:
         literal = "".join(c if c.isalnum() or c == "_" else f"\\{c}" for c in user[0])
-        text = F.regexp_replace(text, f"(?<!{NAME_CHARS}){literal}(?!{NAME_CHARS})", user[1])
+        text = F.regexp_replace(text, f"{literal}(?<!{NAME_CHARS}{literal})(?!{NAME_CHARS})", user[1])  # the literal first: it is what is searched
     return text
 
 
