@@ -33,3 +33,7 @@ def test_long_words_are_normalised_in_linear_time(spark):
     texts = ["a" * 150_000, "a" * 150_000 + " @ x@y.org_z@y.org @", "ann" * 50_000]
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", corpus.normalised(F.col("t"), {}, None, ("ann", "<user>")).alias("t")).sort("i").collect()
     assert [r.t for r in got] == [texts[0], "a" * 150_000 + " @ dev@example.invaliddev@example.invalid @", texts[2]] and time.monotonic() - begin < 20
+
+
+def test_forms_of_a_line_are_worked_out_once(spark):
+    assert planned(QUERIES["rendered_classes"](spark, SF)).count("translate(") <= 2
