@@ -23,7 +23,8 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     rows = F.slice(F.regexp_extract_all("head", F.lit(P.LINE), F.lit(0)), 1, P.PREFIX_LINES)
     opens = F.substring(trim_start(F.col("head")), 1, 1).isin("{", "[")
     each = head.select(key, opens.alias("opens_json"), F.col("head").startswith("#!").alias("shebang"), F.explode_outer(rows).alias("line"))
-    each = each.withColumn("line", F.regexp_replace("line", r"\r?\n\z", ""))
+    line = F.col("line")
+    each = each.withColumn("line", F.when(line.endswith("\r\n"), F.substr(line, F.lit(1), F.char_length(line) - 2)).otherwise(F.rtrim(line, F.lit("\n"))))
     x = Line(F.col("line"))
     x.raw = F.col("line")
     each = each.select(key, "opens_json", "shebang", x.raw.alias("raw"), x.trimmed.alias("trimmed"))

@@ -37,3 +37,8 @@ def test_long_words_are_normalised_in_linear_time(spark):
 
 def test_forms_of_a_line_are_worked_out_once(spark):
     assert planned(QUERIES["rendered_classes"](spark, SF)).count("translate(") <= 2
+
+
+def test_shapes_trim_without_patterns(spark):
+    docs = spark.createDataFrame([(1, "　 a\r\n b\r\r\n\n")], "doc_id long, text string")
+    assert "regexp_replace" not in planned(shape.detect(docs)) and shape.features(docs).first().lines == 2
