@@ -16,7 +16,7 @@ MOST_SECTION_LINES = 256
 
 def _cut(batches):
     """Lines and their offsets of whole texts, worked out on the bytes of a batch: lines tile them, so none is copied."""
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in scans.pieces(whole, 1)):
         texts = batch.column(1)
         _, ends, data = texts.buffers()
         n = len(texts)

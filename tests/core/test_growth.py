@@ -42,3 +42,11 @@ def test_forms_of_a_line_are_worked_out_once(spark):
 def test_shapes_trim_without_patterns(spark):
     docs = spark.createDataFrame([(1, "　 a\r\n b\r\r\n\n")], "doc_id long, text string")
     assert "regexp_replace" not in planned(shape.detect(docs)) and shape.features(docs).first().lines == 2
+
+
+def test_lines_are_cut_in_bounded_batches():
+    texts = ["line\n" * 40_000] * 30 + [None, "", "x" * (3 << 20)] + ["a\nb"] * 1000
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    made = list(lines._cut([batch]))
+    assert max(b.num_rows for b in made) <= 5 * 40_000 + 40_000 + 512 and sum(b.num_rows for b in made) == 30 * 40_000 + 1 + 2000
+    assert max(len(set(b.column(0).to_pylist())) for b in made) <= 256
