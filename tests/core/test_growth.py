@@ -50,3 +50,11 @@ def test_lines_are_cut_in_bounded_batches():
     made = list(lines._cut([batch]))
     assert max(b.num_rows for b in made) <= 5 * 40_000 + 40_000 + 512 and sum(b.num_rows for b in made) == 30 * 40_000 + 1 + 2000
     assert max(len(set(b.column(0).to_pylist())) for b in made) <= 256
+
+
+def test_projections_come_in_bounded_batches(spark):
+    from condensa.operators import scans
+
+    batch = pa.record_batch([pa.array(range(5)), pa.array(["x" * 600_000, "y", None, "z" * 600_000, "w" * (2 << 20)])], names=["key", "source"])
+    assert [p.column(0).to_pylist() for p in scans.pieces(batch, 1)] == [[0, 1, 2], [3], [4]]
+    assert [p.num_rows for p in scans.pieces(batch.slice(1, 2), 1)] == [2] and not list(scans.pieces(batch.slice(0, 0), 1))
