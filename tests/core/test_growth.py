@@ -58,3 +58,8 @@ def test_projections_come_in_bounded_batches(spark):
     batch = pa.record_batch([pa.array(range(5)), pa.array(["x" * 600_000, "y", None, "z" * 600_000, "w" * (2 << 20)])], names=["key", "source"])
     assert [p.column(0).to_pylist() for p in scans.pieces(batch, 1)] == [[0, 1, 2], [3], [4]]
     assert [p.num_rows for p in scans.pieces(batch.slice(1, 2), 1)] == [2] and not list(scans.pieces(batch.slice(0, 0), 1))
+
+
+@pytest.mark.parametrize("name", ["project_focus_checked", "project_auto_checked"])
+def test_checked_projections_render_their_sources_once(spark, name):
+    assert planned(QUERIES[name](spark, SF)).count("Relation [") == 1
