@@ -59,7 +59,9 @@ def handled(lines: DataFrame, artifacts: DataFrame, tombstones: DataFrame, now:
     # How many blocks an artifact's requests make is counted on the lines as they are: more than are valid do no harm.
     asked = lines.select(F.get_json_object(column, "$.source.artifact.id").alias("of")).where("of is not null").groupBy("of").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     many = asked.where("blocks > 1")  # at most a BLOCK-th as many as requests
-    dealt = told.withColumn("of", named).join(many, "of", "left").withColumn("block", F.pmod(F.xxhash64(key), F.coalesce("blocks", F.lit(1))).cast("int"))
+    # Inline and refused requests are blocks of their own and name themselves: no row joins by a null, which all would do in one task.
+    own_name = F.concat(F.lit("-"), F.col("_row").cast("string"))
+    dealt = told.withColumn("of", named).withColumn("meet", F.coalesce("of", own_name)).join(many.withColumnRenamed("of", "meet"), "meet", "left").withColumn("block", F.pmod(F.xxhash64(key), F.coalesce("blocks", F.lit(1))).cast("int"))
 
     inline = base64_canonical(source["bytes"])
     digest = F.sha2(inline, 256)
@@ -68,20 +70,20 @@ def handled(lines: DataFrame, artifacts: DataFrame, tombstones: DataFrame, now:
         F.octet_length(inline).cast("long").alias("source_bytes"), F.lit(now).cast("long").alias("created_at"), store.expiry(F.lit(now), F.col("request")["retention"]["expires_at"], F.col("request")["retention"]["ttl_seconds"]).alias("expires_at"),
     ))
     item = F.struct(F.col(key), "request_id", F.coalesce(own, source["artifact"]).alias("artifact"), source["kind"].alias("kind"), _spec(F.col("request"), F.col("refused")).alias("spec"))
-    alone = F.when(F.col("of").isNull(), F.col("_row"))  # inline and refused requests are blocks of their own
-    blocks = dealt.groupBy("of", "block", alone.alias("alone")).agg(F.collect_list(item).alias("specs"), F.first(F.when(source["kind"] == "inline", inline)).alias("inline"))
-
-    held = artifacts.select(F.col("id").alias("of"), F.struct("schema_version", "state", "source_sha256", "source_bytes", "created_at", "expires_at").alias("stored"), F.col("source").cast("binary").alias("source"))
-    held = held.join(many, "of", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
-    dead = tombstones.select(F.col("id").alias("of"), (F.col("purge_at") > now).alias("told"))
-    met = blocks.join(held, ["of", "block"], "left").join(dead, "of", "left")
-    stored, bytes_ = F.col("stored"), F.col("source")
-    missing = F.when(stored.isNull(), F.when(F.col("told"), "artifact_expired").otherwise("artifact_unknown"))
+    blocks = dealt.groupBy("meet", "block").agg(F.first("of").alias("of"), F.collect_list(item).alias("specs"), F.first(F.when(source["kind"] == "inline", inline)).alias("inline"))
+
+    raw = F.col("source").cast("binary")
     unsound = (
-        F.when(~stored["schema_version"].isin(1, 2, 3), "artifact_schema_unsupported").when(~stored["state"].isin("complete", "partial"), "commit_failed").when(stored["expires_at"] <= now, "artifact_expired")
-        .when((F.octet_length(bytes_) != stored["source_bytes"]) | (F.sha2(bytes_, 256) != stored["source_sha256"]), "artifact_corrupt")
+        F.when(~F.col("schema_version").isin(1, 2, 3), "artifact_schema_unsupported").when(~F.col("state").isin("complete", "partial"), "commit_failed").when(F.col("expires_at") <= now, "artifact_expired")
+        .when((F.octet_length(raw) != F.col("source_bytes")) | (F.sha2(raw, 256) != F.col("source_sha256")), "artifact_corrupt")
     )
-    met = met.select("of", "specs", F.coalesce("inline", "source").alias("source"), "stored", F.when(F.col("of").isNotNull(), F.coalesce(missing, unsound)).alias("unfit"))  # once a block, not once a request
+    held = artifacts.select(F.col("id").alias("meet"), F.struct("schema_version", "state", "source_sha256", "source_bytes", "created_at", "expires_at").alias("stored"), raw.alias("source"), unsound.alias("unsound"))  # once an artifact, not once a request
+    held = held.join(many.withColumnRenamed("of", "meet"), "meet", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    dead = tombstones.select(F.col("id").alias("meet"), (F.col("purge_at") > now).alias("told"))
+    met = blocks.join(held, ["meet", "block"], "left").join(dead, "meet", "left")
+    stored = F.col("stored")
+    missing = F.when(stored.isNull(), F.when(F.col("told"), "artifact_expired").otherwise("artifact_unknown"))
+    met = met.select("of", "specs", F.coalesce("inline", "source").alias("source"), "stored", F.when(F.col("of").isNotNull(), F.coalesce(missing, "unsound")).alias("unfit"))
 
     def judged(x: Column) -> Column:
         as_told = F.lit(True)

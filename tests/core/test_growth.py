@@ -20,10 +20,29 @@ def planned(frame):
     return frame._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_refused_requests_do_not_meet_in_one_task(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = spark.createDataFrame([(i, "nope" if i % 9 else json.dumps(request(of("a" * 32)))) for i in range(200)], "id long, value string")
+        out = handling.handled(asked, artifacts(spark), spark.createDataFrame([], "id string, purge_at long"), NOW)
+        told = out.where("error_code = 'invalid_request'").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sum(r["count"] for r in told) == 177 and max(r["count"] for r in told) < 100
+
+
 def test_requests_are_parsed_once(spark):
     assert planned(QUERIES["request_validation"](spark, SF)).count("from_json") == 1
 
 
+@pytest.mark.parametrize("name", ["project_focus_checked", "project_auto_checked"])
+def test_checked_projections_render_their_sources_once(spark, name):
+    assert planned(QUERIES[name](spark, SF)).count("Relation [") == 1
+
+
 def test_small_rows_that_become_large_are_dealt(spark):
     assert QUERIES["process_validation"](spark, SF).rdd.getNumPartitions() > 1
 
@@ -58,8 +77,3 @@ def test_projections_come_in_bounded_batches(spark):
     batch = pa.record_batch([pa.array(range(5)), pa.array(["x" * 600_000, "y", None, "z" * 600_000, "w" * (2 << 20)])], names=["key", "source"])
     assert [p.column(0).to_pylist() for p in scans.pieces(batch, 1)] == [[0, 1, 2], [3], [4]]
     assert [p.num_rows for p in scans.pieces(batch.slice(1, 2), 1)] == [2] and not list(scans.pieces(batch.slice(0, 0), 1))
-
-
-@pytest.mark.parametrize("name", ["project_focus_checked", "project_auto_checked"])
-def test_checked_projections_render_their_sources_once(spark, name):
-    assert planned(QUERIES[name](spark, SF)).count("Relation [") == 1
